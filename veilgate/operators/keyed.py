@@ -168,3 +168,32 @@ def exact_quantiles(
         for name, q in fractions.items()
     ]
     return ranked.groupBy(*keys).agg(*picks)
+
+
+def balanced_join(
+    large: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", heavy: int = 100_000
+) -> DataFrame:
+    """Equi join that treats heavy keys apart; ``small`` must hold at most one row per key.
+
+    Keys with more than ``heavy`` rows are few by construction; their rows meet a broadcast of
+    just those keys, all others are joined by shuffle. Falls back to a salted join in the odd
+    case that even the heavy keys are many.
+    """
+    if is_small(small):
+        return large.join(F.broadcast(small), keys, how)
+    hot = (
+        large.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > heavy)
+        .select(*keys)
+    )
+    if not is_small(hot):
+        return salted_join(large, small, keys, how)
+    if hot.isEmpty():
+        return large.join(small, keys, how)
+    hot_small = small.join(F.broadcast(hot), keys, "left_semi")
+    hot_rows = large.join(F.broadcast(hot), keys, "left_semi")
+    other_rows = large.join(F.broadcast(hot), keys, "left_anti")
+    return hot_rows.join(F.broadcast(hot_small), keys, how).unionByName(
+        other_rows.join(small, keys, how)
+    )

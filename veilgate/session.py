@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", memory: str = "12g", name: str = "veilgate") -> SparkSession:
@@ -49,7 +49,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def settle(df):
-    """Cut the lineage of a result that several later steps read (reliable checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, name: str = "step") -> DataFrame:
+    """Cut the lineage of a result that several later steps read.
+
+    The rows are written as a table below the shared folder, so they outlive lost executors, are
+    read back column by column, and carry the sizes the planner needs to choose its joins.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
