@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -124,44 +124,33 @@ def audit_stream(
 
 
 def upsert_features(stream: DataFrame, path: str, state: str, tie_break: str = "source"):
-    """Keep the newest value per (token, set): each batch is merged into a new table version.
+    """Last write wins per (token, set) without rewriting the table.
 
-    Versions are folders ``path/v=<batch>``; readers take the highest complete one. A batch that
-    is run again after a failure overwrites its own version, so the result does not change.
+    Each batch adds its newest row per key in a folder of its own; readers take the newest row
+    over all folders. A batch that runs again after a failure overwrites its own folder only.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        incoming = with_expiry(batch.drop("expires_at"))
-        previous = newest_version(spark, path, before=number)
-        if previous is not None:
-            stored = spark.read.schema(incoming.schema).parquet(previous)
-            incoming = stored.unionByName(incoming)
-        latest_features(incoming, tie_break).write.mode("overwrite").parquet(f"{path}/v={number}")
+    def add(batch: DataFrame, number: int) -> None:
+        newest = latest_features(with_expiry(batch.drop("expires_at")), tie_break)
+        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
-        stream.writeStream.foreachBatch(merge)
+        stream.writeStream.foreachBatch(add)
         .option("checkpointLocation", state)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def newest_version(spark, path: str, before: int | None = None) -> str | None:
-    """Path of the highest version folder that was written completely."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return None
-    found = []
-    for entry in files.listStatus(root):
-        name = entry.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
-        if name.startswith("v=") and files.exists(done):
-            number = int(name[2:])
-            if before is None or number < before:
-                found.append(number)
-    return f"{path}/v={max(found)}" if found else None
+def read_upserted(spark: SparkSession, path: str, tie_break: str = "source") -> DataFrame:
+    """The current row per (token, set) over all batches."""
+    stored = spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+    return latest_features(stored, tie_break)
+
+
+def compact_features(spark: SparkSession, path: str, target: str, tie_break: str = "source") -> None:
+    """Rewrite an upserted table as one batch in a new place, to be done now and then."""
+    read_upserted(spark, path, tie_break).write.mode("overwrite").parquet(f"{target}/batch=0")
 
 
 class LatestValue(StatefulProcessor):
