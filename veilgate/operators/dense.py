@@ -100,15 +100,19 @@ class BlockTop:
             dense += self.marks[i].tolist()
             count += greater.tolist()
             ties += [0] * len(greater)
-        return pd.DataFrame(
-            {
-                "query_id": pd.Series(query, dtype=object),
-                "chunk_id": pd.Series(chunk, dtype=object),
-                "dense": pd.Series(dense, dtype="float64"),
-                "n": pd.array(count, dtype="Int64"),
-                "cut_ties": pd.Series(ties, dtype="int64"),
-            }
-        )
+        return _hits_frame(query, chunk, dense, count, ties)
+
+
+def _hits_frame(query: list, chunk: list, dense: list, count: list, ties: list) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "query_id": pd.Series(query, dtype=object),
+            "chunk_id": pd.Series(chunk, dtype=object),
+            "dense": pd.Series(dense, dtype="float64"),
+            "n": pd.array(count, dtype="Int64"),
+            "cut_ties": pd.Series(ties, dtype="int64"),
+        }
+    )
 
 
 def score_hits(corpus: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
@@ -179,9 +183,7 @@ def _tiled(
 def _cogrouped(vectors: DataFrame, asked: DataFrame, keys: list[str], depth: int) -> DataFrame:
     def tile(chunks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(chunks):
-            return pd.DataFrame(
-                {name: [] for name in ("query_id", "chunk_id", "dense", "n", "cut_ties")}
-            )
+            return _hits_frame([], [], [], [], [])
         top = BlockTop(queries, depth)
         top.add(chunks)
         return top.rows()

@@ -268,8 +268,8 @@ def governed_search(
         visible("document_id").alias("document_id"),
         visible("safe_text").alias("text"),
         F.round(visible("score"), 4).alias("score"),
-        visible("was_modified").alias("pii_masked"),
-        F.when(~aborted, F.col("pii_detected")).alias("pii_detected"),
+        (F.col("was_modified") & ~aborted).alias("pii_masked"),
+        (F.col("pii_detected") | aborted).alias("pii_detected"),
     )
 
 

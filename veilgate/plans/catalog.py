@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilgate.plans import text_oracles, text_queries
+from veilgate.plans import search_oracles, search_queries, text_oracles, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLES = {**text_oracles.ORACLES}
+QUERIES = {**text_queries.QUERIES, **search_queries.QUERIES}
+ORACLES = {**text_oracles.ORACLES, **search_oracles.ORACLES}
