@@ -13,12 +13,6 @@ def _hex_head(value: Column, digits: int) -> Column:
     return F.upper(F.substring(F.sha2(value, 256), 1, digits))
 
 
-def surrogate(entity_type: Column, original: Column, scope: Column | None = None) -> Column:
-    """``[TYPE:HASH8]``; with a scope the hash also covers the scope and the type."""
-    hashed = original if scope is None else F.concat_ws(":", scope, entity_type, original)
-    return F.concat(F.lit("["), entity_type, F.lit(":"), _hex_head(hashed, 8), F.lit("]"))
-
-
 def entity_token(session_id: Column, id_type: Column, id_value: Column) -> Column:
     """A token that is stable within one session and differs between sessions."""
     return F.concat(F.lit(TOKEN_PREFIX), _hex_head(F.concat_ws(":", session_id, id_type, id_value), 16))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from veilgate.functions import sqltext
 from veilgate.functions.patterns import DEFAULT_THRESHOLD, ENTITY_TYPES, MODES
 
 
@@ -70,28 +70,25 @@ class RuleSet:
 
     # -- compilation --------------------------------------------------------------------------
 
-    def mode_of(self, entity: Column) -> Column:
-        chain = F.lit(self.global_mode)
-        for rule in self.rules:
-            chain = F.when(entity == rule.entity_type, F.lit(rule.mode)).otherwise(chain)
-        return chain
+    def mode_of(self, entity: str) -> str:
+        """SQL text for the mode of an entity type expression."""
+        return sqltext.lookup(entity, {r.entity_type: r.mode for r in self.rules}, self.global_mode)
 
-    def threshold_of(self, entity: Column) -> Column:
-        chain = F.lit(DEFAULT_THRESHOLD)
-        for rule in self.rules:
-            chain = F.when(entity == rule.entity_type, F.lit(rule.score_threshold)).otherwise(chain)
-        return chain
+    def threshold_of(self, entity: str) -> str:
+        limits = {r.entity_type: float(r.score_threshold) for r in self.rules}
+        return sqltext.lookup(entity, limits, DEFAULT_THRESHOLD)
 
-    def exempt_types(self, role: Column | None) -> Column:
-        """The entity types a row's role sees in plain text; a null role sees none."""
+    def exempt_types(self, role: str | None) -> str:
+        """SQL text for the entity types a role sees in plain text; a null role sees none."""
         granted = [
-            F.when(role.isin(*r.allowed_agent_roles), F.lit(r.entity_type))
+            f"CASE WHEN {role} IN ({sqltext.texts(r.allowed_agent_roles)}) "
+            f"THEN {sqltext.text(r.entity_type)} END"
             for r in self.rules
             if role is not None and r.allowed_agent_roles
         ]
         if not granted:
-            return F.array().cast("array<string>")
-        return F.array_compact(F.array(*granted))
+            return sqltext.empty("string")
+        return f"array_compact(array({', '.join(granted)}))"
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilgate.functions import sqltext
+
 MAX_CHUNK_WORDS = 512
 
 # --- Fixed values: English stop words of the full-text configuration -------------------------
@@ -24,14 +26,19 @@ STOP_WORDS = tuple(
 # ----------------------------------------------------------------------------------------------
 
 
-def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits, stop words kept."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def words(text: str) -> Column:
+    """Lower-cased runs of letters and digits of an SQL expression, stop words kept."""
+    return F.expr(words_of(text))
+
+
+def terms(text: str) -> Column:
+    """Search terms of an SQL expression: words without stop words. No stemming."""
+    return F.expr(f"filter({words_of(text)}, w -> w NOT IN ({sqltext.texts(STOP_WORDS)}))")
 
 
-def terms(text: Column) -> Column:
-    """Search terms: words without stop words. No stemming."""
-    return F.filter(words(text), lambda w: ~w.isin(*STOP_WORDS))
+def words_of(text: str) -> str:
+    """The SQL text behind ``words``."""
+    return rf"filter(split(lower({text}), r'[^\p{{L}}\p{{N}}]+'), w -> w <> '')"
 
 
 def embedding_key(text: Column) -> Column:
@@ -40,13 +47,13 @@ def embedding_key(text: Column) -> Column:
     return F.md5(F.trim(collapsed))
 
 
-def word_pieces(words_column: Column, size: int = MAX_CHUNK_WORDS) -> Column:
-    """Consecutive pieces of at most ``size`` words of an already split (non-null) word array."""
-    count = F.ceil(F.size(words_column) / F.lit(size)).cast("int")
-    return F.when(
-        F.size(words_column) > 0,
-        F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda i: F.array_join(F.slice(words_column, i * size + 1, F.lit(size)), " "),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+def word_pieces(text: str, size: int = MAX_CHUNK_WORDS) -> Column:
+    """Consecutive pieces of at most ``size`` whitespace-separated words, single-spaced.
+
+    One pass of a possessive pattern, so the work grows with the length of the text.
+    """
+    run = rf"\S++(?:\s++\S++){{0,{size - 1}}}+"
+    return F.expr(
+        f"transform(regexp_extract_all({text}, {sqltext.raw(run)}, 0), "
+        r"p -> regexp_replace(p, r'\s+', ' '))"
+    )

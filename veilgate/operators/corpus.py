@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgate.functions import vectors
+from veilgate.functions import sqltext, vectors
 from veilgate.functions.rules import RuleSet
 from veilgate.functions.text import MAX_CHUNK_WORDS, embedding_key, terms, word_pieces
 from veilgate.operators.keyed import balanced_join
@@ -24,10 +24,8 @@ def chunk_documents(
 ) -> DataFrame:
     """One row per chunk: ``chunk_id``, ``chunk_index`` and ``chunk_text`` beside the other columns."""
     kept = [c for c in documents.columns if c != text]
-    split = documents.withColumn(
-        "_words", F.coalesce(F.filter(F.split(text, r"\s+"), lambda w: w != ""), F.array())
-    ).withColumn("_pieces", word_pieces(F.col("_words"), size))
-    return split.select(*kept, F.posexplode("_pieces").alias("chunk_index", "chunk_text")).withColumn(
+    pieces = word_pieces(sqltext.name(text), size)
+    return documents.select(*kept, F.posexplode(pieces).alias("chunk_index", "chunk_text")).withColumn(
         "chunk_id", F.concat_ws(":", F.col(document).cast("string"), F.col("chunk_index"))
     )
 
@@ -60,7 +58,7 @@ def minimum_score(df: DataFrame, score: str, least: float = MIN_RETRIEVAL_SCORE)
 
 def with_terms(chunks: DataFrame, text: str) -> DataFrame:
     """Store the search terms of a chunk next to it (the text-vector column)."""
-    return chunks.withColumn("terms", terms(F.coalesce(F.col(text), F.lit("")))).withColumn(
+    return chunks.withColumn("terms", terms(f"coalesce({sqltext.name(text)}, '')")).withColumn(
         "doc_len", F.size("terms")
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilgate.functions import sqltext
 from veilgate.functions.ids import stable_id
 from veilgate.functions.patterns import (
     NEVER_IN_RESPONSE,
@@ -20,24 +21,26 @@ from veilgate.functions.rules import RuleSet
 from veilgate.operators.shield import entity_types, shield
 
 
-def matches_any(text: Column, patterns: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for pattern in patterns:
-        hit = hit | text.rlike(java_regex(pattern))
-    return F.coalesce(hit, F.lit(False))
+def matches_any(column: str, patterns: Sequence[str]) -> Column:
+    tests = [f"{sqltext.name(column)} RLIKE {sqltext.raw(java_regex(p))}" for p in patterns]
+    return F.expr(f"coalesce({' OR '.join(tests)}, false)")
 
 
-def redact(text: Column, patterns: Sequence[str]) -> Column:
+def redact(column: str, patterns: Sequence[str]) -> Column:
     """Replace the patterns one after the other."""
+    done = sqltext.name(column)
     for pattern in patterns:
-        text = F.regexp_replace(text, java_regex(pattern), REDACTED)
-    return text
+        done = f"regexp_replace({done}, {sqltext.raw(java_regex(pattern))}, '{REDACTED}')"
+    return F.expr(done)
 
 
-def labels_found(text: Column, labelled: Sequence[tuple[str, str]]) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(text.rlike(java_regex(p)), F.lit(label)) for label, p in labelled])
-    )
+def labels_found(column: str, labelled: Sequence[tuple[str, str]]) -> Column:
+    tests = [
+        f"CASE WHEN {sqltext.name(column)} RLIKE {sqltext.raw(java_regex(p))} "
+        f"THEN {sqltext.text(label)} END"
+        for label, p in labelled
+    ]
+    return F.expr(f"array_compact(array({', '.join(tests)}))")
 
 
 def guard_prompts(
@@ -49,12 +52,12 @@ def guard_prompts(
     Only prompts that pass the quick scan reach the shield. A blocked prompt is reported as
     ``blocked`` in strict mode and redacted by the quick-scan patterns otherwise.
     """
-    scanned = df.withColumn("_suspect", matches_any(F.col(prompt), QUICK_SCAN)).withColumn(
+    scanned = df.withColumn("_suspect", matches_any(prompt, QUICK_SCAN)).withColumn(
         "_inspected", F.when(F.col("_suspect"), F.col(prompt))
     )
     checked = shield(scanned, "_inspected", rules, role)
     blocked = F.col("status") == "blocked"
-    on_block = F.lit(None).cast("string") if strict else redact(F.col(prompt), QUICK_SCAN)
+    on_block = F.lit(None).cast("string") if strict else redact(prompt, QUICK_SCAN)
     return (
         checked.withColumn(
             "action",
@@ -82,16 +85,16 @@ def guard_prompts(
 def guard_responses(df: DataFrame, response: str, blocking: bool = True) -> DataFrame:
     """Add ``leakage``, ``entities_found``, ``risk``, ``action``, ``safe_response``."""
     text = F.col(response)
-    scanned = df.withColumn("_never", labels_found(text, NEVER_IN_RESPONSE)).withColumn(
+    scanned = df.withColumn("_never", labels_found(response, NEVER_IN_RESPONSE)).withColumn(
         "_odd",
-        F.when(F.size("_never") == 0, labels_found(text, SUSPICIOUS_IN_RESPONSE)).otherwise(
+        F.when(F.size("_never") == 0, labels_found(response, SUSPICIOUS_IN_RESPONSE)).otherwise(
             F.array().cast("array<string>")
         ),
     )
     leak = F.size("_never") > 0
     odd = F.size("_odd") > 0
     cleaned = (
-        F.lit(None).cast("string") if blocking else redact(text, [p for _, p in NEVER_IN_RESPONSE])
+        F.lit(None).cast("string") if blocking else redact(response, [p for _, p in NEVER_IN_RESPONSE])
     )
     return (
         scanned.withColumn("leakage", leak)
@@ -186,7 +189,7 @@ def sanitise_queries(df: DataFrame, query: str, rules: RuleSet, role: str | None
     checked = shield(df, query, rules, role)
     return checked.withColumn(
         "safe_query",
-        F.when(F.col("status") == "blocked", redact(F.col(query), QUERY_REDACTION)).otherwise(
+        F.when(F.col("status") == "blocked", redact(query, QUERY_REDACTION)).otherwise(
             F.col("safe_text")
         ),
     ).select(*df.columns, "safe_query", (F.col("status") == "blocked").alias("query_redacted"))

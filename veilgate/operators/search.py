@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgate.functions import sqltext
 from veilgate.functions.ids import sha256_hex, stable_id
 from veilgate.functions.rules import RuleSet
-from veilgate.functions.text import words
+from veilgate.functions.text import words, words_of
 from veilgate.functions.vectors import cosine_similarity
 from veilgate.operators.dense import DIGITS, EVERYTHING, best_of, score_hits
 from veilgate.operators.guards import sanitise_queries
@@ -339,36 +340,41 @@ def retrieval_quality(
     ``contexts`` is the ordered array of chunks given to the model. Scores are shares of distinct
     words; precision weighs relevant chunks by their rank. A trained judge can replace them.
     """
-    measured = (
-        answered.withColumn("_q", F.array_distinct(words(F.col(query))))
-        .withColumn("_a", F.array_distinct(words(F.col(answer))))
-        .withColumn("_c", F.transform(contexts, lambda c: F.array_distinct(words(c))))
-        .withColumn("_all", F.array_distinct(F.flatten("_c")))
-        .withColumn("_hits", F.transform("_c", lambda c: F.arrays_overlap(c, F.col("_q"))))
+    measured = answered.withColumns(
+        {
+            "_q": F.array_distinct(words(sqltext.name(query))),
+            "_a": F.array_distinct(words(sqltext.name(answer))),
+            "_c": F.expr(f"transform({sqltext.name(contexts)}, c -> array_distinct({words_of('c')}))"),
+        }
+    ).withColumns(
+        {
+            "_all": F.expr("array_distinct(flatten(_c))"),
+            "_hits": F.expr("transform(_c, c -> arrays_overlap(c, _q))"),
+        }
     )
 
-    def share(part: Column, whole: Column) -> Column:
-        return F.when(
-            F.size(whole) > 0, F.size(F.array_intersect(part, whole)) / F.size(whole)
-        ).otherwise(0.0)
-
-    gains = F.transform(
-        "_hits",
-        lambda hit, i: F.when(
-            hit,
-            F.size(F.filter(F.slice(F.col("_hits"), F.lit(1), i + 1), lambda h: h)) / (i + 1),
-        ).otherwise(0.0),
+    def share(part: str, whole: str) -> Column:
+        return F.expr(
+            f"round(CASE WHEN size({whole}) > 0 "
+            f"THEN size(array_intersect({part}, {whole})) / size({whole}) ELSE 0D END, 3)"
+        )
+
+    precision = F.expr(
+        """round(CASE WHEN exists(_hits, h -> h) THEN
+             aggregate(
+               transform(_hits, (h, i) -> CASE WHEN h
+                 THEN size(filter(slice(_hits, 1, i + 1), x -> x)) / (i + 1) ELSE 0D END),
+               0D, (total, gain) -> total + gain) / size(filter(_hits, h -> h))
+           ELSE 0D END, 3)"""
     )
-    found = F.size(F.filter("_hits", lambda h: h))
-    precision = F.when(
-        found > 0, F.aggregate(gains, F.lit(0.0), lambda total, g: total + g) / found
-    ).otherwise(0.0)
-    scored = (
-        measured.withColumn("num_chunks", F.size(contexts))
-        .withColumn("faithfulness", F.round(share(F.col("_all"), F.col("_a")), 3))
-        .withColumn("answer_relevancy", F.round(share(F.col("_a"), F.col("_q")), 3))
-        .withColumn("context_precision", F.round(precision, 3))
-        .withColumn("context_recall", F.round(share(F.col("_all"), F.col("_q")), 3))
+    scored = measured.withColumns(
+        {
+            "num_chunks": F.size(contexts),
+            "faithfulness": share("_all", "_a"),
+            "answer_relevancy": share("_a", "_q"),
+            "context_precision": precision,
+            "context_recall": share("_all", "_q"),
+        }
     )
     weakest = F.least("faithfulness", "answer_relevancy", "context_precision", "context_recall")
     return (

@@ -10,107 +10,98 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgate.functions.ids import stable_id, surrogate
+from veilgate.functions import sqltext
+from veilgate.functions.ids import stable_id
 from veilgate.functions.patterns import RECOGNISERS, Recogniser
 from veilgate.functions.rules import RuleSet
 from veilgate.operators.keyed import is_small, salted_join
 
-SPAN_TYPE = (
+SPAN = (
     "struct<neg_width:int,neg_score:double,ord:int,start:int,end:int,"
     "entity_type:string,score:double,original:string>"
 )
+NO_SPANS = sqltext.empty(SPAN)
 SURROGATE_REGEX = r"\[[A-Z_]+:[0-9A-F]{8}\]"
+RESULT_COLUMNS = (
+    "detections",
+    "status",
+    "blocked_type",
+    "safe_text",
+    "was_modified",
+    "token_map",
+)
 Detector = Callable[[Column], Column]
 
 
-def _empty(element: str) -> Column:
-    return F.array().cast(f"array<{element}>")
-
-
-def _span(entity: Column, start: Column, end: Column, score: Column, order: int, original: Column):
-    return F.struct(
-        (start - end).cast("int").alias("neg_width"),
-        (-score).alias("neg_score"),
-        F.lit(order).alias("ord"),
-        start.cast("int").alias("start"),
-        end.cast("int").alias("end"),
-        entity.alias("entity_type"),
-        score.alias("score"),
-        original.alias("original"),
+def _span(entity: str, start: str, end: str, score: str, order: int, original: str) -> str:
+    """SQL text of one span; its leading fields give the order of preference."""
+    return (
+        f"named_struct('neg_width', ({start}) - ({end}), 'neg_score', -{score}, 'ord', {order}, "
+        f"'start', {start}, 'end', {end}, 'entity_type', {entity}, 'score', {score}, "
+        f"'original', {original})"
     )
 
 
-def _may_match(text: Column, recogniser: Recogniser) -> Column:
-    if recogniser.needs == "digit":
-        return text.rlike(r"(?U)\d")
-    if recogniser.needs == "at":
-        return text.contains("@")
-    return text.isNotNull()
-
-
-def _located(text: Column, matches: Column, recogniser: Recogniser, order: int) -> Column:
-    """Turn the matches of one pattern into spans.
+def _located(text: str, matches: str, recogniser: Recogniser, order: int) -> str:
+    """SQL text turning the matches of one pattern into spans.
 
     Splitting by the same pattern yields the text between the matches, so running lengths give
     the offsets.
     """
-    between = F.split(text, recogniser.regex, -1)
-    steps = F.filter(
-        F.zip_with(
-            between,
-            matches,
-            lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")),
-        ),
-        lambda step: step["hit"].isNotNull(),
+    span = _span(
+        sqltext.text(recogniser.entity_type),
+        "run.at + step.gap",
+        "run.at + step.gap + length(step.hit)",
+        f"{recogniser.score!r}D",
+        order,
+        "step.hit",
     )
-
-    def extend(state, step):
-        start = state["at"] + step["gap"]
-        end = start + F.length(step["hit"])
-        span = _span(
-            F.lit(recogniser.entity_type), start, end, F.lit(recogniser.score), order, step["hit"]
-        )
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
-
-    seed = F.struct(F.lit(0).alias("at"), _empty(SPAN_TYPE).alias("spans"))
-    return F.aggregate(steps, seed, extend, lambda state: state["spans"])
-
-
-def _adopted(found: Column, rules: RuleSet, order: int) -> Column:
-    """Spans of a plugged-in detector, gated by the rule thresholds."""
-    passing = F.filter(found, lambda d: d["score"] >= rules.threshold_of(d["entity_type"]))
-    return F.transform(
-        passing,
-        lambda d: _span(
-            d["entity_type"], d["start"], d["end"], d["score"].cast("double"), order, d["original"]
-        ),
+    return f"""
+    CASE WHEN size({matches}) > 0 THEN aggregate(
+      filter(
+        zip_with(
+          split({text}, {sqltext.raw(recogniser.regex)}, -1), {matches},
+          (gap, hit) -> named_struct('gap', length(gap), 'hit', hit)),
+        step -> step.hit IS NOT NULL),
+      named_struct('at', 0, 'spans', {NO_SPANS}),
+      (run, step) -> named_struct(
+        'at', run.at + step.gap + length(step.hit), 'spans', concat(run.spans, array({span}))),
+      run -> run.spans)
+    ELSE {NO_SPANS} END"""
+
+
+def _gated(text: str, recogniser: Recogniser) -> str:
+    """SQL text of a pattern's matches, behind a cheap test that every match must pass."""
+    found = f"regexp_extract_all({text}, {sqltext.raw(recogniser.regex)}, 0)"
+    needed = {"digit": "_digit", "at": f"contains({text}, '@')"}.get(recogniser.needs)
+    return f"CASE WHEN {needed} THEN {found} END" if needed else found
+
+
+def _adopted(found: str, rules: RuleSet, order: int) -> str:
+    """SQL text of a plugged-in detector's spans, gated by the rule thresholds."""
+    span = _span(
+        "d.entity_type",
+        "CAST(d.start AS INT)",
+        "CAST(d.end AS INT)",
+        "CAST(d.score AS DOUBLE)",
+        order,
+        "d.original",
     )
+    passing = f"filter({found}, d -> d.score >= {rules.threshold_of('d.entity_type')})"
+    return f"coalesce(transform({passing}, d -> {span}), {NO_SPANS})"
 
 
-def _without_overlaps(spans: Column) -> Column:
-    """Greedy choice: widest first, then higher score, then detection order."""
-    ranked = F.array_sort(spans)
+# Greedy choice: widest first, then higher score, then detection order.
+WITHOUT_OVERLAPS = f"""
+CASE WHEN size(_every) < 2 THEN _every ELSE aggregate(
+  array_sort(_every), {NO_SPANS},
+  (kept, c) -> CASE WHEN exists(kept, k -> k.start < c.end AND k.end > c.start) THEN kept
+    ELSE concat(kept, array(c)) END) END"""
 
-    def keep(kept, candidate):
-        clash = F.exists(
-            kept,
-            lambda k: (k["start"] < candidate["end"]) & (k["end"] > candidate["start"]),
-        )
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(candidate)))
-
-    return F.when(F.size(spans) < 2, spans).otherwise(
-        F.aggregate(ranked, _empty(SPAN_TYPE), keep)
-    )
-
-
-def _right_to_left(spans: Column) -> Column:
-    by_start = F.array_sort(
-        F.transform(
-            spans,
-            lambda s: F.struct(s["start"], s["end"], s["entity_type"], s["score"], s["original"]),
-        )
-    )
-    return F.reverse(by_start)
+RIGHT_TO_LEFT = """
+reverse(array_sort(transform(_chosen, s -> named_struct(
+  'start', s.start, 'end', s.end, 'entity_type', s.entity_type, 'score', s.score,
+  'original', s.original))))"""
 
 
 def detect(
@@ -128,50 +119,45 @@ def detect(
     ``gate`` drops detections below the rule thresholds before overlaps are resolved. With
     ``resolve=False`` every detection of every recogniser is returned.
     """
-    source = F.col(text)
+    source = sqltext.name(text)
     active = [
         (i, r)
         for i, r in enumerate(recognisers)
         if not gate or r.score >= rules.threshold(r.entity_type)
     ]
-    matches = {
-        f"_m{i}": F.when(
-            _may_match(source, r), F.regexp_extract_all(source, F.lit(r.regex), F.lit(0))
-        )
-        for i, r in active
-    }
-    staged = df.withColumns(matches) if matches else df
-    found = [
-        F.when(F.size(f"_m{i}") > 0, _located(source, F.col(f"_m{i}"), r, i)).otherwise(
-            _empty(SPAN_TYPE)
-        )
-        for i, r in active
-    ]
-    for n, detector in enumerate(detectors):
-        found.append(
-            F.coalesce(_adopted(detector(source), rules, len(recognisers) + n), _empty(SPAN_TYPE))
-        )
-    every = F.concat(*found) if found else _empty(SPAN_TYPE)
-    staged = staged.withColumn("_every", every).drop(*matches)
-    chosen = _without_overlaps(F.col("_every")) if resolve else F.col("_every")
-    return (
-        staged.withColumn("_chosen", chosen)
-        .withColumn(out, _right_to_left(F.col("_chosen")))
-        .drop("_every", "_chosen")
+    plugged = {f"_d{n}": detector(F.col(text)) for n, detector in enumerate(detectors)}
+    staged = df.withColumns({"_digit": F.expr(f"{source} RLIKE r'(?U)\\d'"), **plugged})
+    matches = {f"_m{i}": F.expr(_gated(source, r)) for i, r in active}
+    staged = staged.withColumns(matches) if matches else staged
+    found = [_located(source, f"_m{i}", r, i) for i, r in active]
+    found += [_adopted(d, rules, len(recognisers) + n) for n, d in enumerate(plugged)]
+    every = f"concat({', '.join(found)})" if found else NO_SPANS
+    ranked = staged.withColumn("_every", F.expr(every)).withColumn(
+        "_chosen", F.expr(WITHOUT_OVERLAPS if resolve else "_every")
     )
+    kept = [c for c in df.columns if c != out]
+    return ranked.select(*kept, evaluated_once(F.expr(RIGHT_TO_LEFT)).alias(out))
+
+
+def evaluated_once(value: Column) -> Column:
+    """A generator of one row around a costly value.
+
+    Filters on the result stay above it; pushed below, they would repeat the whole expression.
+    """
+    return F.explode(F.array(value))
 
 
 def shield(
     df: DataFrame,
     text: str,
     rules: RuleSet,
-    role: str | Column | None = None,
+    role: str | None = None,
     recognisers: Sequence[Recogniser] = RECOGNISERS,
     detectors: Sequence[Detector] = (),
-    scope: Column | None = None,
+    scope: str | None = None,
     on_block: str = "quarantine",
 ) -> DataFrame:
-    """Detect, resolve and protect one text column.
+    """Detect, resolve and protect one text column; ``role`` and ``scope`` name columns.
 
     Adds ``detections`` (right to left, with replacement and applied mode), ``status``
     (``ok``/``blocked``), ``blocked_type`` (the right-most blocked entity), ``safe_text`` (null
@@ -180,83 +166,69 @@ def shield(
     """
     if on_block not in ("quarantine", "drop", "fail"):
         raise ValueError(f"unknown on_block {on_block!r}")
-    role_column = F.col(role) if isinstance(role, str) else role
-    found = detect(df, text, rules, recognisers, detectors).withColumn(
-        "_exempt", rules.exempt_types(role_column)
-    )
-
-    def apply(span):
-        entity, original = span["entity_type"], span["original"]
-        exempt = F.array_contains(F.col("_exempt"), entity)
-        mode = rules.mode_of(entity)
-        replacement = (
-            F.when(exempt, original)
-            .when(mode == "token", surrogate(entity, original, scope))
-            .otherwise(F.concat(F.lit("["), entity, F.lit("]")))
-        )
-        return F.struct(
-            entity.alias("entity_type"),
-            span["start"].alias("start"),
-            span["end"].alias("end"),
-            span["score"].alias("score"),
-            original.alias("original"),
-            replacement.alias("replacement"),
-            F.when(exempt, F.lit("mask")).otherwise(mode).alias("mode"),
-        )
-
-    any_span = F.size("spans") > 0
-    applied = found.withColumn("detections", F.transform("spans", apply)).withColumn(
-        "_blocked", F.filter("detections", lambda d: d["mode"] == "block")
-    )
-    rewritten = F.aggregate(
-        "detections",
-        F.col(text),
-        lambda so_far, d: F.concat(
-            F.substr(so_far, F.lit(1), d["start"]),
-            d["replacement"],
-            F.substr(so_far, d["end"] + 1),
-        ),
-    )
-    blocked = F.size("_blocked") > 0
+    source = sqltext.name(text)
+    mode = rules.mode_of("d.entity_type")
+    exempt = "array_contains(_exempt, d.entity_type)"
+    hashed = "d.original"
+    if scope is not None:
+        hashed = f"concat_ws(':', {sqltext.name(scope)}, d.entity_type, d.original)"
+    detections = f"""transform(spans, d -> named_struct(
+      'entity_type', d.entity_type, 'start', d.start, 'end', d.end, 'score', d.score,
+      'original', d.original,
+      'replacement', CASE
+        WHEN {exempt} THEN d.original
+        WHEN {mode} = 'token' THEN
+          concat('[', d.entity_type, ':', upper(substring(sha2({hashed}, 256), 1, 8)), ']')
+        ELSE concat('[', d.entity_type, ']') END,
+      'mode', CASE WHEN {exempt} THEN 'mask' ELSE {mode} END))"""
+    rewritten = f"""aggregate(detections, {source}, (t, d) -> concat(
+      substring(t, 1, d.start), d.replacement, substring(t, d.end + 1)))"""
+    # Where two originals share a token, the left-most one is kept.
+    token_map = """
+    CASE WHEN status = 'blocked' OR size(_tokens) = 0
+      THEN CAST(map() AS map<string,string>)
+      ELSE map_from_arrays(
+        array_distinct(_tokens.replacement),
+        transform(array_distinct(_tokens.replacement),
+          t -> element_at(filter(_tokens, d -> d.replacement = t), -1).original)) END"""
     protected = (
-        applied.withColumn("status", F.when(blocked, "blocked").otherwise("ok"))
-        .withColumn("blocked_type", F.try_element_at("_blocked", F.lit(1))["entity_type"])
-        .withColumn(
-            "safe_text",
-            F.when(~blocked, F.when(any_span, rewritten).otherwise(F.col(text))),
+        detect(df, text, rules, recognisers, detectors)
+        .withColumn("_exempt", F.expr(rules.exempt_types(sqltext.name(role) if role else None)))
+        .withColumn("detections", F.expr(detections))
+        .withColumn("_blocked", F.expr("filter(detections, d -> d.mode = 'block')"))
+        .withColumns(
+            {
+                "status": F.expr("CASE WHEN size(_blocked) > 0 THEN 'blocked' ELSE 'ok' END"),
+                "blocked_type": F.expr("try_element_at(_blocked, 1).entity_type"),
+                "safe_text": F.expr(
+                    f"CASE WHEN size(_blocked) = 0 THEN "
+                    f"CASE WHEN size(detections) > 0 THEN {rewritten} ELSE {source} END END"
+                ),
+                "_tokens": F.expr("filter(detections, d -> d.mode = 'token')"),
+            }
         )
-        .withColumn(
-            "was_modified", F.coalesce(F.col("safe_text") != F.col(text), F.lit(False))
+        .withColumns(
+            {
+                "was_modified": F.expr(f"coalesce(safe_text <> {source}, false)"),
+                "token_map": F.expr(token_map),
+            }
         )
-        .withColumn("_tokens", F.filter("detections", lambda d: d["mode"] == "token"))
-        .withColumn("token_map", _token_map(F.col("_tokens"), blocked))
-        .drop("spans", "_exempt", "_blocked", "_tokens")
+        .withColumn("_result", F.struct(*RESULT_COLUMNS))
+    )
+    kept = [F.col(c) for c in df.columns if c not in RESULT_COLUMNS]
+    protected = protected.select(*kept, evaluated_once(F.col("_result")).alias("_result")).select(
+        *kept, "_result.*"
     )
     if on_block == "drop":
-        return protected.where(F.col("status") == "ok")
+        return protected.where("status = 'ok'")
     if on_block == "fail":
-        stop = F.raise_error(F.concat(F.lit("blocked entity: "), F.col("blocked_type")))
+        stop = "CAST(raise_error(concat('blocked entity: ', blocked_type)) AS STRING)"
         return protected.withColumn(
-            "status", F.when(F.col("status") == "blocked", stop.cast("string")).otherwise("ok")
+            "status", F.expr(f"CASE WHEN status = 'blocked' THEN {stop} ELSE 'ok' END")
         )
     return protected
 
 
-def _token_map(tokens: Column, blocked: Column) -> Column:
-    """Token to original; where two originals share a token the left-most one is kept."""
-    names = F.array_distinct(F.transform(tokens, lambda d: d["replacement"]))
-    values = F.transform(
-        names,
-        lambda name: F.element_at(F.filter(tokens, lambda d: d["replacement"] == name), -1)[
-            "original"
-        ],
-    )
-    nothing = F.map_from_arrays(_empty("string"), _empty("string"))
-    return F.when(blocked | (F.size(tokens) == 0), nothing).otherwise(
-        F.map_from_arrays(names, values)
-    )
-
-
 # -- results derived from shielded rows -----------------------------------------------------------
 
 
@@ -313,10 +285,9 @@ def detokenize(df: DataFrame, key: str, text: str, vault_table: DataFrame) -> Da
     per_text = known.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("token", "original"))).alias("_known")
     )
-    restored = F.aggregate(
-        F.coalesce(F.col("_known"), _empty("struct<token:string,original:string>")),
-        F.col(text),
-        lambda so_far, pair: F.replace(so_far, pair["token"], pair["original"]),
+    restored = F.expr(
+        f"CASE WHEN _known IS NULL THEN {sqltext.name(text)} ELSE aggregate(_known, "
+        f"{sqltext.name(text)}, (t, p) -> replace(t, p.token, p.original)) END"
     )
     return df.join(per_text, key, "left").withColumn("restored_text", restored).drop("_known")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgate.functions import sqltext
 from veilgate.functions.text import terms
 from veilgate.operators.keyed import is_small, salted_join
 from veilgate.session import settle
@@ -20,7 +21,7 @@ def query_terms(queries: DataFrame, text: str) -> DataFrame:
         F.col("query_id").cast("string").alias("query_id"),
         "domain",
         "cutoff",
-        F.explode(F.array_distinct(terms(F.coalesce(F.col(text), F.lit(""))))).alias("term"),
+        F.explode(F.array_distinct(terms(f"coalesce({sqltext.name(text)}, '')"))).alias("term"),
     )
 
 

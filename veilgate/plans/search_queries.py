@@ -192,11 +192,10 @@ def answer_flow(spark, sf):
 
 def document_fetch(spark, sf):
     """Every customer asks for a document; numbers beyond the registry are missing."""
-    number = F.col("c_custkey")
-    requests = T.table(spark, sf, "customer").select(
-        number.alias("request_id"),
-        number.cast("string").alias("document_id"),
-        T.pick(T.ROLES, F.col("c_nationkey")).alias("agent_role"),
+    requests = T.table(spark, sf, "customer").selectExpr(
+        "c_custkey AS request_id",
+        "CAST(c_custkey AS STRING) AS document_id",
+        f"{T.pick(T.ROLES, 'c_nationkey')} AS agent_role",
     )
     stored = T.documents(spark, sf).select("document_id", "text")
     return search.fetch_documents(requests, stored, "text", RECOMMENDED_RULES).select(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgate.functions.ids import entity_token
+from veilgate.functions import sqltext
 from veilgate.operators.corpus import chunk_documents, visible, with_terms
 from veilgate.session import settle
 
@@ -18,80 +18,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(values: tuple[str, ...], number: Column) -> Column:
-    options = F.array(*[F.lit(v) for v in values])
-    return F.element_at(options, (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
+def pick(values: tuple[str, ...], number: str) -> str:
+    """SQL text choosing one of the values by a number."""
+    return f"element_at(array({sqltext.texts(values)}), CAST(pmod({number}, {len(values)}) AS INT) + 1)"
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Servicing notes about customers, holding every kind of detectable identifier."""
-    key = F.col("c_custkey")
-
-    def digits(n: int) -> Column:
-        return F.lpad((key % 10**n).cast("string"), n, "0")
-
-    parts = [
-        F.concat(F.lit("Account ENT-"), digits(10)),
-        F.concat(F.lit(" mail user"), key.cast("string"), F.lit("@example.com")),
-        F.concat(F.lit(" call 415-555-"), digits(4)),
-        F.when(
-            F.col("c_mktsegment") == "BUILDING",
-            F.concat(F.lit(" SSN "), digits(3), F.lit("-45-"), digits(4)),
-        ).otherwise(""),
-        F.when(
-            F.col("c_mktsegment") == "AUTOMOBILE",
-            F.concat(F.lit(" card 4532-0151-1283-"), digits(4)),
-        ).otherwise(""),
-        F.when(
-            F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit(" acct #"), digits(12))
-        ).otherwise(""),
-        F.when(
-            F.col("c_mktsegment") == "HOUSEHOLD", F.concat(F.lit(" ref AB-"), digits(10), F.lit(" ok"))
-        ).otherwise(""),
-    ]
-    return table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("note:"), key.cast("string")).alias("text_id"),
-        F.concat(*parts).alias("text"),
-        pick(ROLES, F.col("c_nationkey")).alias("agent_role"),
+
+    def digits(n: int) -> str:
+        return f"lpad(CAST(c_custkey % {10**n} AS STRING), {n}, '0')"
+
+    note = f"""concat(
+      'Account ENT-', {digits(10)}, ' mail user', c_custkey, '@example.com',
+      ' call 415-555-', {digits(4)},
+      CASE c_mktsegment
+        WHEN 'BUILDING' THEN concat(' SSN ', {digits(3)}, '-45-', {digits(4)})
+        WHEN 'AUTOMOBILE' THEN concat(' card 4532-0151-1283-', {digits(4)})
+        WHEN 'MACHINERY' THEN concat(' acct #', {digits(12)})
+        WHEN 'HOUSEHOLD' THEN concat(' ref AB-', {digits(10)}, ' ok')
+        ELSE '' END)"""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "concat('note:', c_custkey) AS text_id",
+        f"{note} AS text",
+        f"{pick(ROLES, 'c_nationkey')} AS agent_role",
     )
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All text of the test tables: documents, pages, conversations and notes."""
-    documents = table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("text_id"),
-        "text",
-        pick(ROLES, F.col("doc_id")).alias("agent_role"),
+    documents = table(spark, sf_dir, "documents").selectExpr(
+        "concat('doc:', doc_id) AS text_id", "text", f"{pick(ROLES, 'doc_id')} AS agent_role"
     )
-    pages = table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("text_id"),
-        F.col("html").alias("text"),
-        pick(ROLES, F.col("page_id")).alias("agent_role"),
+    pages = table(spark, sf_dir, "pages").selectExpr(
+        "concat('page:', page_id) AS text_id",
+        "html AS text",
+        f"{pick(ROLES, 'page_id')} AS agent_role",
     )
-    turns = table(spark, sf_dir, "conversations").select(
-        F.concat_ws(":", F.lit("turn"), F.col("conv_id"), F.col("turn")).alias("text_id"),
+    turns = table(spark, sf_dir, "conversations").selectExpr(
+        "concat_ws(':', 'turn', conv_id, turn) AS text_id",
         "text",
-        pick(ROLES, F.col("conv_id")).alias("agent_role"),
+        f"{pick(ROLES, 'conv_id')} AS agent_role",
     )
     return documents.unionByName(pages).unionByName(turns).unionByName(notes(spark, sf_dir))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document registry with the governance columns of the chunk schema."""
-    number = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
-        number.cast("string").alias("document_id"),
-        F.col("lang").alias("domain"),
-        F.col("source").alias("source_uri"),
-        F.when(number % 10 == 0, "RESTRICTED")
-        .when(number % 10 < 4, "INTERNAL")
-        .otherwise("STANDARD")
-        .alias("data_class"),
-        (number % 17 != 0).alias("is_active"),
-        (
-            F.lit(AS_OF).cast("timestamp") - F.make_dt_interval((number % 120).cast("int"))
-        ).alias("updated_at"),
-        F.when(number % 9 == 0, "older-model").otherwise("current-model").alias("embedding_model_id"),
+    return table(spark, sf_dir, "documents").selectExpr(
+        "CAST(doc_id AS STRING) AS document_id",
+        "lang AS domain",
+        "source AS source_uri",
+        """CASE WHEN doc_id % 10 = 0 THEN 'RESTRICTED' WHEN doc_id % 10 < 4 THEN 'INTERNAL'
+             ELSE 'STANDARD' END AS data_class""",
+        "doc_id % 17 <> 0 AS is_active",
+        f"TIMESTAMP '{AS_OF}' - make_dt_interval(CAST(doc_id % 120 AS INT)) AS updated_at",
+        """CASE WHEN doc_id % 9 = 0 THEN 'older-model' ELSE 'current-model' END
+             AS embedding_model_id""",
         "text",
     )
 
@@ -113,50 +96,49 @@ def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search requests: benchmark passages with the vector of the same number."""
-    number = F.col("item_id")
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector")
+    vectors = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS item_id", "embedding AS query_vector"
     )
     return (
         table(spark, sf_dir, "benchmark")
         .join(vectors, "item_id", "left")
-        .select(
-            number.cast("string").alias("query_id"),
-            F.col("text").alias("query"),
+        .selectExpr(
+            "CAST(item_id AS STRING) AS query_id",
+            "text AS query",
             "query_vector",
-            pick(DOMAINS, number).alias("domain"),
-            (
-                F.lit(AS_OF).cast("timestamp")
-                - F.make_dt_interval((F.lit(30) + (number % 4) * 30).cast("int"))
-            ).alias("cutoff"),
-            (number % 6 + 1).cast("int").alias("top_k"),
-            F.concat(F.lit("agent-"), (number % 7).cast("string")).alias("agent_id"),
-            pick(ROLES, number).alias("agent_role"),
-            F.concat(F.lit("session-"), (number % 11).cast("string")).alias("session_id"),
+            f"{pick(DOMAINS, 'item_id')} AS domain",
+            f"""TIMESTAMP '{AS_OF}' - make_dt_interval(CAST(30 + (item_id % 4) * 30 AS INT))
+                  AS cutoff""",
+            "CAST(item_id % 6 + 1 AS INT) AS top_k",
+            "concat('agent-', item_id % 7) AS agent_id",
+            f"{pick(ROLES, 'item_id')} AS agent_role",
+            "concat('session-', item_id % 11) AS session_id",
         )
     )
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts: every conversation turn and every servicing note, with a session."""
-    return texts(spark, sf_dir).where(
-        F.col("text_id").startswith("turn:") | F.col("text_id").startswith("note:")
-    ).select(
-        F.col("text_id").alias("prompt_id"),
-        F.col("text").alias("prompt"),
-        F.concat(F.lit("agent-"), F.col("agent_role")).alias("agent_id"),
-        "agent_role",
-        F.concat(F.lit("session-"), F.substring(F.md5("text_id"), 1, 4)).alias("session_id"),
+    return (
+        texts(spark, sf_dir)
+        .where("text_id LIKE 'turn:%' OR text_id LIKE 'note:%'")
+        .selectExpr(
+            "text_id AS prompt_id",
+            "text AS prompt",
+            "concat('agent-', agent_role) AS agent_id",
+            "agent_role",
+            "concat('session-', substring(md5(text_id), 1, 4)) AS session_id",
+        )
     )
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses: all texts, as if a model had repeated them."""
-    return texts(spark, sf_dir).select(
-        F.col("text_id").alias("response_id"),
-        F.col("text").alias("response"),
-        F.concat(F.lit("agent-"), F.col("agent_role")).alias("agent_id"),
-        F.concat(F.lit("session-"), F.substring(F.md5("text_id"), 1, 4)).alias("session_id"),
+    return texts(spark, sf_dir).selectExpr(
+        "text_id AS response_id",
+        "text AS response",
+        "concat('agent-', agent_role) AS agent_id",
+        "concat('session-', substring(md5(text_id), 1, 4)) AS session_id",
     )
 
 
@@ -180,52 +162,37 @@ AUDIT_ROLES = (
 
 def audit_columns(events: DataFrame) -> DataFrame:
     """Audit records from the event table; works on a static and on a streaming frame."""
-    bucket = F.get_json_object("props", "$.k").cast("int")
-    tool = F.lit("evaluate_retrieval_quality")
-    for kind, name in AUDIT_TOOLS.items():
-        tool = F.when(F.col("event_type") == kind, name).otherwise(tool)
-    kind = (
-        F.when(bucket >= 98, "PII_LEAKAGE")
-        .when(bucket >= 95, "PROMPT_BLOCKED")
-        .when(bucket >= 90, "PII_BLOCKED")
-        .when(bucket >= 80, "PII_PROCESSED")
-        .otherwise("MCP_TOOL_CALL")
-    )
-    entity = (
-        F.when(bucket % 4 != 0, F.array().cast("array<string>"))
-        .when(bucket >= 90, F.array(F.lit("US_SSN"), F.lit("EMAIL_ADDRESS")))
-        .when(bucket % 8 == 0, F.array(F.lit("EMAIL_ADDRESS"), F.lit("PHONE_NUMBER")))
-        .otherwise(F.array(F.lit("ACCOUNT_NUMBER")))
-    )
-    mode = (
-        F.when(bucket % 4 != 0, F.array().cast("array<string>"))
-        .when(bucket >= 90, F.array(F.lit("block"), F.lit("mask")))
-        .when(bucket % 8 == 0, F.array(F.lit("mask"), F.lit("mask")))
-        .otherwise(F.array(F.lit("token")))
-    )
-    agent = F.concat(F.lit("agent-"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
-    return events.select(
-        F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("event_id"),
-        kind.alias("event_type"),
-        tool.alias("tool_name"),
-        agent.alias("agent_id"),
-        pick(AUDIT_ROLES, F.col("user_id")).alias("agent_role"),
-        F.concat(agent, F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
-        F.sha2(F.concat(F.lit("query "), F.col("event_id").cast("string")), 256).alias("query_hash"),
-        F.array(
-            F.concat(F.floor(F.col("event_id") / 10).cast("string"), F.lit(":0")),
-            F.concat(F.floor(F.col("event_id") / 20).cast("string"), F.lit(":0")),
-        ).alias("chunk_ids"),
-        (bucket % 4 == 0).alias("pii_detected"),
-        entity.alias("pii_entity_types"),
-        mode.alias("pii_modes_applied"),
-        F.floor(F.col("value") * 10).cast("int").alias("latency_ms"),
-        F.when(bucket >= 98, "CRITICAL")
-        .when(bucket >= 90, "HIGH")
-        .when(bucket >= 80, "WARNING")
-        .otherwise("INFO")
-        .alias("severity"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
+    tools = " ".join(f"WHEN '{kind}' THEN '{tool}'" for kind, tool in AUDIT_TOOLS.items())
+    none = "CAST(array() AS array<string>)"
+    numbered = events.withColumns(
+        {
+            "k": F.expr("CAST(get_json_object(props, '$.k') AS INT)"),
+            "agent_id": F.expr("concat('agent-', lpad(CAST(user_id AS STRING), 6, '0'))"),
+        }
+    )
+    return numbered.selectExpr(
+        "concat('evt-', event_id) AS event_id",
+        """CASE WHEN k >= 98 THEN 'PII_LEAKAGE' WHEN k >= 95 THEN 'PROMPT_BLOCKED'
+             WHEN k >= 90 THEN 'PII_BLOCKED' WHEN k >= 80 THEN 'PII_PROCESSED'
+             ELSE 'MCP_TOOL_CALL' END AS event_type""",
+        f"CASE event_type {tools} ELSE 'evaluate_retrieval_quality' END AS tool_name",
+        "agent_id",
+        f"{pick(AUDIT_ROLES, 'user_id')} AS agent_role",
+        "concat(agent_id, '-', date_format(ts, 'yyyyMMdd')) AS session_id",
+        "sha2(concat('query ', event_id), 256) AS query_hash",
+        "array(concat(event_id div 10, ':0'), concat(event_id div 20, ':0')) AS chunk_ids",
+        "k % 4 = 0 AS pii_detected",
+        f"""CASE WHEN k % 4 <> 0 THEN {none}
+              WHEN k >= 90 THEN array('US_SSN', 'EMAIL_ADDRESS')
+              WHEN k % 8 = 0 THEN array('EMAIL_ADDRESS', 'PHONE_NUMBER')
+              ELSE array('ACCOUNT_NUMBER') END AS pii_entity_types""",
+        f"""CASE WHEN k % 4 <> 0 THEN {none} WHEN k >= 90 THEN array('block', 'mask')
+              WHEN k % 8 = 0 THEN array('mask', 'mask') ELSE array('token') END
+              AS pii_modes_applied""",
+        "CAST(floor(value * 10) AS INT) AS latency_ms",
+        """CASE WHEN k >= 98 THEN 'CRITICAL' WHEN k >= 90 THEN 'HIGH' WHEN k >= 80 THEN 'WARNING'
+             ELSE 'INFO' END AS severity""",
+        "CAST(ts AS TIMESTAMP) AS timestamp",
     )
 
 
@@ -233,8 +200,10 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_columns(table(spark, sf_dir, "events"))
 
 
-def customer_token(key: Column) -> Column:
-    return entity_token(F.lit("sess-001"), F.lit("internal_id"), key.cast("string"))
+def token_of(key: str) -> str:
+    """SQL text of the entity token of a customer key in the session of the tests."""
+    seed = f"concat('sess-001:internal_id:', {key})"
+    return f"concat('TOK_', upper(substring(sha2({seed}, 256), 1, 16)))"
 
 
 FEATURE_SETS_BY_PRIORITY = {
@@ -246,17 +215,14 @@ FEATURE_SETS_BY_PRIORITY = {
 
 def feature_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature values over time: one row per order of a customer."""
-    chosen = F.lit("cross_sell")
-    for priority, name in FEATURE_SETS_BY_PRIORITY.items():
-        chosen = F.when(F.col("o_orderpriority") == priority, name).otherwise(chosen)
-    amount = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").select(
-        customer_token(F.col("o_custkey")).alias("entity_token"),
-        chosen.alias("feature_set"),
-        F.col("o_orderdate").cast("timestamp").alias("as_of"),
-        F.col("o_orderkey").alias("version"),
-        F.round(amount / 600000, 4).alias("value_1"),
-        F.round(F.pmod(amount, F.lit(97.0)), 2).alias("value_2"),
-        (F.col("o_orderkey") % 90).cast("double").alias("value_3"),
-        (F.col("o_orderkey") % 5 + 1).cast("double").alias("value_4"),
+    sets = " ".join(f"WHEN '{p}' THEN '{name}'" for p, name in FEATURE_SETS_BY_PRIORITY.items())
+    return table(spark, sf_dir, "orders").selectExpr(
+        f"{token_of('o_custkey')} AS entity_token",
+        f"CASE o_orderpriority {sets} ELSE 'cross_sell' END AS feature_set",
+        "CAST(o_orderdate AS TIMESTAMP) AS as_of",
+        "o_orderkey AS version",
+        "o_totalprice / 600000 AS value_1",
+        "CAST(o_orderkey % 97 AS DOUBLE) AS value_2",
+        "CAST(o_orderkey % 90 AS DOUBLE) AS value_3",
+        "CAST(o_orderkey % 5 + 1 AS DOUBLE) AS value_4",
     )
