@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilgate.functions import sqltext
 from veilgate.functions.rules import RuleSet
 from veilgate.operators.access import (
     GOVERNANCE_ROLES,
@@ -240,9 +241,9 @@ def contract_checks(
     else:
         measures.append(F.lit(None).cast("timestamp").alias("latest"))
     for i, name in enumerate(texts):
-        tagged = F.array(*[F.lit(t) for t in contract.pii_tags.get(name, ())]).cast("array<string>")
-        untagged = F.exists(f"_pii{i}", lambda s, t=tagged: ~F.array_contains(t, s["entity_type"]))
-        measures.append(F.count_if(untagged).alias(f"pii_{i}"))
+        tags = sqltext.texts(contract.pii_tags.get(name, ()))
+        known = f"s.entity_type IN ({tags})" if tags else "false"
+        measures.append(F.expr(f"count_if(exists(_pii{i}, s -> NOT {known}))").alias(f"pii_{i}"))
     measured = scanned.agg(*measures)
 
     cells = F.col("n") * max(len(required), 1)

@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from veilgate.plans import search_oracles, search_queries, text_oracles, text_queries
+from veilgate.plans import (
+    search_oracles,
+    search_queries,
+    service_oracles,
+    service_queries,
+    stream_oracles,
+    stream_queries,
+    text_oracles,
+    text_queries,
+)
 
-QUERIES = {**text_queries.QUERIES, **search_queries.QUERIES}
-ORACLES = {**text_oracles.ORACLES, **search_oracles.ORACLES}
+_QUERIES = (text_queries, search_queries, service_queries, stream_queries)
+_ORACLES = (text_oracles, search_oracles, service_oracles, stream_oracles)
+
+QUERIES = {name: query for module in _QUERIES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _ORACLES for name, sql in module.ORACLES.items()}
