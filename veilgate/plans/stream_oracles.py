@@ -37,6 +37,6 @@ FROM numbered_s GROUP BY agent_id, g""",
     "stream_latest": f"""WITH {LATEST}
 SELECT entity_token, feature_set, as_of, version, as_of + INTERVAL 24 HOUR AS expires_at FROM latest""",
     "stream_audit": f"""WITH {AUDIT}
-SELECT timestamp::DATE AS event_date, severity, count(*) AS events, count(DISTINCT event_id) AS ids
+SELECT timestamp::DATE::VARCHAR AS event_date, severity, count(*) AS events, count(DISTINCT event_id) AS ids
 FROM audit WHERE timestamp::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY ALL""",
 }

@@ -15,7 +15,8 @@ from veilgate.streaming import streams
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return stream_table(spark, f"{sf}/{name}.parquet", T.table(spark, sf, name).schema)
+    # A pattern, since a stream source takes a plain path for a folder; tables may be single files.
+    return stream_table(spark, f"{sf}/{name}.parque[t]", T.table(spark, sf, name).schema)
 
 
 def audit_stream(spark, sf) -> DataFrame:
@@ -92,7 +93,7 @@ def stream_audit(spark, sf):
         raise TimeoutError("audit stream did not finish")
     return (
         read_audit(spark, path, "2024-01-05", "2024-01-20")
-        .groupBy("event_date", "severity")
+        .groupBy(F.col("event_date").cast("string").alias("event_date"), "severity")
         .agg(F.count(F.lit(1)).alias("events"), F.countDistinct("event_id").alias("ids"))
     )
 
