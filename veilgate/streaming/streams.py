@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from veilgate.functions.rules import RuleSet
 from veilgate.operators.audit import critical, escalate
@@ -151,46 +150,3 @@ def read_upserted(spark: SparkSession, path: str, tie_break: str = "source") ->
 def compact_features(spark: SparkSession, path: str, target: str, tie_break: str = "source") -> None:
     """Rewrite an upserted table as one batch in a new place, to be done now and then."""
     read_upserted(spark, path, tie_break).write.mode("overwrite").parquet(f"{target}/batch=0")
-
-
-class LatestValue(StatefulProcessor):
-    """Newest value per key, forgotten after the lifetime; for long-running streams."""
-
-    def __init__(self, schema: str, time: str, lifetime_ms: int = 86_400_000):
-        self.schema, self.time, self.lifetime_ms = schema, time, lifetime_ms
-
-    def init(self, handle) -> None:
-        self.value = handle.getValueState("latest", self.schema, self.lifetime_ms)
-
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        newest = None
-        for block in rows:
-            if len(block):
-                row = block.sort_values(self.time).iloc[-1]
-                if newest is None or row[self.time] >= newest[self.time]:
-                    newest = row
-        if newest is None:
-            return
-        if self.value.exists():
-            stored = self.value.get()
-            names = [part.strip().split(" ")[0] for part in self.schema.split(",")]
-            if stored[names.index(self.time)] > newest[self.time]:
-                return
-        names = [part.strip().split(" ")[0] for part in self.schema.split(",")]
-        self.value.update(tuple(newest[n] for n in names))
-        yield pd.DataFrame([newest[names].to_dict()])
-
-    def close(self) -> None:
-        pass
-
-
-def latest_with_ttl(stream: DataFrame, keys: list[str], schema: str, time: str) -> DataFrame:
-    """State with a time to live; needs the RocksDB state store and a processing-time trigger."""
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=LatestValue(schema, time),
-        outputStructType=schema,
-        outputMode="Update",
-        timeMode="ProcessingTime",
-    )
