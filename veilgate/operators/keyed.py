@@ -103,14 +103,12 @@ def asof_join(
     closest earlier bucket, which is found on a table of one row per (key, bucket).
     """
     payload = [c for c in history.columns if c not in keys]
-    newest = F.struct(F.col(history_time), F.col(tie_break), F.struct(*payload).alias("row"))
     past = history.select(
         *keys,
         F.date_trunc(bucket, F.col(history_time)).alias("_b"),
         F.col(history_time).alias("_t"),
         F.lit(0).alias("_kind"),
         F.struct(*payload).alias("_hit"),
-        newest.alias("_newest"),
     )
     request_columns = [c for c in requests.columns if c not in keys]
     asked = requests.select(
@@ -120,18 +118,20 @@ def asof_join(
         F.lit(1).alias("_kind"),
         F.struct(*request_columns).alias("_request"),
     )
-    last_of_bucket = past.groupBy(*keys, "_b").agg(F.max("_newest").alias("_last"))
+    last_of_bucket = past.groupBy(*keys, "_b").agg(
+        F.max_by("_hit", F.struct("_t", f"_hit.{tie_break}")).alias("_last")
+    )
     marks = last_of_bucket.select(*keys, "_b", "_last").unionByName(
         asked.select(*keys, "_b").distinct(), allowMissingColumns=True
     )
-    marks = marks.groupBy(*keys, "_b").agg(F.max("_last").alias("_last"))
+    marks = marks.groupBy(*keys, "_b").agg(F.first("_last", ignorenulls=True).alias("_last"))
     earlier = (
         Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = marks.select(
         *keys, "_b", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
     )
-    both = past.drop("_newest").unionByName(asked, allowMissingColumns=True)
+    both = past.unionByName(asked, allowMissingColumns=True)
     seen = (
         Window.partitionBy(*keys, "_b")
         .orderBy("_t", "_kind", F.asc_nulls_last("_order"))
@@ -142,7 +142,7 @@ def asof_join(
         ordered.withColumn("_inside", F.last("_hit", ignorenulls=True).over(seen))
         .where(F.col("_kind") == 1)
         .join(carried, [*keys, "_b"], "left")
-        .withColumn("_found", F.coalesce(F.col("_inside"), F.col("_carried.row")))
+        .withColumn("_found", F.coalesce(F.col("_inside"), F.col("_carried")))
     )
     return found.select(
         *keys,
