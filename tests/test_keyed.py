@@ -45,7 +45,7 @@ def test_balanced_and_salted_joins_equal_plain_joins(spark, monkeypatch):
     want = {tuple(r) for r in large.join(small, "k", "left").collect()}
     salted = keyed.salted_join(large, small, ["k"], "left", salts=5)
     assert {tuple(r) for r in salted.select("k", "i", "v").collect()} == want
-    sizes = iter([False, True])
+    sizes = iter([False, True, True])
     monkeypatch.setattr(keyed, "is_small", lambda df, rows=0: next(sizes))
     split = keyed.balanced_join(large, small, ["k"], "left", heavy=100)
     assert {tuple(r) for r in split.select("k", "i", "v").collect()} == want
@@ -66,3 +66,10 @@ def test_latest_per_key_breaks_ties(spark):
     df = spark.createDataFrame(rows, "k string, t timestamp, n int, v string")
     got = {r.k: (r.n, r.v) for r in keyed.latest_per_key(df, ["k"], ["t", "n"]).collect()}
     assert got == {"a": (2, "y"), "b": (1, None)}
+
+
+def test_size_check_counts_rows_and_bytes(spark):
+    df = spark.createDataFrame([("x" * 1000, [1.0] * 100)] * 50, "s string, v array<double>")
+    assert keyed.is_small(df)
+    assert not keyed.is_small(df, rows=49)
+    assert not keyed.is_small(df, size=50_000)

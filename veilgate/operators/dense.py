@@ -132,9 +132,8 @@ def score_hits(corpus: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
     vectors = corpus.select("chunk_id", "embedding", "domain", "updated_at").where(
         F.col("embedding").isNotNull()
     )
-    packed = asked.limit(PACKED_QUERIES + 1).toPandas()
-    if len(packed) <= PACKED_QUERIES:
-        return settle(_packed(vectors, packed, depth), "hits")
+    if asked.count() <= PACKED_QUERIES:
+        return settle(_packed(vectors, asked.toPandas(), depth), "hits")
     return settle(_tiled(vectors, asked, depth), "hits")
 
 

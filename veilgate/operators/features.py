@@ -16,7 +16,7 @@ from veilgate.operators.access import (
     is_raw_identifier,
     sorted_roles,
 )
-from veilgate.operators.keyed import asof_join, latest_per_key, lookup_join
+from veilgate.operators.keyed import asof_join, balanced_join, latest_per_key, lookup_join
 from veilgate.operators.shield import shield
 
 # --- Fixed values: feature sets, sections and messages -----------------------------------------
@@ -109,7 +109,7 @@ def feature_vectors(requests: DataFrame, values: DataFrame, now: Column) -> Data
     require_numeric(values)
     known = F.coalesce(F.col("feature_set").isin(*FEATURE_SETS), F.lit(False))
     options = ", ".join(f"'{s}'" for s in sorted(FEATURE_SETS))
-    joined = requests.join(values.select(*KEYS, "features"), KEYS, "left")
+    joined = balanced_join(requests, values.select(*KEYS, "features"), KEYS, "left")
     names = feature_names(F.col("feature_set"))
     return joined.withColumn("_names", names).select(
         *requests.columns,
@@ -211,7 +211,7 @@ def entity_context(requests: DataFrame, online: DataFrame, rules: RuleSet) -> Da
         .withColumn("required_roles", F.when(~permitted, sorted_roles(ENTITY_DATA_ROLES)))
     )
     told = (
-        checked.join(online, "entity_token", "left")
+        balanced_join(checked, online, ["entity_token"], "left")
         .withColumn("_text", F.when(F.col("error").isNull(), narrative(F.col("sections"))))
     )
     protected = shield(told, "_text", rules, "agent_role")

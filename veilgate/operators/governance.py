@@ -19,7 +19,7 @@ from veilgate.operators.access import (
     with_effective_role,
     with_limits,
 )
-from veilgate.operators.keyed import exact_quantiles, lookup_join, numbered
+from veilgate.operators.keyed import balanced_join, exact_quantiles, lookup_join, numbered
 from veilgate.operators.shield import detect
 
 MAX_AUDIT_ROWS = 1_000
@@ -127,7 +127,7 @@ def session_provenance(events: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents behind every session: session, document, distinct chunks, reads."""
     read = session_chunks(events)
     return (
-        read.join(chunks.select("chunk_id", "document_id"), "chunk_id")
+        balanced_join(read, chunks.select("chunk_id", "document_id"), ["chunk_id"])
         .groupBy("session_id", "document_id")
         .agg(F.count(F.lit(1)).alias("chunks"), F.sum("reads").alias("reads"))
     )

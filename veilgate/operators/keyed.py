@@ -4,14 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from veilgate.functions import sqltext
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when a frame holds at most ``rows`` rows; reads no more than needed to tell."""
-    return df.limit(rows + 1).count() <= rows
+def _width(field: T.StructField) -> Column:
+    column = F.col(sqltext.name(field.name))
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+    if isinstance(field.dataType, T.AtomicType):
+        return F.lit(8).cast("long")
+    return F.coalesce(F.length(F.to_json(F.struct(column))), F.lit(0)).cast("long")
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when a frame is known to be small enough to broadcast, in rows and in bytes.
+
+    Rows are counted first, which reads no columns; only a frame that passes is measured.
+    """
+    if df.count() > rows:
+        return False
+    width = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        width = width + _width(field)
+    return (df.agg(F.sum(width)).first()[0] or 0) <= size
 
 
 def salted_join(
@@ -194,6 +215,8 @@ def balanced_join(
     hot_small = small.join(F.broadcast(hot), keys, "left_semi")
     hot_rows = large.join(F.broadcast(hot), keys, "left_semi")
     other_rows = large.join(F.broadcast(hot), keys, "left_anti")
-    return hot_rows.join(F.broadcast(hot_small), keys, how).unionByName(
-        other_rows.join(small, keys, how)
-    )
+    if is_small(hot_small):
+        hot_joined = hot_rows.join(F.broadcast(hot_small), keys, how)
+    else:
+        hot_joined = salted_join(hot_rows, hot_small, keys, how)
+    return hot_joined.unionByName(other_rows.join(small, keys, how))

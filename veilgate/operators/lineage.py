@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgate.functions.ids import stable_id
-from veilgate.operators.keyed import BROADCAST_ROWS, salted_join
+from veilgate.operators.keyed import is_small, lookup_join, salted_join
 from veilgate.session import settle
 
 NAMESPACE = "veilgate"
@@ -158,7 +158,7 @@ def reachable(
     frontier = reached
     for hop in range(1, depth + 1):
         current = frontier.select("start", "node")
-        if current.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        if is_small(current):
             joined = links.join(F.broadcast(current), "node")
         else:
             joined = salted_join(links, current, ["node"], spread=["next"])
@@ -194,7 +194,7 @@ def sessions_reading(events: DataFrame, artefacts: DataFrame) -> DataFrame:
     )
     wanted = artefacts.select("artefact_id").distinct()
     return (
-        reads.join(wanted, "artefact_id", "left_semi")
+        lookup_join(reads, wanted, ["artefact_id"], "left_semi", spread=["session_id"])
         .groupBy("artefact_id", "session_id", "agent_id", "tool_name")
         .agg(F.max("timestamp").alias("retrieved_at"), F.count(F.lit(1)).alias("reads"))
     )

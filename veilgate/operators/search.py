@@ -14,7 +14,7 @@ from veilgate.functions.text import words, words_of
 from veilgate.functions.vectors import cosine_similarity
 from veilgate.operators.dense import DIGITS, EVERYTHING, best_of, score_hits
 from veilgate.operators.guards import sanitise_queries
-from veilgate.operators.keyed import BROADCAST_ROWS, is_small
+from veilgate.operators.keyed import BROADCAST_ROWS, balanced_join
 from veilgate.operators.shield import shield
 from veilgate.operators.sparse import bm25, sparse_top
 from veilgate.session import settle
@@ -317,7 +317,7 @@ def assemble_prompts(results: DataFrame, instruction: str = "Context:") -> DataF
 
 def fetch_documents(requests: DataFrame, documents: DataFrame, text: str, rules: RuleSet) -> DataFrame:
     """Documents by id, shielded for the caller's role; missing ones become an error row."""
-    looked_up = requests.join(documents, "document_id", "left").withColumn(
+    looked_up = balanced_join(requests, documents, ["document_id"], "left").withColumn(
         "_missing", F.col(text).isNull()
     )
     checked = shield(looked_up, text, rules, "agent_role")

@@ -26,13 +26,13 @@ def append_lineage(events: DataFrame, path: str) -> None:
 
 def absent_rows(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """The first row per key among those whose key is not stored yet."""
-    payload = F.struct(*[c for c in rows.columns if c not in keys])
-    fresh = rows.join(stored.select(*keys), keys, "left_anti")
-    return (
-        fresh.groupBy(*keys).agg(F.min(payload).alias("_row")).select(*keys, "_row.*")
-        if len(rows.columns) > len(keys)
-        else fresh.distinct()
-    ).select(*rows.columns)
+    others = [c for c in rows.columns if c not in keys]
+    if others:
+        first = F.min(F.struct(*others)).alias("_row")
+        single = rows.groupBy(*keys).agg(first).select(*keys, "_row.*")
+    else:
+        single = rows.distinct()
+    return single.join(stored.select(*keys), keys, "left_anti").select(*rows.columns)
 
 
 def insert_if_absent(rows: DataFrame, path: str, keys: list[str]) -> None:
