@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from tools.check import TABLES, canonical
+from veilgate.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 

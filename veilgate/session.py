@@ -30,7 +30,8 @@ def local_session(cores: str = "8", memory: str = "12g", name: str = "veilgate")
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` when the cluster names one.
 
-    Only where nothing is set (tests, a laptop) a temporary folder is made and registered.
+    Only a local master (tests, a laptop) may go without: a temporary folder is made and registered.
+    A cluster without a named folder is an error, since its executors do not share local disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -40,6 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="veilgate-")
     spark.sparkContext.setCheckpointDir(made)
     return made
