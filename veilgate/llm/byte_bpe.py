@@ -108,10 +108,11 @@ def encode_decode(
     return scan(keyed, each, f"`{id_col}` {kind}, ids array<int>, decoded binary")
 
 
-def digests(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and digests of ``encode_decode`` rows, computed by Spark."""
+def digests(tokens: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """Counts and digests of ``encode_decode`` rows, computed by Spark; with the ids themselves if asked."""
     return tokens.select(
         id_col,
+        *(["ids"] if keep_ids else []),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

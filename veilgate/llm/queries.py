@@ -4,11 +4,35 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilgate.llm import byte_bpe, golay_dedup
+from veilgate.llm import byte_bpe, decontaminate, golay_dedup, quality
 from veilgate.llm.common import table
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    forest = quality.fit(documents, table(spark, sf_dir, "labels"))
+    return quality.score(documents, forest, keep=["doc_id"]).select(
+        "doc_id",
+        F.expr(quality.HELD_OUT.format(id="doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]
+    )
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.col("leaks.item_id").alias("item_ids"),
+        F.col("leaks.edits").alias("edits"),
+    )
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = golay_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", golay_dedup.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -21,7 +45,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {query.__name__: query for query in (op7_simhash_golay, op10_byte_bpe)}
+QUERIES = {query.__name__: query for query in (op3_quality, op7_simhash_golay, op8_decontaminate, op10_byte_bpe)}
 
 #: SQL for the operators that SQL can express; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
