@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgate.llm import byte_bpe, chat_format, decontaminate, golay_dedup, quality, sharding
+from veilgate.llm import byte_bpe, chat_format, decontaminate, golay_dedup, lz_fingerprint, quality, sharding, warc
 from veilgate.llm.common import table
+from veilgate.session import scratch_path
 
 #: The conversation added to the table by the contract of op9.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -36,6 +37,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archive(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op5_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -78,6 +91,8 @@ QUERIES = {
     query.__name__: query
     for query in (
         op3_quality,
+        op4_warc,
+        op5_lz_fingerprint,
         op6_best_fit_shards,
         op7_simhash_golay,
         op8_decontaminate,
@@ -88,6 +103,21 @@ QUERIES = {
 
 #: SQL for the operators that SQL can express; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
+    "op4_warc": """
+      WITH payloads AS (
+        SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages
+      ), digests AS (
+        SELECT page_id, url, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM payloads
+      ), records AS (
+        SELECT *, row_number() OVER same AS number, first_value(page_id) OVER same AS first_id FROM digests
+        WINDOW same AS (PARTITION BY hex ORDER BY page_id NULLS LAST, coalesce(url, ''))
+      )
+      SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+        array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          CAST(CAST('0x' || substr(hex, CAST(k // 4 * 5 + 1 AS INT), 5) AS INT) // power(2, 15 - 5 * (k % 4))::INT % 32 + 1 AS INT), 1)), '') AS payload_digest,
+        CASE WHEN number = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN number > 1 THEN first_id END AS refers_to
+      FROM records""",
     "op9_chat_format": rf"""
       WITH turns AS (
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
