@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgate.llm import byte_bpe, chat_format, decontaminate, golay_dedup, lz_fingerprint, quality, sharding, warc
+from veilgate.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    golay_dedup,
+    html_extract,
+    license_scan,
+    lz_fingerprint,
+    quality,
+    sharding,
+    warc,
+)
 from veilgate.llm.common import table
 from veilgate.session import scratch_path
 
@@ -14,6 +25,22 @@ from veilgate.session import scratch_path
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    best = F.array_sort("licenses", lambda a, b: (b.coverage > a.coverage).cast("int") - (a.coverage > b.coverage).cast("int"))
+    return found.select(
+        "doc_id",
+        F.get(best, F.lit(0)).license.alias("license"),
+        F.coalesce(F.get(best, F.lit(0)).coverage, F.lit(0.0)).alias("coverage"),
+        F.size("licenses").alias("n_notices"),
+        "licenses",
+    )
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     forest = quality.fit(documents, table(spark, sf_dir, "labels"))
@@ -90,6 +117,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
+        op1_html_text,
+        op2_license_scan,
         op3_quality,
         op4_warc,
         op5_lz_fingerprint,
