@@ -12,8 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgate.llm import byte_bpe, decontaminate, golay_dedup, quality
+from veilgate.llm import byte_bpe, decontaminate, golay_dedup, quality, similar_texts
 from veilgate.llm.common import table
+from veilgate.llm.components import connected_components
 from veilgate.session import settle
 
 ORACLE_SQL = None
@@ -27,16 +28,24 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of every group of SimHash near-duplicates.
+    """One document, that with the smallest id, of every group of near-duplicates.
 
-    Documents without an id get a key from a hash of their text that sorts after all real ids, so they stay
-    unless they are copies. Rows that repeat an id are one document.
+    A group is connected by SimHash links of the contract (4-word shingles, at most 4 bits) and by near copies (5-word
+    shingles, similarity 0.8 or more) that Golay keys of word-set fingerprints bring together. Documents without an id
+    get a key from a hash of their text that sorts after all real ids, so they stay unless they are copies. Rows that
+    repeat an id are one document.
     """
     spare = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 61) - 1)
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id"), spare))
-    groups = golay_dedup.near_duplicates(keyed, id_col="__key")
-    kept = groups.select(F.col("component_id").alias("__key")).distinct()
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+    same, near = similar_texts.similar_links(keyed, id_col="__key")
+    linked = golay_dedup.near_duplicates(keyed, id_col="__key")
+    edges = (
+        near.unionByName(same.selectExpr("id AS u", "rep AS v"))
+        .unionByName(linked.selectExpr("__key AS u", "component_id AS v"))
+        .where("u <> v")
+    )
+    gone = connected_components(edges).where("node <> root").select(F.col("node").alias("__key"))
+    return keyed.join(gone, "__key", "left_anti").dropDuplicates(["__key"]).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

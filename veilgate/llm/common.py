@@ -31,3 +31,24 @@ def batch(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
         [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in columns.values()],
         names=list(columns),
     )
+
+
+def packed(parts: Iterable[tuple], fields: dict[str, pa.DataType], rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Record batches of a fair size from many small parts, each a tuple of equally long columns."""
+    waiting: list[list[pa.Array]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        columns = [pa.concat_arrays([part[k] for part in waiting]) for k in range(len(fields))]
+        return pa.RecordBatch.from_arrays(columns, names=list(fields))
+
+    for part in parts:
+        arrays = [pa.array(c, type=t) for c, t in zip(part, fields.values(), strict=True)]
+        if len(arrays[0]):
+            waiting.append(arrays)
+            size += len(arrays[0])
+        if size >= rows:
+            yield flush()
+            waiting, size = [], 0
+    if waiting:
+        yield flush()

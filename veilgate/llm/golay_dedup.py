@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgate.llm.common import batch, scan
+from veilgate.llm.common import batch, packed, scan
 from veilgate.llm.components import connected_components
 from veilgate.session import settle
 
@@ -162,18 +162,18 @@ def link_within(bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(i, int(label[i])) for i in np.flatnonzero(label != np.arange(n))]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, bool]]:
-    """(fingerprints, whole) of runs of equal keys in sorted rows; a run over the limit comes in parts, not whole."""
+def keyed_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(key, fingerprints, whole) of runs of equal keys in sorted rows; a run over the limit comes in parts, not whole."""
     key, kept, open_run = None, [], False
 
     def flush():
         if kept and (open_run or len(kept) > 1):
-            yield np.array(kept, np.int64).view(np.uint64), not open_run
+            yield key, np.array(kept, np.int64).view(np.uint64), not open_run
 
     for rows in batches:
         keys = rows.column(0).to_numpy(zero_copy_only=False)
         bits = rows.column(1).to_numpy(zero_copy_only=False)
-        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])) if len(keys) else [0]
+        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])).tolist() if len(keys) else [0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if keys[a] != key:
                 yield from flush()
@@ -204,22 +204,16 @@ def links(distinct_bits: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
             yield batch({"key": (key, pa.int32()), "bits": (bits[row].view(np.int64), pa.int64())})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v, hot = [], [], []
-        for bits, whole in _groups(batches, bucket):
-            signed = bits.view(np.int64)
-            if whole:
-                for i, j in link_within(bits, radius):
-                    u.append(int(signed[i]))
-                    v.append(int(signed[j]))
-                    hot.append(False)
-            else:
-                u.extend(signed.tolist())
-                v.extend(signed.tolist())
-                hot.extend([True] * len(signed))
-            if len(u) > 50_000:
-                yield batch({"u": (u, pa.int64()), "v": (v, pa.int64()), "hot": (hot, pa.bool_())})
-                u, v, hot = [], [], []
-        yield batch({"u": (u, pa.int64()), "v": (v, pa.int64()), "hot": (hot, pa.bool_())})
+        def parts():
+            for _, bits, whole in keyed_groups(batches, bucket):
+                signed = bits.view(np.int64)
+                if whole:
+                    pairs = link_within(bits, radius)
+                    yield [int(signed[i]) for i, _ in pairs], [int(signed[j]) for _, j in pairs], [False] * len(pairs)
+                else:
+                    yield signed, signed, [True] * len(signed)
+
+        return packed(parts(), {"u": pa.int64(), "v": pa.int64(), "hot": pa.bool_()})
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -229,18 +223,13 @@ def links(distinct_bits: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
                 yield batch({"key": (points.view(np.int64), pa.int64()), "bits": (own.view(np.int64), pa.int64())})
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bits, _ in _groups(batches, 1 << 12):
-            if radius == RADIUS:
-                pairs = [(i, 0) for i in range(1, len(bits))]
-            else:
-                pairs = link_within(bits, radius)
-            signed = bits.view(np.int64)
-            yield batch(
-                {
-                    "u": ([int(signed[i]) for i, _ in pairs], pa.int64()),
-                    "v": ([int(signed[j]) for _, j in pairs], pa.int64()),
-                }
-            )
+        def parts():
+            for _, bits, _ in keyed_groups(batches, 1 << 12):
+                signed = bits.view(np.int64).tolist()
+                pairs = [(i, 0) for i in range(1, len(bits))] if radius == RADIUS else link_within(bits, radius)
+                yield [signed[i] for i, _ in pairs], [signed[j] for _, j in pairs]
+
+        return packed(parts(), {"u": pa.int64(), "v": pa.int64()})
 
     buckets = scan(distinct_bits.select("bits"), keyed, "key int, bits long")
     buckets = buckets.repartition("key").sortWithinPartitions("key", "bits")
