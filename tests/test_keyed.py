@@ -73,3 +73,9 @@ def test_size_check_counts_rows_and_bytes(spark):
     assert keyed.is_small(df)
     assert not keyed.is_small(df, rows=49)
     assert not keyed.is_small(df, size=50_000)
+
+
+def test_salted_join_takes_maps(spark):
+    large = spark.createDataFrame([(1, {"a": 1}), (1, {"b": 2}), (2, None)], "k int, m map<string,int>")
+    small = spark.createDataFrame([(1, "x")], "k int, v string")
+    assert sorted(r.v for r in keyed.salted_join(large, small, ["k"]).collect()) == ["x", "x"]

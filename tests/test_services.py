@@ -114,15 +114,22 @@ def audit_rows(spark):
     )
 
 
-def test_escalation_swallows_callback_errors(spark):
-    seen = []
-
+def test_escalation_swallows_callback_errors(spark, tmp_path):
     def callback(event):
-        seen.append(event["event_id"])
-        if len(seen) == 2:
+        if event["event_id"] == "e3":
             raise RuntimeError("receiver is down")
+        (tmp_path / event["event_id"]).write_text(event["severity"])
 
     assert audit.escalate(audit_rows(spark), callback) == (2, 1)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["e0", "e6"]
+
+
+def test_a_repeated_batch_is_stored_once(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    sinks.append_audit(audit_rows(spark), path, batch=1)
+    sinks.append_audit(audit_rows(spark).limit(4), path, batch=2)
+    sinks.append_audit(audit_rows(spark), path, batch=1)
+    assert readers.read_audit(spark, path).count() == 13
 
 
 def test_invalid_events(spark):

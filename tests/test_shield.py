@@ -218,3 +218,32 @@ def test_rule_file(tmp_path):
     path.write_text("entities:\n  - {entity_type: NOPE, mode: mask}\n")
     with pytest.raises(ValueError):
         load_rules(str(path))
+
+
+def test_split_entities_over_many_chunks(spark):
+    words = "card 4532 0151 1283 0366 and mail a@b.com then acct # 123456789012 end".split()
+    for size in (1, 2, 3, 50):
+        pieces = [("d", i // size, " ".join(words[i : i + size])) for i in range(0, len(words), size)]
+        chunks = spark.createDataFrame([*pieces, ("e", 0, None)], "doc string, pos int, t string")
+        rules = RuleSet(tuple(EntityRule(k, "mask", 0.5) for k in ("CREDIT_CARD", "EMAIL_ADDRESS", "ACCOUNT_NUMBER")))
+        got = shield.split_entities(chunks, "doc", "pos", "t", rules).collect()
+        found = {r.entity_type: (r.pos, r.last_pos) for r in got}
+        assert found.get("CREDIT_CARD") == (None if size == 50 else (1 // size, 4 // size))
+        assert "EMAIL_ADDRESS" not in found
+
+
+def test_colliding_tokens_are_kept_and_reported(spark):
+    vault = spark.createDataFrame(
+        [("[ACCOUNT_NUMBER:0000000A]", "one"), ("[ACCOUNT_NUMBER:0000000A]", "two"), ("[ACCOUNT_NUMBER:0000000B]", "three")],
+        "token string, original string",
+    )
+    texts = spark.createDataFrame([(1, "x [ACCOUNT_NUMBER:0000000A] y [ACCOUNT_NUMBER:0000000B]"), (2, "none")], "id int, t string")
+    rows = shield.detokenize(texts, "id", "t", vault).orderBy("id").collect()
+    assert rows[0].restored_text == "x [ACCOUNT_NUMBER:0000000A] y three"
+    assert [r.ambiguous_tokens for r in rows] == [["[ACCOUNT_NUMBER:0000000A]"], []]
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"user{i}@example.com or call 415-555-{i % 10000:04d}" for i in range(4000))
+    row = run(spark, [text])[0]
+    assert row.safe_text == " ".join(["[EMAIL_ADDRESS] or call [PHONE_NUMBER]"] * 4000)

@@ -44,3 +44,27 @@ def lookup(key: str, values: Mapping, default) -> str:
 
 def empty(element: str) -> str:
     return f"CAST(array() AS array<{element}>)"
+
+
+def let(value: str, variable: str, body: str) -> str:
+    """``body`` with ``variable`` standing for ``value``, which is evaluated once."""
+    return f"element_at(transform(array({value}), {variable} -> {body}), 1)"
+
+
+def gather(items: str, state: str, element: str, step: str, final: str, block: int = 128) -> str:
+    """A fold over an array that also emits elements, in time that grows with the array, not its square.
+
+    ``step`` maps ``run`` (``run.state``, ``run.out``) and ``x`` to the next ``run``; ``out`` only ever holds
+    the elements of one block of items, finished blocks are put aside. ``final`` sees ``whole.state`` and
+    ``whole.parts`` (one array per block). ``items`` should be a column or variable, since it is named twice.
+    """
+    inner = (
+        f"aggregate(slice({items}, number * {block} + 1, {block}), "
+        f"named_struct('state', whole.state, 'out', {empty(element)}), (run, x) -> {step})"
+    )
+    done = "named_struct('state', part.state, 'parts', concat(whole.parts, array(part.out)))"
+    return (
+        f"aggregate(sequence(0, greatest(size({items}) - 1, 0) div {block}), "
+        f"named_struct('state', {state}, 'parts', CAST(array() AS array<array<{element}>>)), "
+        f"(whole, number) -> {let(inner, 'part', done)}, whole -> {final})"
+    )

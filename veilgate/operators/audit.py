@@ -141,19 +141,25 @@ def critical(events: DataFrame) -> DataFrame:
 
 
 def escalate(events: DataFrame, callback: Callable[[dict], None]) -> tuple[int, int]:
-    """Hand CRITICAL rows to a callback one by one; its errors are counted, never raised.
+    """Hand CRITICAL rows to a callback, in the tasks that hold them; its errors are counted, never raised.
 
-    Rows are streamed partition by partition, so the driver holds one partition's critical rows at
-    most. Returns (delivered, failed).
+    The callback is shipped to the executors, so it has to be picklable and to reach its receiver from
+    there; a repeated task hands its rows over again, ``event_id`` tells repeats apart. Returns
+    (delivered, failed).
     """
-    delivered = failed = 0
-    for row in critical(events).toLocalIterator(prefetchPartitions=False):
-        try:
-            callback(row.asDict(recursive=True))
-            delivered += 1
-        except Exception:  # noqa: BLE001 - a failing receiver must not stop the audit
-            failed += 1
-    return delivered, failed
+    context = events.sparkSession.sparkContext
+    delivered, failed = context.accumulator(0), context.accumulator(0)
+
+    def hand_over(rows) -> None:
+        for row in rows:
+            try:
+                callback(row.asDict(recursive=True))
+                delivered.add(1)
+            except Exception:  # noqa: BLE001 - a failing receiver must not stop the audit
+                failed.add(1)
+
+    critical(events).foreachPartition(hand_over)
+    return delivered.value, failed.value
 
 
 def leaked_entities(events: DataFrame, rules: RuleSet) -> DataFrame:

@@ -22,6 +22,20 @@ def _width(field: T.StructField) -> Column:
     return F.coalesce(F.length(F.to_json(F.struct(column))), F.lit(0)).cast("long")
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def hashable(field: T.StructField) -> Column:
+    """A column in a form that can be hashed; maps cannot, so they are written out."""
+    column = F.col(sqltext.name(field.name))
+    return F.to_json(F.struct(column)) if _holds_map(field.dataType) else column
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """True when a frame is known to be small enough to broadcast, in rows and in bytes.
 
@@ -49,7 +63,8 @@ def salted_join(
     small side is repeated once per salt. ``how`` may be inner, left, left_semi or left_anti.
     """
     spread = spread or [c for c in large.columns if c not in keys] or keys
-    left = large.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    hashed = [hashable(large.schema[c]) for c in spread]
+    left = large.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 

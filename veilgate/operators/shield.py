@@ -15,12 +15,14 @@ from veilgate.functions.ids import stable_id
 from veilgate.functions.patterns import RECOGNISERS, Recogniser
 from veilgate.functions.rules import RuleSet
 from veilgate.operators.keyed import is_small, salted_join
+from veilgate.session import settle
 
 SPAN = (
     "struct<neg_width:int,neg_score:double,ord:int,start:int,end:int,"
     "entity_type:string,score:double,original:string>"
 )
 NO_SPANS = sqltext.empty(SPAN)
+BLOCK = 128
 SURROGATE_REGEX = r"\[[A-Z_]+:[0-9A-F]{8}\]"
 RESULT_COLUMNS = (
     "detections",
@@ -50,24 +52,23 @@ def _located(text: str, matches: str, recogniser: Recogniser, order: int) -> str
     """
     span = _span(
         sqltext.text(recogniser.entity_type),
-        "run.at + step.gap",
-        "run.at + step.gap + length(step.hit)",
+        "run.state + x.gap",
+        "run.state + x.gap + length(x.hit)",
         f"{recogniser.score!r}D",
         order,
-        "step.hit",
+        "x.hit",
     )
-    return f"""
-    CASE WHEN size({matches}) > 0 THEN aggregate(
-      filter(
+    steps = f"""filter(
         zip_with(
           split({text}, {sqltext.raw(recogniser.regex)}, -1), {matches},
           (gap, hit) -> named_struct('gap', length(gap), 'hit', hit)),
-        step -> step.hit IS NOT NULL),
-      named_struct('at', 0, 'spans', {NO_SPANS}),
-      (run, step) -> named_struct(
-        'at', run.at + step.gap + length(step.hit), 'spans', concat(run.spans, array({span}))),
-      run -> run.spans)
-    ELSE {NO_SPANS} END"""
+        step -> step.hit IS NOT NULL)"""
+    step = (
+        "named_struct('state', run.state + x.gap + length(x.hit), "
+        f"'out', concat(run.out, array({span})))"
+    )
+    found = sqltext.gather("steps", "0", SPAN, step, "flatten(whole.parts)", BLOCK)
+    return f"CASE WHEN size({matches}) > 0 THEN {sqltext.let(steps, 'steps', found)} ELSE {NO_SPANS} END"
 
 
 def _gated(text: str, recogniser: Recogniser) -> str:
@@ -91,12 +92,30 @@ def _adopted(found: str, rules: RuleSet, order: int) -> str:
     return f"coalesce(transform({passing}, d -> {span}), {NO_SPANS})"
 
 
-# Greedy choice: widest first, then higher score, then detection order.
-WITHOUT_OVERLAPS = f"""
-CASE WHEN size(_every) < 2 THEN _every ELSE aggregate(
-  array_sort(_every), {NO_SPANS},
+# Greedy choice: widest first, then higher score, then detection order. Only spans of one run of
+# touching spans are compared with each other; runs are cut where a span starts behind all ends.
+_GREEDY = f"""
+aggregate(array_sort(r), {NO_SPANS},
   (kept, c) -> CASE WHEN exists(kept, k -> k.start < c.end AND k.end > c.start) THEN kept
-    ELSE concat(kept, array(c)) END) END"""
+    ELSE concat(kept, array(c)) END)"""
+_NEXT_RUN = """
+CASE WHEN x.start < run.state.end
+  THEN named_struct('state', named_struct(
+    'end', greatest(run.state.end, x.end), 'spans', concat(run.state.spans, array(x))), 'out', run.out)
+  ELSE named_struct('state', named_struct('end', x.end, 'spans', array(x)),
+    'out', concat(run.out, array(run.state.spans))) END"""
+_RUNS = sqltext.gather(
+    "_ordered",
+    f"named_struct('end', -1, 'spans', {NO_SPANS})",
+    f"array<{SPAN}>",
+    _NEXT_RUN,
+    "concat(flatten(whole.parts), array(whole.state.spans))",
+    BLOCK,
+)
+ORDERED = "array_sort(_every, (a, b) -> a.start - b.start)"
+WITHOUT_OVERLAPS = f"""
+CASE WHEN size(_every) < 2 THEN _every
+  ELSE flatten(transform({_RUNS}, r -> CASE WHEN size(r) < 2 THEN r ELSE {_GREEDY} END)) END"""
 
 RIGHT_TO_LEFT = """
 reverse(array_sort(transform(_chosen, s -> named_struct(
@@ -132,13 +151,35 @@ def detect(
     found = [_located(source, f"_m{i}", r, i) for i, r in active]
     found += [_adopted(d, rules, len(recognisers) + n) for n, d in enumerate(plugged)]
     every = f"concat({', '.join(found)})" if found else NO_SPANS
-    ranked = staged.withColumn("_every", F.expr(every)).withColumn(
-        "_chosen", F.expr(WITHOUT_OVERLAPS if resolve else "_every")
-    )
+    ranked = staged.withColumn("_every", F.expr(every)).withColumn("_ordered", F.expr(ORDERED))
+    ranked = ranked.withColumn("_chosen", F.expr(WITHOUT_OVERLAPS if resolve else "_every"))
     kept = [c for c in df.columns if c != out]
     return ranked.select(*kept, evaluated_once(F.expr(RIGHT_TO_LEFT)).alias(out))
 
 
+def _rewritten(source: str) -> str:
+    """SQL text of the source with the ``_rising`` detections replaced.
+
+    Blocks of detections cut their stretch out of the text first, so no step copies the whole text.
+    """
+    at = f"CAST(number * {BLOCK} AS INT)"
+    before = f"CASE WHEN {at} = 0 THEN 0 ELSE element_at(_rising, {at}).end END"
+    last = f"least(({at}) + {BLOCK}, size(_rising))"
+    stretch = f"substring({source}, start + 1, element_at(_rising, {last}).end - start)"
+    gap = "CASE WHEN i = 0 THEN start ELSE element_at(block, i).end END"
+    pieces = f"""array_join(transform(block, (d, i) -> {sqltext.let(
+        gap, "previous",
+        "concat(substring(stretch, previous - start + 1, d.start - previous), d.replacement)")}), '')"""
+    whole = sqltext.let(
+        before,
+        "start",
+        sqltext.let(stretch, "stretch", sqltext.let(f"slice(_rising, {at} + 1, {BLOCK})", "block", pieces)),
+    )
+    blocks = f"transform(sequence(0, (size(_rising) - 1) div {BLOCK}), number -> {whole})"
+    tail = f"substring({source}, element_at(_rising, -1).end + 1)"
+    return f"concat(array_join({blocks}, ''), {tail})"
+
+
 def evaluated_once(value: Column) -> Column:
     """A generator of one row around a costly value.
 
@@ -181,12 +222,11 @@ def shield(
           concat('[', d.entity_type, ':', upper(substring(sha2({hashed}, 256), 1, 8)), ']')
         ELSE concat('[', d.entity_type, ']') END,
       'mode', CASE WHEN {exempt} THEN 'mask' ELSE {mode} END))"""
-    rewritten = f"""aggregate(detections, {source}, (t, d) -> concat(
-      substring(t, 1, d.start), d.replacement, substring(t, d.end + 1)))"""
-    # Where two originals share a token, the left-most one is kept.
+    # Within a text where two originals share a token, the map keeps the left-most; the vault keeps both.
     token_map = """
     CASE WHEN status = 'blocked' OR size(_tokens) = 0
       THEN CAST(map() AS map<string,string>)
+      WHEN size(array_distinct(_tokens.replacement)) = size(_pairs) THEN map_from_entries(_pairs)
       ELSE map_from_arrays(
         array_distinct(_tokens.replacement),
         transform(array_distinct(_tokens.replacement),
@@ -196,17 +236,25 @@ def shield(
         .withColumn("_exempt", F.expr(rules.exempt_types(sqltext.name(role) if role else None)))
         .withColumn("detections", F.expr(detections))
         .withColumn("_blocked", F.expr("filter(detections, d -> d.mode = 'block')"))
+        .withColumn("_rising", F.expr("reverse(detections)"))
         .withColumns(
             {
                 "status": F.expr("CASE WHEN size(_blocked) > 0 THEN 'blocked' ELSE 'ok' END"),
                 "blocked_type": F.expr("try_element_at(_blocked, 1).entity_type"),
                 "safe_text": F.expr(
                     f"CASE WHEN size(_blocked) = 0 THEN "
-                    f"CASE WHEN size(detections) > 0 THEN {rewritten} ELSE {source} END END"
+                    f"CASE WHEN size(detections) > 0 THEN {_rewritten(source)} ELSE {source} END END"
                 ),
                 "_tokens": F.expr("filter(detections, d -> d.mode = 'token')"),
             }
         )
+        .withColumn(
+            "_pairs",
+            F.expr(
+                "array_distinct(transform(_tokens, "
+                "d -> named_struct('token', d.replacement, 'original', d.original)))"
+            ),
+        )
         .withColumns(
             {
                 "was_modified": F.expr(f"coalesce(safe_text <> {source}, false)"),
@@ -257,39 +305,55 @@ def violations(shielded: DataFrame, key: str, agent: str | None = None) -> DataF
 
 
 def vault(shielded: DataFrame) -> DataFrame:
-    """Distinct (token, original) pairs; to be stored apart from any safe text."""
+    """All distinct (token, original) pairs; to be stored apart from any safe text.
+
+    A token is a hash of 32 bits, so two originals may share one: both are kept.
+    """
     return (
-        shielded.where(F.size("token_map") > 0)
-        .select(F.explode("token_map").alias("token", "original"))
-        .groupBy("token")
-        .agg(F.max("original").alias("original"))
+        shielded.where((F.col("status") == "ok") & F.exists("detections", lambda d: d["mode"] == "token"))
+        .select(F.explode(F.filter("detections", lambda d: d["mode"] == "token")).alias("d"))
+        .select(F.col("d.replacement").alias("token"), F.col("d.original").alias("original"))
+        .distinct()
     )
 
 
 def detokenize(df: DataFrame, key: str, text: str, vault_table: DataFrame) -> DataFrame:
     """Put the originals back, for authorised use only.
 
-    Adds ``restored_text``. Distinct tokens per text are looked up in the vault: broadcast when
-    the vault is small, otherwise a salted join, since one token may occur in most texts.
+    Adds ``restored_text`` and ``ambiguous_tokens``: tokens with several originals in the vault are left
+    in the text and listed, for nobody can tell whose value they stand for. The vault is written once, as
+    a table of one row per token; its tokens are broadcast when it is small, otherwise a salted join meets
+    the distinct tokens of each text, since one token may occur in most texts.
     """
+    known_tokens = settle(
+        vault_table.groupBy("token").agg(
+            F.min("original").alias("original"), (F.min("original") < F.max("original")).alias("ambiguous")
+        ),
+        "vault",
+    )
     tokens = df.select(
         key,
         F.explode(
             F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(SURROGATE_REGEX), F.lit(0)))
         ).alias("token"),
     )
-    if is_small(vault_table):
-        known = tokens.join(F.broadcast(vault_table), "token")
+    if is_small(known_tokens):
+        known = tokens.join(F.broadcast(known_tokens), "token")
     else:
-        known = salted_join(tokens, vault_table, ["token"], spread=[key])
+        known = salted_join(tokens, known_tokens, ["token"], spread=[key])
     per_text = known.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("token", "original"))).alias("_known")
+        F.sort_array(F.collect_list(F.struct("token", "original", "ambiguous"))).alias("_known")
     )
     restored = F.expr(
-        f"CASE WHEN _known IS NULL THEN {sqltext.name(text)} ELSE aggregate(_known, "
+        f"CASE WHEN _known IS NULL THEN {sqltext.name(text)} ELSE aggregate("
+        f"filter(_known, p -> NOT p.ambiguous), "
         f"{sqltext.name(text)}, (t, p) -> replace(t, p.token, p.original)) END"
     )
-    return df.join(per_text, key, "left").withColumn("restored_text", restored).drop("_known")
+    ambiguous = F.expr(
+        "coalesce(transform(filter(_known, p -> p.ambiguous), p -> p.token), CAST(array() AS array<string>))"
+    )
+    joined = df.join(per_text, key, "left")
+    return joined.withColumns({"restored_text": restored, "ambiguous_tokens": ambiguous}).drop("_known")
 
 
 def token_cross_reference(shielded: DataFrame, key: str) -> DataFrame:
@@ -383,37 +447,46 @@ def threshold_quality(
 
 
 def split_entities(
-    chunks: DataFrame,
-    document: str,
-    position: str,
-    text: str,
-    rules: RuleSet,
-    reach: int = 128,
+    chunks: DataFrame, document: str, position: str, text: str, rules: RuleSet
 ) -> DataFrame:
-    """Entities that a chunk boundary cuts in two.
+    """Entities that chunk borders cut, over however many chunks they reach.
 
-    Each chunk is joined to its predecessor by (document, position), so a document of any length
-    is spread over tasks. The last ``reach`` characters of the predecessor are put before the
-    first ``reach`` characters of the chunk; spans crossing the seam are returned.
+    The chunks of a document are put together, as they were before it was cut; entities are found in the
+    whole and those that begin and end in different chunks are returned with both positions. What is
+    gathered is one document, never more. Null chunks count as empty.
     """
-    tails = chunks.select(
-        F.col(document),
-        (F.col(position) + 1).alias(position),
-        F.substr(F.col(text), -F.least(F.length(text), F.lit(reach))).alias("_tail"),
+    pieces = chunks.groupBy(document).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(position).alias("at"), F.coalesce(text, F.lit("")).alias("piece")))).alias(
+            "_pieces"
+        )
+    )
+    starts = sqltext.gather(
+        "_pieces",
+        "0",
+        "int",
+        "named_struct('state', run.state + length(x.piece) + 1, 'out', concat(run.out, array(run.state)))",
+        "flatten(whole.parts)",
+        BLOCK,
+    )
+    whole = pieces.withColumns(
+        {"_whole": F.array_join(F.col("_pieces.piece"), " "), "_starts": F.expr(starts)}
     )
-    heads = chunks.select(document, position, F.substring(text, 1, reach).alias("_head"))
-    seams = (
-        heads.join(tails, [document, position])
-        .withColumn("_cut", F.length("_tail"))
-        .withColumn("_seam", F.concat_ws(" ", "_tail", "_head"))
+    chunk_of = "element_at(_pieces, size(filter(_starts, b -> b {}))).at"
+    found = detect(whole, "_whole", rules).select(
+        document, "_pieces", "_starts", F.explode("spans").alias("s")
     )
     return (
-        detect(seams, "_seam", rules)
-        .select(document, position, "_cut", F.explode("spans").alias("s"))
-        .where((F.col("s.start") < F.col("_cut")) & (F.col("s.end") > F.col("_cut") + 1))
+        found.withColumns(
+            {
+                position: F.expr(chunk_of.format("<= s.start")),
+                f"last_{position}": F.expr(chunk_of.format("< s.end")),
+            }
+        )
+        .where(F.col(position) < F.col(f"last_{position}"))
         .select(
             document,
             position,
+            f"last_{position}",
             F.col("s.entity_type").alias("entity_type"),
             F.length("s.original").alias("length"),
         )

@@ -20,6 +20,19 @@ SELECT page_id, len(never) > 0 AS leakage,
     "stream_rate_limit": f"""WITH {AUDIT}
 SELECT date_trunc('minute', timestamp) AS window_start, agent_id, count(*) AS calls
 FROM audit GROUP BY ALL""",
+    "stream_updates": f"""WITH {AUDIT}
+SELECT date_trunc('minute', timestamp) AS window_start, agent_id, count(*) AS calls
+FROM audit GROUP BY ALL""",
+    "stream_late": f"""WITH {AUDIT},
+marks AS (
+  SELECT max(timestamp) FILTER (n % 10 <> 0) - INTERVAL 12 HOUR AS first_mark,
+    max(timestamp) - INTERVAL 12 HOUR AS last_mark FROM audit),
+windows AS (
+  SELECT date_trunc('day', timestamp) AS window_start, severity, n % 10 = 0 AS late FROM audit)
+SELECT window_start, severity, count(*) AS calls FROM windows, marks
+WHERE window_start + INTERVAL 1 DAY <= last_mark
+  AND NOT (late AND window_start + INTERVAL 1 DAY <= first_mark)
+GROUP BY ALL""",
     "stream_metrics": f"""WITH {AUDIT}
 SELECT date_trunc('day', timestamp) AS window_start, count(*) AS calls,
   round(avg((tool_name = 'search_entity_history')::INT), 6) AS error_rate,

@@ -40,6 +40,31 @@ def stream_rate_limit(spark, sf):
     return streams.run_available(counted, scratch_path(spark, "stream-rate"), "complete")
 
 
+def stream_updates(spark, sf):
+    """The same counts from update mode: versions of windows, folded to the last."""
+    counted = streams.calls_per_window(audit_stream(spark, sf), "timestamp", ["agent_id"])
+    path, keys = scratch_path(spark, "stream-updates"), ["window_start", "agent_id"]
+    return streams.run_available(counted, path, "update", keys)
+
+
+def stream_late(spark, sf):
+    """Daily counts in append mode: every tenth event arrives after all others, mostly too late.
+
+    Windows the watermark had closed by then keep their count; windows still open take the late rows; windows
+    not closed at the end are not out yet.
+    """
+    path = scratch_path(spark, "stream-late")
+    events = T.audit_columns(T.table(spark, sf, "events"))
+    late = F.expr("CAST(substring(event_id, 5) AS BIGINT) % 10 = 0")
+    result = None
+    for part in (events.where(~late), events.where(late)):
+        part.select("timestamp", "severity").write.mode("append").parquet(f"{path}-in")
+        arriving = stream_table(spark, f"{path}-in", "timestamp timestamp, severity string")
+        counted = streams.calls_per_window(arriving, "timestamp", ["severity"], "1 day", "12 hours")
+        result = streams.run_available(counted, path)
+    return result
+
+
 def stream_metrics(spark, sf):
     measured = streams.metrics_per_window(
         audit_stream(spark, sf), "timestamp", F.col("tool_name") == "search_entity_history"
@@ -74,9 +99,7 @@ def stream_latest(spark, sf):
     )
     path = scratch_path(spark, "stream-latest")
     query = streams.upsert_features(rows, path, f"{path}-state", "version")
-    if not query.awaitTermination(600):
-        query.stop()
-        raise TimeoutError("feature stream did not finish")
+    streams.finished(query)
     return streams.read_upserted(spark, path, "version").select(
         "entity_token", "feature_set", "as_of", "version", "expires_at"
     )
@@ -88,9 +111,7 @@ def stream_audit(spark, sf):
     columns = [c.strip().split(" ")[0] for c in AUDIT.replace("\n", " ").split(",")]
     rows = audit_stream(spark, sf).select(*[c for c in columns if c != "event_date"])
     query = streams.audit_stream(rows, path, f"{path}-state")
-    if not query.awaitTermination(600):
-        query.stop()
-        raise TimeoutError("audit stream did not finish")
+    streams.finished(query)
     return (
         read_audit(spark, path, "2024-01-05", "2024-01-20")
         .groupBy(F.col("event_date").cast("string").alias("event_date"), "severity")
@@ -104,6 +125,8 @@ QUERIES = {
         stream_mask,
         stream_guard,
         stream_rate_limit,
+        stream_updates,
+        stream_late,
         stream_metrics,
         stream_sessions,
         stream_dedup,

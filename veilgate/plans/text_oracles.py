@@ -230,19 +230,16 @@ SELECT threshold, true_positives, reported, expected,
 
 SPLIT = f"""WITH {TEXTS},
 worded AS (
-  SELECT text_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM texts),
-pieces AS (
-  SELECT text_id, i AS chunk_index, array_to_string(ws[i * 3 + 1 : i * 3 + 3], ' ') AS chunk_text
-  FROM (SELECT *, unnest(range(0, ((len(ws) + 2) // 3)::BIGINT)) AS i FROM worded)),
-seams AS (
-  SELECT c.text_id || '#' || c.chunk_index AS seam_id, c.text_id, c.chunk_index,
-    length(right(p.chunk_text, 128)) AS cut,
-    right(p.chunk_text, 128) || ' ' || left(c.chunk_text, 128) AS seam
-  FROM pieces c JOIN pieces p ON p.text_id = c.text_id AND p.chunk_index = c.chunk_index - 1),
-{spans('seams', 'seam_id', 'seam', RECOMMENDED_RULES)}, {chosen()}
-SELECT text_id, chunk_index::INT AS chunk_index, d.entity_type AS entity_type,
-  length(d.original)::INT AS length
-FROM kept JOIN seams ON seam_id = k WHERE d.s < cut AND d.e > cut + 1"""
+  SELECT text_id, array_to_string(
+    list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' ') AS line FROM texts),
+{spans('worded', 'text_id', 'line', RECOMMENDED_RULES)}, {chosen()},
+placed AS (
+  SELECT text_id, d.entity_type AS entity_type, length(d.original)::INT AS length,
+    ((d.s - length(replace(substr(line, 1, d.s), ' ', ''))) // 3)::INT AS chunk_index,
+    ((d.e - 1 - length(replace(substr(line, 1, d.e - 1), ' ', ''))) // 3)::INT AS last_chunk_index
+  FROM kept JOIN worded ON text_id = k)
+SELECT text_id, chunk_index, last_chunk_index, entity_type, length FROM placed
+WHERE chunk_index < last_chunk_index"""
 
 ORACLES = {
     "pii_spans": f"""WITH {TEXTS}, {spans('texts', 'text_id', 'text', None)}
@@ -277,7 +274,7 @@ SELECT text_id, safe_text, coalesce(n, 0) AS tokens FROM done LEFT JOIN tokens O
     ),
     "pii_vault": on_texts(
         EVERYTHING_TOKENS,
-        "SELECT repl AS token, max(original) AS original FROM applied GROUP BY repl",
+        "SELECT DISTINCT repl AS token, original FROM applied",
         None,
     ),
     "pii_detokenize": f"WITH {TEXTS} SELECT text_id, text AS restored_text FROM texts",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgate.operators.features import with_expiry
+from veilgate.session import settle
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -13,10 +14,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
-def append_audit(events: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append events, partitioned by day. There is deliberately no way to update or delete."""
+def append_audit(events: DataFrame, path: str, fmt: str = "parquet", batch: int | None = None) -> None:
+    """Append events, partitioned by day. There is deliberately no way to update or delete.
+
+    A numbered batch (of a stream) has folders of its own below each day; writing it again after a failure
+    replaces just those, so its events are never stored twice.
+    """
     dated = events.withColumn("event_date", F.to_date("timestamp"))
-    dated.write.mode("append").partitionBy("event_date").format(fmt).save(path)
+    if batch is None:
+        dated.write.mode("append").partitionBy("event_date").format(fmt).save(path)
+        return
+    numbered = dated.withColumn("batch", F.lit(batch).cast("long"))
+    (
+        numbered.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("event_date", "batch")
+        .format(fmt)
+        .save(path)
+    )
 
 
 def append_lineage(events: DataFrame, path: str) -> None:
@@ -51,7 +66,11 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def write_shielded(shielded: DataFrame, safe_path: str, quarantine_path: str, text: str) -> None:
-    """Safe rows and blocked rows go to separate tables; the safe table holds no original text."""
+    """Safe rows and blocked rows go to separate tables; the safe table holds no original text.
+
+    The shielded rows are written once below the shared folder, so the shield runs once for both tables.
+    """
+    shielded = settle(shielded, "shielded")
     private = [c for c in (text, "detections", "token_map") if c in shielded.columns]
     shielded.where(F.col("status") == "ok").drop(*private).write.mode("append").parquet(safe_path)
     (
@@ -63,5 +82,5 @@ def write_shielded(shielded: DataFrame, safe_path: str, quarantine_path: str, te
 
 
 def write_vault(vault: DataFrame, path: str) -> None:
-    """Token vault, stored apart from every safe table; known tokens keep their entry."""
-    insert_if_absent(vault, path, ["token"])
+    """Token vault, stored apart from every safe table; a token with two originals has two entries."""
+    insert_if_absent(vault, path, ["token", "original"])

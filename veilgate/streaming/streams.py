@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgate.functions.rules import RuleSet
-from veilgate.operators.audit import critical, escalate
+from veilgate.operators.audit import escalate
 from veilgate.operators.features import latest_features, with_expiry
+from veilgate.operators.keyed import latest_per_key
 from veilgate.operators.shield import shield
 from veilgate.sources.sinks import append_audit
 
@@ -22,7 +23,11 @@ def shield_stream(stream: DataFrame, text: str, rules: RuleSet, role: str | None
 def calls_per_window(
     stream: DataFrame, time: str, keys: list[str], width: str = "1 minute", delay: str = "10 minutes"
 ) -> DataFrame:
-    """Calls per tumbling window and key; late rows beyond the delay are dropped."""
+    """Calls per tumbling window and key.
+
+    In append and update mode rows that come after the watermark has passed their window are dropped; in
+    complete mode no row is late and all windows stay in the state.
+    """
     return (
         stream.withWatermark(time, delay)
         .groupBy(F.window(time, width).alias("w"), *keys)
@@ -78,11 +83,19 @@ def without_duplicates(
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def run_available(stream: DataFrame, path: str, mode: str = "append", timeout: int = 600) -> DataFrame:
+def finished(query) -> None:
+    """Wait until a stream has processed all there is; a failed stream raises its error."""
+    query.awaitTermination()
+
+
+def run_available(
+    stream: DataFrame, path: str, mode: str = "append", keys: list[str] | None = None
+) -> DataFrame:
     """Process everything available into a table and return it.
 
-    Append results use the file sink. Complete and update results replace or extend the table in
-    each batch. The state lives next to the table, below the shared folder.
+    Append results use the file sink. Complete results replace the table in each batch. Update results
+    are stored per batch and folded on reading: of each of the ``keys`` the newest version counts. The
+    state lives next to the table, so calling again with the same path goes on with what has arrived since.
     """
     writer = (
         stream.writeStream.outputMode(mode)
@@ -91,28 +104,36 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", timeout: i
     )
     if mode == "append":
         query = writer.format("parquet").start(f"{path}-rows")
+    elif mode == "update" and not keys:
+        raise ValueError("update results need the keys their versions are folded by")
     else:
-        save = "overwrite" if mode == "complete" else "append"
 
-        def keep(batch: DataFrame, _: int) -> None:
-            batch.write.mode(save).parquet(f"{path}-rows")
+        def keep(batch: DataFrame, number: int) -> None:
+            target = f"{path}-rows/batch={number}" if mode == "update" else f"{path}-rows"
+            batch.write.mode("overwrite").parquet(target)
 
         query = writer.foreachBatch(keep).start()
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(f"stream did not finish within {timeout} s")
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}-rows")
+    finished(query)
+    spark = stream.sparkSession
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{path}-rows")
+    stored = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{path}-rows")
+    versions = stored.parquet(f"{path}-rows/batch=*")
+    return latest_per_key(versions, keys, ["batch"]).drop("batch")
 
 
 def audit_stream(
     stream: DataFrame, path: str, state: str, callback: Callable[[dict], None] | None = None
 ):
-    """Append each batch to the audit log and hand its CRITICAL events to the callback."""
+    """Append each batch to the audit log and hand its CRITICAL events to the callback.
+
+    A batch that runs again replaces its own rows; escalations may then be delivered again.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
-        append_audit(batch, path)
+    def write(batch: DataFrame, number: int) -> None:
+        append_audit(batch, path, batch=number)
         if callback is not None:
-            escalate(critical(batch), callback)
+            escalate(batch, callback)
 
     return (
         stream.writeStream.foreachBatch(write)
