@@ -19,8 +19,9 @@ def entity_token(session_id: Column, id_type: Column, id_value: Column) -> Colum
 
 
 def stable_id(*parts: Column) -> Column:
-    """A reproducible row id, used where a random one would change on every retry."""
-    return F.sha2(F.concat_ws("\u0001", *[p.cast("string") for p in parts]), 256)
+    """A reproducible row id, used where a random one would change on every retry; a null part is marked."""
+    marked = [F.coalesce(p.cast("string"), F.lit("\u0002")) for p in parts]
+    return F.sha2(F.concat_ws("\u0001", *marked), 256)
 
 
 def log_prefix(token: Column) -> Column:

@@ -14,6 +14,7 @@ from veilgate.functions.rules import RuleSet
 from veilgate.functions.text import MAX_CHUNK_WORDS, embedding_key, terms, word_pieces
 from veilgate.operators.keyed import balanced_join
 from veilgate.operators.shield import classify, shield
+from veilgate.session import settle
 
 VISIBLE_CLASSES = ("STANDARD", "INTERNAL")
 MIN_RETRIEVAL_SCORE = 0.40
@@ -116,7 +117,8 @@ def embed_once(
     """Embed each distinct normalised text once and attach the vectors to all its copies."""
     keyed = df.withColumn("_key", embedding_key(F.col(text)))
     distinct = keyed.groupBy("_key").agg(F.min(text).alias("_text"))
-    embedded = distinct.select("_key", embed(F.col("_text")).alias(out))
+    # written before it is measured and joined, or every text would be embedded again for each
+    embedded = settle(distinct.select("_key", embed(F.col("_text")).alias(out)), "embedded")
     return balanced_join(keyed, embedded, ["_key"], "left").drop("_key")
 
 

@@ -12,6 +12,7 @@ from veilgate.functions.ids import sha256_hex, stable_id
 from veilgate.functions.rules import RuleSet
 from veilgate.functions.text import words, words_of
 from veilgate.functions.vectors import cosine_similarity
+from veilgate.operators.corpus import visible as visible_rows
 from veilgate.operators.dense import DIGITS, EVERYTHING, best_of, score_hits
 from veilgate.operators.guards import sanitise_queries
 from veilgate.operators.keyed import BROADCAST_ROWS, balanced_join
@@ -19,6 +20,9 @@ from veilgate.operators.shield import shield
 from veilgate.operators.sparse import bm25, sparse_top
 from veilgate.session import settle
 
+# Fixed value: the answer to a request for a document that is missing or closed.
+DOCUMENT_REFUSED = "Document not found or access denied"
+
 RRF_CONSTANT = 60
 DEFAULT_TOP_K = 10
 MAX_TOP_K = 20
@@ -67,8 +71,9 @@ def hybrid_search(
     at least 1/(60+k). A chunk outside both lists of ``depth`` best is either dominated by k
     chunks of a list or ranks below ``depth - k`` in both, hence at most 2/(61+depth-k), which is
     no more than 1/(60+k) once depth >= 59+3k. Chunks tied with the last entry of a list are
-    compared on their other score separately. Exact ranks of the short-listed chunks come from
-    counting the scores above them, not from sorting the corpus.
+    compared on their other score separately. Where fewer than k chunks score at all, the visible
+    chunks with the least ids fill up, since those without a score share one rank. Exact ranks of the
+    short-listed chunks come from counting the scores above them, not from sorting the corpus.
     """
     depth = RRF_CONSTANT - 1 + 3 * k
     queries = settle(queries.withColumn("query_id", F.col("query_id").cast("string")), "queries")
@@ -91,6 +96,20 @@ def hybrid_search(
         .agg(F.max("dense").alias("dense"), F.max("sparse").alias("sparse")),
         "candidates",
     )
+    few = settle(
+        queries.join(both.groupBy("query_id").count(), "query_id", "left")
+        .where(F.coalesce("count", F.lit(0)) < k)
+        .select("query_id", "domain", "cutoff"),
+        "few-candidates",
+    )
+    if not few.isEmpty():
+        filled = both.unionByName(_unscored_candidates(few, chunks, k))
+        both = settle(
+            filled.groupBy("query_id", "chunk_id").agg(
+                F.max("dense").alias("dense"), F.max("sparse").alias("sparse")
+            ),
+            "candidates",
+        )
 
     # Dense ranks: counted for marked scores; for the others the score occurs in the dense list.
     listed = (
@@ -180,6 +199,27 @@ def _dense_candidates(dense_list, matched, chunks, queries, k):
     return listed.unionByName(extra.select("query_id", "chunk_id", "dense", "sparse"))
 
 
+def _unscored_candidates(few: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The 2k least chunk ids each of these queries may see: fewer than k score, so k others are among them.
+
+    Found once per distinct filter, of which there are few; the window keeps 2k rows per filter and task.
+    """
+    filters = few.select("domain", "cutoff").distinct().withColumnsRenamed({"domain": "_domain", "cutoff": "_cutoff"})
+    reach = F.explode(F.array_distinct(F.array("domain", F.lit("all"))))
+    seen = chunks.select("chunk_id", "updated_at", reach.alias("_domain")).join(filters, "_domain")
+    seen = seen.where(F.col("_cutoff").isNull() | (F.col("updated_at") >= F.col("_cutoff")))
+    least = Window.partitionBy("_domain", "_cutoff").orderBy("chunk_id")
+    first = (
+        seen.withColumn("_place", F.row_number().over(least))
+        .where(F.col("_place") <= 2 * k)
+        .select("_domain", "_cutoff", "chunk_id")
+    )
+    same = (F.col("domain") == F.col("_domain")) & F.col("cutoff").eqNullSafe(F.col("_cutoff"))
+    return few.join(first, same).select(
+        "query_id", "chunk_id", F.lit(None).cast("double").alias("dense"), F.lit(0.0).alias("sparse")
+    )
+
+
 def _sparse_ranks(candidates: DataFrame, matched: DataFrame) -> DataFrame:
     """RANK() of each candidate score: one more than the number of matched chunks above it."""
     scores = candidates.select("query_id", "sparse").distinct()
@@ -222,6 +262,8 @@ def governed_search(
 ) -> DataFrame:
     """Sanitise, retrieve, shield, re-rank and shape: one row per returned chunk.
 
+    A call without a chunk to return has one row too, with ``returned`` and ``position`` 0 and no text.
+
     ``queries``: query_id, query, query_vector, domain, cutoff, top_k, agent_id, agent_role,
     session_id. With ``on_block='abort'`` one blocked chunk makes the whole query ``blocked`` and
     returns a single row without text; ``drop`` leaves only that chunk out. ``scorer`` replaces
@@ -236,25 +278,34 @@ def governed_search(
     )
     texts = chunks.select("chunk_id", "document_id", "chunk_text")
     found = settle(found.drop("position"), "found")
-    with_text = _attach(found, texts, ["chunk_id"], found.count()).join(about, "query_id")
+    with_text = about.join(_attach(found, texts, ["chunk_id"], found.count()), "query_id", "left")
     checked = shield(with_text, "chunk_text", rules, "agent_role")
     checked = checked.withColumn("score", scorer(checked) if scorer else F.col("combined"))
     whole = Window.partitionBy("query_id")
     call = checked.withColumn("_blocked", F.col("status") == "blocked")
     call = (
-        call.withColumn("total_found", F.count(F.lit(1)).over(whole))
+        call.withColumn("total_found", F.count("chunk_id").over(whole))
         .withColumn("any_blocked", F.bool_or("_blocked").over(whole))
         .withColumn("pii_detected", F.bool_or("was_modified").over(whole))
     )
-    best_first = whole.orderBy(F.desc("score"), "chunk_id")
-    usable = call.where(~F.col("_blocked")) if on_block == "drop" else call
+    shown = F.col("chunk_id").isNotNull()
+    if on_block == "drop":
+        shown = shown & ~F.col("_blocked")
+    best_first = whole.orderBy(F.desc("_shown"), F.desc("score"), "chunk_id")
+    # a call that has nothing to show keeps one row, so every call is answered and can be logged
     ranked = (
-        usable.withColumn("position", F.row_number().over(best_first))
-        .where(F.col("position") <= effective_k(F.col("top_k")))
-        .withColumn("returned", F.count(F.lit(1)).over(whole))
+        call.withColumn("_shown", shown)
+        .withColumn("position", F.row_number().over(best_first))
+        .where(
+            F.when(F.col("_shown"), F.col("position") <= effective_k(F.col("top_k"))).otherwise(
+                F.col("position") == 1
+            )
+        )
+        .withColumn("returned", F.count_if("_shown").over(whole))
     )
     aborted = F.col("any_blocked") if on_block == "abort" else F.lit(False)
-    visible = lambda c: F.when(~aborted, F.col(c))
+    empty = aborted | ~F.col("_shown")
+    visible = lambda c: F.when(~empty, F.col(c))
     return ranked.where(~aborted | (F.col("position") == 1)).select(
         "query_id",
         "agent_id",
@@ -264,12 +315,12 @@ def governed_search(
         F.when(aborted, "blocked").otherwise("ok").alias("status"),
         F.when(aborted, F.lit(0)).otherwise(F.col("total_found")).cast("long").alias("total_found"),
         F.when(aborted, F.lit(0)).otherwise(F.col("returned")).cast("long").alias("returned"),
-        F.when(aborted, F.lit(0)).otherwise(F.col("position")).cast("int").alias("position"),
+        F.when(empty, F.lit(0)).otherwise(F.col("position")).cast("int").alias("position"),
         visible("chunk_id").alias("chunk_id"),
         visible("document_id").alias("document_id"),
         visible("safe_text").alias("text"),
         F.round(visible("score"), 4).alias("score"),
-        (F.col("was_modified") & ~aborted).alias("pii_masked"),
+        (F.col("was_modified") & ~empty).alias("pii_masked"),
         (F.col("pii_detected") | aborted).alias("pii_detected"),
     )
 
@@ -288,7 +339,7 @@ def search_audit(results: DataFrame, at: Column, latency_ms: Column | None = Non
             "agent_role",
             "session_id",
             sha256_hex(F.col("query")).alias("query_hash"),
-            F.transform("_chunks", lambda c: c["chunk_id"]).alias("chunk_ids"),
+            F.array_compact(F.transform("_chunks", lambda c: c["chunk_id"])).alias("chunk_ids"),
             "pii_detected",
             (latency_ms if latency_ms is not None else F.lit(0)).cast("int").alias("latency_ms"),
             F.lit("INFO").alias("severity"),
@@ -298,9 +349,9 @@ def search_audit(results: DataFrame, at: Column, latency_ms: Column | None = Non
 
 
 def assemble_prompts(results: DataFrame, instruction: str = "Context:") -> DataFrame:
-    """One prompt per query from its ordered protected chunks and its safe query."""
+    """One prompt per query that returned something, from its ordered protected chunks and its safe query."""
     ordered = (
-        results.where(F.col("status") == "ok")
+        results.where((F.col("status") == "ok") & (F.col("position") > 0))
         .groupBy("query_id", "agent_id", "agent_role", "session_id", "query")
         .agg(F.sort_array(F.collect_list(F.struct("position", "text"))).alias("_chunks"))
     )
@@ -316,19 +367,42 @@ def assemble_prompts(results: DataFrame, instruction: str = "Context:") -> DataF
 
 
 def fetch_documents(requests: DataFrame, documents: DataFrame, text: str, rules: RuleSet) -> DataFrame:
-    """Documents by id, shielded for the caller's role; missing ones become an error row."""
-    looked_up = balanced_join(requests, documents, ["document_id"], "left").withColumn(
-        "_missing", F.col(text).isNull()
-    )
+    """Documents by id, shielded for the caller's role.
+
+    Row security holds here as in a search: where the registry has ``data_class`` and ``is_active``, restricted
+    and inactive documents are refused with the same error as missing ones, so a caller cannot tell which ids
+    exist. ``title`` and ``metadata`` are returned where the registry has them.
+    """
+    guarded = {"data_class", "is_active"} <= set(documents.columns)
+    open_ones = visible_rows(documents) if guarded else documents
+    extra = [c for c in ("title", "metadata") if c in documents.columns]
+    looked_up = balanced_join(
+        requests, open_ones.select("document_id", text, *extra), ["document_id"], "left"
+    ).withColumn("_missing", F.col(text).isNull())
     checked = shield(looked_up, text, rules, "agent_role")
-    return checked.withColumn(
-        "error", F.when(F.col("_missing"), "Document not found or access denied")
-    ).select(
+    return checked.withColumn("error", F.when(F.col("_missing"), DOCUMENT_REFUSED)).select(
         *requests.columns,
         "error",
         "status",
         F.col("safe_text").alias("content"),
         F.col("was_modified").alias("pii_masked"),
+        *extra,
+    )
+
+
+def fetch_audit(fetched: DataFrame, key: str, at: Column) -> DataFrame:
+    """One tool-call event per document asked for, refused ones included; no text."""
+    return fetched.select(
+        stable_id(F.lit("MCP_TOOL_CALL"), F.lit("get_document"), F.col(key)).alias("event_id"),
+        F.lit("MCP_TOOL_CALL").alias("event_type"),
+        F.lit("get_document").alias("tool_name"),
+        "agent_role",
+        F.when(F.col("error").isNull(), F.array("document_id"))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("chunk_ids"),
+        F.col("pii_masked").alias("pii_detected"),
+        F.when((F.col("status") == "blocked") | F.col("error").isNotNull(), "WARNING").otherwise("INFO").alias("severity"),
+        at.alias("timestamp"),
     )
 
 

@@ -112,6 +112,16 @@ def scores(name: str = "found_chunks") -> str:
     return SCORES.replace("found AS (", f"{name} AS (")
 
 
+SINGLE_WORD = REQUESTS.replace("text AS query", "regexp_extract(text, '(\\S+)\\s*$', 1) AS query").replace(
+    "e.embedding AS query_vector", "NULL::FLOAT[] AS query_vector"
+)
+HALF_BLIND = REQUESTS.replace(
+    f"TIMESTAMP '{AS_OF}' - to_days((30 + (item_id % 4) * 30)::INT) AS cutoff",
+    f"CASE WHEN item_id % 2 = 0 THEN TIMESTAMP '2099-01-01' ELSE "
+    f"TIMESTAMP '{AS_OF}' - to_days((30 + (item_id % 4) * 30)::INT) END AS cutoff",
+)
+
+
 def governed(drop: bool) -> str:
     keep = "WHERE status = 'ok'" if drop else ""
     return f"""{TEXTS}, {scores()},
@@ -214,6 +224,11 @@ def component(key: str, place: int) -> str:
 KEY = "md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))"
 ALL_COMPONENTS = ", ".join(component("md5(text)", i) for i in range(1, 17))
 
+DOCUMENTS_ASKED = f"""{REGISTRY}, asked AS (
+  SELECT c_custkey AS request_id, c_custkey::VARCHAR AS document_id, text, source_uri AS title,
+    {role('c_nationkey')} AS agent_role
+  FROM customer LEFT JOIN registry ON document_id = c_custkey::VARCHAR AND {VISIBLE})"""
+
 ORACLES = {
     "chunking": f"""WITH {CHUNKS}
 SELECT chunk_id, document_id, chunk_index::INT AS chunk_index, chunk_text FROM chunks""",
@@ -259,7 +274,17 @@ SELECT query_id, chunk_id, coalesce(dense, -9) AS dense, sparse, dense_rank, spa
     "governed_search": f"WITH {governed(False)}, {GOVERNED} SELECT * FROM governed",
     "governed_search_drop": f"""WITH {governed(True)}
 SELECT query_id, total_found, returned, position::INT AS position, chunk_id, safe_text AS text,
-  was_modified AS pii_masked FROM returned_rows""",
+  was_modified AS pii_masked FROM returned_rows
+UNION ALL SELECT query_id, (SELECT count(*) FROM calls c WHERE c.query_id = r.query_id), 0, 0, NULL, NULL, FALSE
+FROM requests r WHERE query_id NOT IN (SELECT query_id FROM returned_rows)""",
+    "sparse_hits_search": f"""WITH {SCORES.replace(REQUESTS, SINGLE_WORD)}
+SELECT query_id, chunk_id, sparse, dense_rank, sparse_rank, position FROM found""",
+    "empty_search_calls": f"""WITH {governed(True).replace(REQUESTS, HALF_BLIND)},
+answered AS (
+  SELECT query_id, total_found, returned, position::INT AS position, chunk_id FROM returned_rows
+  UNION ALL SELECT query_id, (SELECT count(*) FROM calls c WHERE c.query_id = r.query_id), 0, 0, NULL
+  FROM requests r WHERE query_id NOT IN (SELECT query_id FROM returned_rows))
+SELECT *, (count(chunk_id) OVER (PARTITION BY query_id))::INT AS logged_chunks FROM answered""",
     "search_audit": f"""WITH {governed(False)}, {GOVERNED}
 SELECT sha256('MCP_TOOL_CALL' || chr(1) || query_id) AS event_id,
   'search_knowledge_base' AS tool_name, agent_id, agent_role, session_id,
@@ -284,13 +309,16 @@ SELECT query_id, len(never) > 0 AS leakage,
   CASE WHEN len(never) > 0 THEN 'sanitized' WHEN len(odd) > 0 THEN 'logged' ELSE 'passed' END AS action,
   CASE WHEN len(never) > 0 THEN {redact('response', [p for _, p in NEVER_IN_RESPONSE])}
     ELSE response END AS safe_response FROM said""",
-    "document_fetch": f"""WITH asked AS (
-  SELECT c_custkey AS request_id, c_custkey::VARCHAR AS document_id, text,
-    {role('c_nationkey')} AS agent_role
-  FROM customer LEFT JOIN documents ON doc_id = c_custkey),
+    "document_fetch": f"""WITH {DOCUMENTS_ASKED},
 {shielded('asked', 'request_id', 'text', RECOMMENDED_RULES)}
 SELECT request_id, document_id,
   CASE WHEN text IS NULL THEN 'Document not found or access denied' END AS error, status,
-  safe_text AS content, coalesce(safe_text <> text, FALSE) AS pii_masked FROM done""",
+  safe_text AS content, coalesce(safe_text <> text, FALSE) AS pii_masked, title FROM done""",
+    "document_audit": f"""WITH {DOCUMENTS_ASKED},
+{shielded('asked', 'request_id', 'text', RECOMMENDED_RULES)}
+SELECT sha256('MCP_TOOL_CALL' || chr(1) || 'get_document' || chr(1) || request_id) AS event_id,
+  'get_document' AS tool_name, agent_role, CASE WHEN text IS NULL THEN '' ELSE document_id END AS chunk_ids,
+  coalesce(safe_text <> text, FALSE) AS pii_detected,
+  CASE WHEN text IS NULL OR status = 'blocked' THEN 'WARNING' ELSE 'INFO' END AS severity FROM done""",
     "quality_gate": QUALITY,
 }

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgate.functions.ids import stable_id
 from veilgate.functions.rules import RECOMMENDED_RULES
 from veilgate.functions.text import embedding_key
 from veilgate.functions.vectors import pseudo_components
 from veilgate.operators import corpus, dense, guards, search, sparse
 from veilgate.plans import tables as T
+from veilgate.session import settle
 
 PSEUDO_SIZE = 16
 
@@ -139,6 +141,41 @@ def rrf_search(spark, sf):
     )
 
 
+def sparse_hits_search(spark, sf):
+    """Searches for a single word without a vector: fewer chunks than asked for have any score."""
+    asked = T.queries(spark, sf).withColumns(
+        {
+            "query": F.regexp_extract("query", r"(\S+)\s*$", 1),
+            "query_vector": F.lit(None).cast("array<float>"),
+        }
+    )
+    found = search.hybrid_search(T.search_corpus(spark, sf), asked, "query")
+    return found.select("query_id", "chunk_id", "sparse", "dense_rank", "sparse_rank", "position")
+
+
+def empty_search_calls(spark, sf):
+    """Every second search may see nothing at all and is answered and logged all the same."""
+    asked = T.queries(spark, sf).withColumn(
+        "cutoff",
+        F.when(F.col("query_id").cast("int") % 2 == 0, F.lit("2099-01-01").cast("timestamp")).otherwise(
+            F.col("cutoff")
+        ),
+    )
+    found = settle(
+        search.governed_search(
+            T.search_corpus(spark, sf), asked, RECOMMENDED_RULES, on_block="drop"
+        ),
+        "search-calls",
+    )
+    logged = search.search_audit(found, F.lit(T.AS_OF).cast("timestamp")).select(
+        "event_id", F.size("chunk_ids").alias("logged_chunks")
+    )
+    rows = found.withColumn("event_id", stable_id(F.lit("MCP_TOOL_CALL"), F.col("query_id")))
+    return rows.join(logged, "event_id").select(
+        "query_id", "total_found", "returned", "position", "chunk_id", "logged_chunks"
+    )
+
+
 def governed_search(spark, sf):
     return search.governed_search(
         T.search_corpus(spark, sf), T.queries(spark, sf), RECOMMENDED_RULES
@@ -190,16 +227,34 @@ def answer_flow(spark, sf):
     return responses.select("query_id", "leakage", "risk", "action", "safe_response")
 
 
-def document_fetch(spark, sf):
-    """Every customer asks for a document; numbers beyond the registry are missing."""
+def _fetched(spark, sf):
     requests = T.table(spark, sf, "customer").selectExpr(
         "c_custkey AS request_id",
         "CAST(c_custkey AS STRING) AS document_id",
         f"{T.pick(T.ROLES, 'c_nationkey')} AS agent_role",
     )
-    stored = T.documents(spark, sf).select("document_id", "text")
-    return search.fetch_documents(requests, stored, "text", RECOMMENDED_RULES).select(
-        "request_id", "document_id", "error", "status", "content", "pii_masked"
+    stored = T.documents(spark, sf).selectExpr(
+        "document_id", "text", "data_class", "is_active", "source_uri AS title"
+    )
+    return search.fetch_documents(requests, stored, "text", RECOMMENDED_RULES)
+
+
+def document_fetch(spark, sf):
+    """Every customer asks for a document; missing, restricted and inactive ones are refused alike."""
+    return _fetched(spark, sf).select(
+        "request_id", "document_id", "error", "status", "content", "pii_masked", "title"
+    )
+
+
+def document_audit(spark, sf):
+    events = search.fetch_audit(_fetched(spark, sf), "request_id", F.lit(T.AS_OF).cast("timestamp"))
+    return events.select(
+        "event_id",
+        "tool_name",
+        "agent_role",
+        F.array_join("chunk_ids", ",").alias("chunk_ids"),
+        "pii_detected",
+        "severity",
     )
 
 
@@ -251,12 +306,15 @@ QUERIES = {
         ann_topk,
         bm25_topk,
         rrf_search,
+        sparse_hits_search,
+        empty_search_calls,
         governed_search,
         governed_search_drop,
         search_audit,
         context_assembly,
         answer_flow,
         document_fetch,
+        document_audit,
         quality_gate,
     )
 }
