@@ -139,7 +139,8 @@ def test_governed_search_clamps_and_refuses(spark):
     secret = chunks.withColumn("chunk_text", F.concat("chunk_text", F.lit(" 123-45-6789")))
     refused = search.governed_search(secret, asked, FALLBACK_RULES).collect()
     assert {(r.status, r.text, r.returned) for r in refused} == {("blocked", None, 0)}
-    assert search.governed_search(secret, asked, FALLBACK_RULES, on_block="drop").count() == 0
+    dropped = search.governed_search(secret, asked, FALLBACK_RULES, on_block="drop").collect()
+    assert [(r.total_found, r.returned, r.position, r.chunk_id, r.text) for r in dropped] == [(10, 0, 0, None, None)] * 3
 
 
 def test_custom_scorer_reorders(spark):
@@ -155,6 +156,20 @@ def test_custom_scorer_reorders(spark):
         assert sizes == sorted(sizes, reverse=True)
 
 
+def test_each_text_is_embedded_once(spark, tmp_path):
+    import os
+
+    def embed(texts):
+        with open(tmp_path / f"calls-{os.getpid()}", "a") as log:
+            log.write("".join(f"{t}\n" for t in texts))
+        return [[1.0, 2.0]] * len(texts)
+
+    df = spark.createDataFrame([(i, f"text {i % 5}") for i in range(40)], "id int, t string")
+    corpus.embed_once(df, "t", corpus.batch_embedder(embed, 2)).collect()
+    lines = [line for p in tmp_path.iterdir() for line in p.read_text().splitlines()]
+    assert sorted(lines) == [f"text {i}" for i in range(5)]
+
+
 def test_embedder_runs_once_per_text_and_checks_size(spark):
     df = spark.createDataFrame([("A  b",), ("a b",), ("c",)], "text string")
     embed = corpus.batch_embedder(lambda texts: [[float(len(t)), 1.0] for t in texts], 2)
@@ -182,3 +197,42 @@ def test_bm25_without_matches_is_empty(spark):
     _, _, chunks, queries = fixture(spark, 20, 2)
     none = queries.withColumn("query", F.lit("the and zebra"))
     assert sparse.bm25(chunks, none, "query").count() == 0
+
+
+def test_fewer_scored_chunks_than_asked_for(spark):
+    _, _, chunks, _ = fixture(spark, 30)
+    asked = spark.createDataFrame(
+        [("one", "w1", None, "all"), ("none", "zzz", None, "all"), ("nowhere", "w1", None, "missing")],
+        "query_id string, query string, query_vector array<float>, domain string",
+    ).withColumn("cutoff", F.lit(None).cast("timestamp"))
+    found = search.hybrid_search(chunks, asked, "query", 10).collect()
+    assert sorted(r.query_id for r in found) == ["none"] * 10 + ["one"] * 10
+    ids = sorted(r.chunk_id for r in found if r.query_id == "none")
+    assert ids == [f"c{i:04d}" for i in range(10)]
+    assert {r.position for r in found if r.query_id == "one"} == set(range(1, 11))
+
+
+def test_query_batches_agree(spark, monkeypatch):
+    _, _, chunks, queries = fixture(spark, 120, 7)
+    whole = {tuple(r) for r in search.hybrid_search(chunks, queries, "query", 4).collect()}
+    monkeypatch.setattr(search.scan, "BATCH_QUERIES", 2)
+    monkeypatch.setattr(search.scan, "BLOCK_CHUNKS", 17)
+    assert {tuple(r) for r in search.hybrid_search(chunks, queries, "query", 4).collect()} == whole
+
+
+def test_every_call_has_a_row(spark):
+    _, _, chunks, queries = fixture(spark, 20, 3)
+    about = queries.withColumns(
+        {"top_k": F.lit(2), "agent_id": F.lit("a"), "agent_role": F.lit("analyst"), "session_id": F.lit("s")}
+    ).withColumn("domain", F.when(F.col("query_id") == "q1", "missing").otherwise("all"))
+    vectors = []
+
+    def embed(text):
+        vectors.append(text)
+        return F.array(*(F.lit(0.5).cast("float") for _ in range(4)))
+
+    found = search.governed_search(chunks, about, FALLBACK_RULES, on_block="drop", embed=embed).collect()
+    assert len(vectors) == 1
+    empty = [r for r in found if r.query_id == "q1"]
+    assert [(r.status, r.total_found, r.returned, r.position, r.chunk_id) for r in empty] == [("ok", 0, 0, 0, None)]
+    assert sum(r.query_id == "q0" for r in found) == 2

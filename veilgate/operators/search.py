@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +14,22 @@ from veilgate.functions import sqltext
 from veilgate.functions.ids import sha256_hex, stable_id
 from veilgate.functions.rules import RuleSet
 from veilgate.functions.text import words, words_of
-from veilgate.functions.vectors import cosine_similarity
+from veilgate.operators import scan
 from veilgate.operators.corpus import visible as visible_rows
-from veilgate.operators.dense import DIGITS, EVERYTHING, best_of, score_hits
 from veilgate.operators.guards import sanitise_queries
 from veilgate.operators.keyed import BROADCAST_ROWS, balanced_join
 from veilgate.operators.shield import shield
-from veilgate.operators.sparse import bm25, sparse_top
+from veilgate.operators.sparse import sparse_top
 from veilgate.session import settle
 
 # Fixed value: the answer to a request for a document that is missing or closed.
 DOCUMENT_REFUSED = "Document not found or access denied"
 
 RRF_CONSTANT = 60
+HYBRID = (
+    "query_id string, chunk_id string, dense double, sparse double, dense_rank long, sparse_rank long, "
+    "combined double, position int"
+)
 DEFAULT_TOP_K = 10
 MAX_TOP_K = 20
 RERANK_TOP_K = 3
@@ -36,27 +42,6 @@ def _attach(small: DataFrame, large: DataFrame, keys: list[str], rows: int | Non
     return small.join(large, keys)
 
 
-def _best_in_ties(ties: DataFrame, order: list[Column], k: int) -> DataFrame:
-    ranked = Window.partitionBy("query_id").orderBy(*order, "chunk_id")
-    return ties.withColumn("_tie", F.row_number().over(ranked)).where(F.col("_tie") <= k).drop("_tie")
-
-
-def _with_dense(pairs: DataFrame, chunks: DataFrame, queries: DataFrame, rows: int) -> DataFrame:
-    """Cosine similarity of given (query, chunk) pairs; null where either vector is missing."""
-    found = _attach(pairs, chunks.select("chunk_id", "embedding"), ["chunk_id"], rows)
-    return (
-        found.join(queries.select("query_id", "query_vector"), "query_id")
-        .withColumn(
-            "dense",
-            F.when(
-                F.col("embedding").isNotNull() & F.col("query_vector").isNotNull(),
-                F.round(cosine_similarity(F.col("embedding"), F.col("query_vector")), DIGITS),
-            ),
-        )
-        .drop("embedding", "query_vector")
-    )
-
-
 def hybrid_search(
     chunks: DataFrame, queries: DataFrame, text: str, k: int = DEFAULT_TOP_K
 ) -> DataFrame:
@@ -68,74 +53,58 @@ def hybrid_search(
     scored one.
 
     Why a short list is enough: k chunks have a dense rank of at most k, so each of them fuses to
-    at least 1/(60+k). A chunk outside both lists of ``depth`` best is either dominated by k
-    chunks of a list or ranks below ``depth - k`` in both, hence at most 2/(61+depth-k), which is
-    no more than 1/(60+k) once depth >= 59+3k. Chunks tied with the last entry of a list are
-    compared on their other score separately. Where fewer than k chunks score at all, the visible
-    chunks with the least ids fill up, since those without a score share one rank. Exact ranks of the
-    short-listed chunks come from counting the scores above them, not from sorting the corpus.
+    at least 1/(60+k). The lists hold the ``depth`` best by one score, ties going by the other and then
+    by id. A chunk outside both is either tied with the end of a list and dominated by k chunks of it, or
+    ranks below ``depth - k`` in both, hence at most 2/(61+depth-k), which is no more than 1/(60+k) once
+    depth >= 59+3k. Chunks without any score are in the lists as the last of all, so a query gets
+    min(k, visible chunks) rows. A second scan counts the scores above those of the short list, which
+    gives exact ranks without sorting the corpus or writing pairs.
     """
     depth = RRF_CONSTANT - 1 + 3 * k
-    queries = settle(queries.withColumn("query_id", F.col("query_id").cast("string")), "queries")
-    matched = settle(bm25(chunks, queries, text), "matched")
-    sparse_side = settle(_sparse_candidates(matched, chunks, queries, depth, k), "sparse-side")
-
-    # One pass over the vectors: dense candidates, and counts above the sparse candidates' scores.
-    marks = sparse_side.groupBy("query_id").agg(F.collect_set("dense").alias("marks"))
-    hits = score_hits(chunks, queries.join(marks, "query_id", "left"), depth)
-    dense_list = settle(best_of(hits, depth), "dense-list")
-    above = (
-        hits.where(F.col("chunk_id").isNull())
-        .groupBy("query_id", F.col("dense").alias("_mark"))
-        .agg(F.sum("n").alias("_above"))
-    )
-    dense_side = _dense_candidates(dense_list, matched, chunks, queries, k)
+    found = [_fused(part, asked, depth, k) for asked, part in scan.batches(chunks, queries, text)]
+    if not found:
+        return chunks.sparkSession.createDataFrame([], HYBRID)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _fused(chunks: DataFrame, asked: scan.Asked, depth: int, k: int) -> DataFrame:
+    """The k best of one batch of queries."""
+    lists = settle(scan.best_lists(chunks, asked, depth), "lists")
+
+    def head(side: str, order: list[Column]) -> DataFrame:
+        best = Window.partitionBy("query_id").orderBy(*order, "chunk_id")
+        mine = lists.where(F.col("side") == side).withColumn("_place", F.row_number().over(best))
+        return mine.where(F.col("_place") <= depth).select("query_id", "chunk_id", "dense", "sparse")
+
     both = settle(
-        sparse_side.unionByName(dense_side)
-        .groupBy("query_id", "chunk_id")
-        .agg(F.max("dense").alias("dense"), F.max("sparse").alias("sparse")),
+        head("sparse", [F.desc("sparse"), F.desc("dense")])
+        .unionByName(head("dense", [F.desc("dense"), F.desc("sparse")]))
+        .distinct(),
         "candidates",
     )
-    few = settle(
-        queries.join(both.groupBy("query_id").count(), "query_id", "left")
-        .where(F.coalesce("count", F.lit(0)) < k)
-        .select("query_id", "domain", "cutoff"),
-        "few-candidates",
+    # at most 2 depth marks per query and side, for at most BATCH_QUERIES queries
+    marks = both.groupBy("query_id").agg(
+        F.sort_array(F.collect_set("dense")).alias("dense"), F.sort_array(F.collect_set("sparse")).alias("sparse")
     )
-    if not few.isEmpty():
-        filled = both.unionByName(_unscored_candidates(few, chunks, k))
-        both = settle(
-            filled.groupBy("query_id", "chunk_id").agg(
-                F.max("dense").alias("dense"), F.max("sparse").alias("sparse")
-            ),
-            "candidates",
+    known = {r.query_id: (np.array(r.dense), np.array(r.sparse)) for r in marks.collect()}
+    none = (np.empty(0), np.empty(0))
+    marked = replace(asked, marks=[known.get(q, none) for q in asked.ids])
+    above = settle(
+        scan.counts_above(chunks, marked).groupBy("query_id", "side", "mark").agg(F.sum("n").alias("n")), "above"
+    )
+
+    def rank(side: str) -> DataFrame:
+        return above.where(F.col("side") == side).select(
+            "query_id", F.col("mark").alias(side), (F.col("n") + 1).alias(f"{side}_rank")
         )
 
-    # Dense ranks: counted for marked scores; for the others the score occurs in the dense list.
-    listed = (
-        dense_list.groupBy("query_id", F.col("dense").alias("_mark"))
-        .agg(F.min("dense_rank").alias("_listed"))
-    )
-    unscored = above.where(F.col("_mark") == EVERYTHING).select(
-        "query_id", (F.col("_above") + 1).alias("_after_all")
-    )
-    ranked = (
-        both.withColumn("_mark", F.col("dense"))
-        .join(listed, ["query_id", "_mark"], "left")
-        .join(above, ["query_id", "_mark"], "left")
-        .join(unscored, "query_id", "left")
+    fused = (
+        both.join(rank("dense"), ["query_id", "dense"])
+        .join(rank("sparse"), ["query_id", "sparse"])
         .withColumn(
-            "dense_rank",
-            F.when(F.col("dense").isNull(), F.coalesce("_after_all", F.lit(1))).otherwise(
-                F.coalesce(F.col("_listed"), F.col("_above") + 1)
-            ),
+            "combined",
+            F.lit(1.0) / (RRF_CONSTANT + F.col("dense_rank")) + F.lit(1.0) / (RRF_CONSTANT + F.col("sparse_rank")),
         )
-        .join(_sparse_ranks(both, matched), ["query_id", "sparse"])
-    )
-    fused = ranked.withColumn(
-        "combined",
-        F.lit(1.0) / (RRF_CONSTANT + F.col("dense_rank"))
-        + F.lit(1.0) / (RRF_CONSTANT + F.col("sparse_rank")),
     )
     best_first = Window.partitionBy("query_id").orderBy(F.desc("combined"), "chunk_id")
     return (
@@ -144,7 +113,7 @@ def hybrid_search(
         .select(
             "query_id",
             "chunk_id",
-            "dense",
+            F.when(F.col("dense") > scan.NO_VECTOR, F.col("dense")).alias("dense"),
             "sparse",
             "dense_rank",
             "sparse_rank",
@@ -154,93 +123,15 @@ def hybrid_search(
     )
 
 
-def _sparse_candidates(matched, chunks, queries, depth, k):
-    """The sparse list with dense scores, plus the best by dense score among ties with its end."""
-    leaders = sparse_top(matched, depth).select(
-        "query_id", "chunk_id", "sparse", F.lit(False).alias("_tied")
-    )
-    ends = (
-        leaders.groupBy("query_id")
-        .agg(
-            F.min("sparse").alias("_end"),
-            F.max_by("chunk_id", F.struct(-F.col("sparse"), "chunk_id")).alias("_end_chunk"),
-            F.count(F.lit(1)).alias("_n"),
-        )
-        .where(F.col("_n") >= depth)
-    )
-    tied = (
-        matched.join(ends, "query_id")
-        .where((F.col("sparse") == F.col("_end")) & (F.col("chunk_id") > F.col("_end_chunk")))
-        .select("query_id", "chunk_id", "sparse", F.lit(True).alias("_tied"))
-    )
-    pairs = settle(leaders.unionByName(tied), "sparse-pairs")
-    counted = pairs.agg(F.count(F.lit(1)), F.count_if("_tied")).first()
-    scored = _with_dense(pairs, chunks, queries, counted[0]).select(
-        "query_id", "chunk_id", "dense", "sparse", "_tied"
-    )
-    if counted[1] == 0:
-        return scored.drop("_tied")
-    extra = _best_in_ties(scored.where("_tied"), [F.desc_nulls_last("dense")], k)
-    return scored.where(~F.col("_tied")).unionByName(extra).drop("_tied")
-
-
-def _dense_candidates(dense_list, matched, chunks, queries, k):
-    """The dense list with sparse scores, plus the best by sparse score among ties with its end."""
-    listed = dense_list.join(matched, ["query_id", "chunk_id"], "left").select(
-        "query_id", "chunk_id", "dense", F.coalesce("sparse", F.lit(0.0)).alias("sparse")
-    )
-    overflow = dense_list.where("overflow").select("query_id", F.col("dense").alias("_end"))
-    overflow = overflow.groupBy("query_id").agg(F.min("_end").alias("_end"))
-    if overflow.isEmpty():
-        return listed
-    maybe = settle(matched.join(overflow, "query_id"), "maybe-tied")
-    same = _with_dense(maybe, chunks, queries, maybe.count()).where(F.col("dense") == F.col("_end"))
-    extra = _best_in_ties(same, [F.desc("sparse")], k)
-    return listed.unionByName(extra.select("query_id", "chunk_id", "dense", "sparse"))
-
-
-def _unscored_candidates(few: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The 2k least chunk ids each of these queries may see: fewer than k score, so k others are among them.
-
-    Found once per distinct filter, of which there are few; the window keeps 2k rows per filter and task.
-    """
-    filters = few.select("domain", "cutoff").distinct().withColumnsRenamed({"domain": "_domain", "cutoff": "_cutoff"})
-    reach = F.explode(F.array_distinct(F.array("domain", F.lit("all"))))
-    seen = chunks.select("chunk_id", "updated_at", reach.alias("_domain")).join(filters, "_domain")
-    seen = seen.where(F.col("_cutoff").isNull() | (F.col("updated_at") >= F.col("_cutoff")))
-    least = Window.partitionBy("_domain", "_cutoff").orderBy("chunk_id")
-    first = (
-        seen.withColumn("_place", F.row_number().over(least))
-        .where(F.col("_place") <= 2 * k)
-        .select("_domain", "_cutoff", "chunk_id")
-    )
-    same = (F.col("domain") == F.col("_domain")) & F.col("cutoff").eqNullSafe(F.col("_cutoff"))
-    return few.join(first, same).select(
-        "query_id", "chunk_id", F.lit(None).cast("double").alias("dense"), F.lit(0.0).alias("sparse")
-    )
-
-
-def _sparse_ranks(candidates: DataFrame, matched: DataFrame) -> DataFrame:
-    """RANK() of each candidate score: one more than the number of matched chunks above it."""
-    scores = candidates.select("query_id", "sparse").distinct()
-    levels = scores.groupBy("query_id").agg(F.sort_array(F.collect_set("sparse")).alias("_levels"))
-    placed = (
-        matched.join(levels, "query_id")
-        .withColumn("_bucket", F.size(F.filter("_levels", lambda s: s < F.col("sparse"))))
-        .groupBy("query_id", "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    marked = levels.select("query_id", F.posexplode("_levels").alias("_level", "sparse"))
-    return (
-        marked.join(placed, "query_id", "left")
-        .groupBy("query_id", "sparse")
-        .agg(
-            (
-                F.coalesce(F.sum(F.when(F.col("_bucket") > F.col("_level"), F.col("_n"))), F.lit(0))
-                + 1
-            ).alias("sparse_rank")
-        )
-    )
+def keyword_search(chunks: DataFrame, queries: DataFrame, text: str, k: int) -> DataFrame:
+    """Top-k chunks per query by BM25, among those sharing a term, with ``sparse_rank`` (ties share a rank)."""
+    found = [
+        scan.best_lists(part, asked, k, matched_only=True).select("query_id", "chunk_id", "sparse")
+        for asked, part in scan.batches(chunks, queries, text)
+    ]
+    if not found:
+        found = [chunks.sparkSession.createDataFrame([], "query_id string, chunk_id string, sparse double")]
+    return sparse_top(reduce(DataFrame.unionByName, found), k)
 
 
 def effective_k(requested: Column, role_limit: Column | None = None) -> Column:
@@ -259,6 +150,7 @@ def governed_search(
     retrieve: int = DEFAULT_TOP_K,
     scorer: Callable[[DataFrame], Column] | None = None,
     retrieved: DataFrame | None = None,
+    embed: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Sanitise, retrieve, shield, re-rank and shape: one row per returned chunk.
 
@@ -267,11 +159,14 @@ def governed_search(
     ``queries``: query_id, query, query_vector, domain, cutoff, top_k, agent_id, agent_role,
     session_id. With ``on_block='abort'`` one blocked chunk makes the whole query ``blocked`` and
     returns a single row without text; ``drop`` leaves only that chunk out. ``scorer`` replaces
-    the fused score as the re-ranking score and sees protected text only.
+    the fused score as the re-ranking score and sees protected text only. ``embed`` makes the query
+    vectors from the sanitised queries; without it ``query_vector`` is taken as given.
     """
     safe = sanitise_queries(
         queries.withColumn("query_id", F.col("query_id").cast("string")), "query", rules, "agent_role"
     )
+    if embed is not None:
+        safe = settle(safe.withColumn("query_vector", embed(F.col("safe_query"))), "safe-queries")
     found = retrieved if retrieved is not None else hybrid_search(chunks, safe, "safe_query", retrieve)
     about = safe.select(
         "query_id", "safe_query", "top_k", "agent_id", "agent_role", "session_id"

@@ -9,7 +9,7 @@ from veilgate.functions.ids import stable_id
 from veilgate.functions.rules import RECOMMENDED_RULES
 from veilgate.functions.text import embedding_key
 from veilgate.functions.vectors import pseudo_components
-from veilgate.operators import corpus, dense, guards, search, sparse
+from veilgate.operators import corpus, dense, guards, search
 from veilgate.plans import tables as T
 from veilgate.session import settle
 
@@ -123,8 +123,7 @@ def ann_topk(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    matched = sparse.bm25(T.search_corpus(spark, sf), T.queries(spark, sf), "query")
-    return sparse.sparse_top(matched, 10)
+    return search.keyword_search(T.search_corpus(spark, sf), T.queries(spark, sf), "query", 10)
 
 
 def rrf_search(spark, sf):
