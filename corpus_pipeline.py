@@ -38,11 +38,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spare = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 61) - 1)
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id"), spare))
     same, near = similar_texts.similar_links(keyed, id_col="__key")
-    linked = golay_dedup.near_duplicates(keyed, id_col="__key")
     edges = (
-        near.unionByName(same.selectExpr("id AS u", "rep AS v"))
-        .unionByName(linked.selectExpr("__key AS u", "component_id AS v"))
-        .where("u <> v")
+        golay_dedup.document_links(keyed, id_col="__key")
+        .unionByName(near)
+        .unionByName(same.selectExpr("id AS u", "rep AS v"))
     )
     gone = connected_components(edges).where("node <> root").select(F.col("node").alias("__key"))
     return keyed.join(gone, "__key", "left_anti").dropDuplicates(["__key"]).select(docs.columns)

@@ -116,6 +116,9 @@ def test_documents(spark, docs):
             least[c] = min(i, least.get(c, i))
     want = sorted((i or -1, signed(b), least[c]) for (i, _), b, c in zip(rows, bits, components, strict=True))
     assert sorted((r.doc_id or -1, r.bits, r.component_id) for r in got) == want
+    edges = G.document_links(frame)
+    roots = {r.node: r.root for r in connected_components(edges).collect()}
+    assert {i: roots.get(i, i) for i, _ in rows if i is not None} == {r.doc_id: r.component_id for r in got if r.doc_id is not None}
     assert G.near_duplicates(docs([])).collect() == []
 
 

@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the least node of that neighbourhood."""
     both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
     least = settle(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"), "least")
-    return both.join(least, "u").where("v > u AND v <> m").selectExpr("v AS u", "m AS v").distinct()
+    return both.join(least, "u").where("v > u AND v <> m").selectExpr("v AS u", "m AS v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

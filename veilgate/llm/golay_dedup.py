@@ -272,6 +272,32 @@ def near_duplicates(
     return marked.join(by_bits, "bits").select(id_col, "bits", "component_id")
 
 
+def document_links(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 4,
+    radius: int = RADIUS,
+    seed: int = 42,
+    bucket: int = BUCKET,
+) -> DataFrame:
+    """(u, v) edges between ids whose components are those of ``near_duplicates``, to be joined with other links.
+
+    Null ids are left out; the ids are whole numbers.
+    """
+    known = docs.where(F.col(f"`{id_col}`").isNotNull())
+    marked = settle(fingerprints(known, id_col, text_col, shingle, seed), "simhash")
+    groups = settle(marked.groupBy("bits").agg(F.min(id_col).alias("least")), "simhash-groups")
+    found = settle(links(groups.select("bits"), radius, bucket), "simhash-links")
+    between = (
+        found.join(groups.selectExpr("bits AS u", "least AS first"), "u")
+        .join(groups.selectExpr("bits AS v", "least AS second"), "v")
+        .select(F.col("first").alias("u"), F.col("second").alias("v"))
+    )
+    same = marked.join(groups, "bits").select(F.col(id_col).alias("u"), F.col("least").alias("v"))
+    return between.unionByName(same).where("u <> v")
+
+
 def hex_fingerprint(bits: str = "bits") -> Column:
     """16 lowercase hex digits of a fingerprint column."""
     return F.lpad(F.lower(F.hex(F.col(bits))), 16, "0")
