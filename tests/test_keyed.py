@@ -79,3 +79,10 @@ def test_salted_join_takes_maps(spark):
     large = spark.createDataFrame([(1, {"a": 1}), (1, {"b": 2}), (2, None)], "k int, m map<string,int>")
     small = spark.createDataFrame([(1, "x")], "k int, v string")
     assert sorted(r.v for r in keyed.salted_join(large, small, ["k"]).collect()) == ["x", "x"]
+
+
+def test_two_sided_join_makes_each_pair_once(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(40)] + [("a", 1), (None, 2)], "k string, x int")
+    right = spark.createDataFrame([("hot", i) for i in range(30)] + [("a", 7), ("b", 1), (None, 3)], "k string, y int")
+    got = keyed.two_sided_join(left, right, ["k"], ["x"], ["y"]).collect()
+    assert len(got) == 40 * 30 + 1 and len(set(got)) == len(got)

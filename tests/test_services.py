@@ -201,3 +201,22 @@ def test_rates_and_gaps_use_the_role_limit(spark):
     df = spark.createDataFrame(rows, "event_id string, agent_id string, agent_role string, timestamp timestamp")
     row = governance.rate_limits(df, DEFAULT_POLICY).first()
     assert (row.calls, row.rate_limit, row.over_limit) == (12, 10, True)
+
+
+def test_gaps_do_not_depend_on_the_stretch(spark, monkeypatch):
+    rows = [(f"e{i}", "hot" if i % 10 else "rare", datetime(2024, 1, 1 + i // 40, i % 24, i % 60)) for i in range(120)]
+    events = spark.createDataFrame(rows, "event_id string, job string, at timestamp")
+    whole = {tuple(r) for r in governance.event_gaps(events, "job", "at", "event_id").collect()}
+    for limit in (30, 3, 0):
+        monkeypatch.setattr(governance, "STRETCH_EVENTS", limit)
+        assert {tuple(r) for r in governance.event_gaps(events, "job", "at", "event_id").collect()} == whole
+
+
+def test_expired_tokens_are_refused(spark):
+    rows = [(1, "TOK_A", datetime(2024, 1, 2, 1)), (2, "TOK_A", datetime(2024, 1, 1)), (3, "TOK_A", None)]
+    asked = spark.createDataFrame(rows, "id int, entity_token string, issued_at timestamp").selectExpr(
+        "*", "CAST(NULL AS array<string>) AS sections", "'a' AS agent_id", "'fraud-agent' AS agent_role"
+    )
+    now = F.lit("2024-01-02 12:00:00").cast("timestamp")
+    got = {r.id: r.error for r in features.entity_context(asked, online(spark), FALLBACK_RULES, now).collect()}
+    assert got[1] is None and got[2] == got[3] == features.TOKEN_EXPIRED

@@ -37,6 +37,7 @@ NO_CONTEXT = "Context unavailable for requested sections."
 FEATURE_VERSION = "v2024_q4"
 PERMISSION_ERROR = "Insufficient permissions"
 TOKEN_ERROR = "Invalid token format. Call get_entity_token first to obtain a session token."
+TOKEN_EXPIRED = "Token has expired. Call get_entity_token again to obtain a new session token."
 RAW_ID_ERROR = (
     "Raw entity IDs are not accepted. Use session-scoped token from Feature Store."
 )
@@ -192,16 +193,22 @@ def narrative(sections: Column) -> Column:
     return F.when(joined == "", NO_CONTEXT).otherwise(joined)
 
 
-def entity_context(requests: DataFrame, online: DataFrame, rules: RuleSet) -> DataFrame:
+def entity_context(
+    requests: DataFrame, online: DataFrame, rules: RuleSet, now: Column | None = None
+) -> DataFrame:
     """Role gate, token gate, lookup, narrative and shield; refused requests keep an error row.
 
-    ``requests``: entity_token, sections (null for the default), agent_id, agent_role. ``online``:
+    ``requests``: entity_token, sections (null for the default), agent_id, agent_role; with ``now`` also
+    ``issued_at``, and tokens older than their lifetime (or without a time) are refused. ``online``:
     one row per token with the section structs and ``last_updated``.
     """
     permitted = F.coalesce(F.col("agent_role").isin(*ENTITY_DATA_ROLES), F.lit(False))
     error = F.when(~permitted, PERMISSION_ERROR).when(
         ~F.coalesce(has_token_prefix(F.col("entity_token")), F.lit(False)), TOKEN_ERROR
     )
+    if now is not None:
+        alive = F.coalesce(token_is_valid(F.col("issued_at"), now), F.lit(False))
+        error = error.when(~alive, TOKEN_EXPIRED)
     default = F.array(*[F.lit(s) for s in DEFAULT_SECTIONS])
     checked = (
         requests.withColumn("error", error)

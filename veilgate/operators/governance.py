@@ -358,8 +358,11 @@ ALERT_LIMITS = {
     "blocked_rate": 0.001,
     "p95_latency_ms": 2000.0,
     "error_rate": 0.01,
+    "lineage_gap_seconds": 3600.0,
 }
 LINEAGE_GAP_SECONDS = 3600
+# Events of one job that are sorted together when gaps are looked for.
+STRETCH_EVENTS = 200_000
 
 # ----------------------------------------------------------------------------------------------
 
@@ -378,8 +381,11 @@ def period_metrics(events: DataFrame, period: str, is_error: Column) -> DataFram
     return rates.join(exact_quantiles(timed, ["period"], "latency_ms", LATENCY_LEVELS), "period", "left")
 
 
-def alerts(metrics: DataFrame) -> DataFrame:
-    """One row per period and metric with its value, limit and whether it is breached."""
+def alerts(metrics: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """One row per period and metric with its value, limit and whether it is breached.
+
+    ``gaps`` (period, gap_seconds), for instance from ``event_gaps``, adds the longest gap of each period.
+    """
     rows = {
         "critical_leakage": F.col("leaks").cast("double"),
         "blocked_rate": F.col("blocked_rate"),
@@ -387,21 +393,15 @@ def alerts(metrics: DataFrame) -> DataFrame:
         "error_rate": F.col("error_rate"),
     }
     stacked = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("metric"),
-                value.alias("value"),
-                F.lit(ALERT_LIMITS[name]).alias("limit"),
-            )
-            for name, value in rows.items()
-        ]
+        *[F.struct(F.lit(name).alias("metric"), value.alias("value")) for name, value in rows.items()]
     )
-    return metrics.select("period", F.explode(stacked).alias("a")).select(
-        "period",
-        "a.metric",
-        "a.value",
-        "a.limit",
-        F.coalesce(F.col("a.value") > F.col("a.limit"), F.lit(False)).alias("breached"),
+    measured = metrics.select("period", F.explode(stacked).alias("a")).select("period", "a.metric", "a.value")
+    if gaps is not None:
+        longest = gaps.groupBy("period").agg(F.max("gap_seconds").cast("double").alias("value"))
+        measured = measured.unionByName(longest.withColumn("metric", F.lit("lineage_gap_seconds")))
+    limit = F.expr(sqltext.lookup("metric", ALERT_LIMITS, 0.0))
+    return measured.withColumn("limit", limit).withColumn(
+        "breached", F.coalesce(F.col("value") > F.col("limit"), F.lit(False))
     )
 
 
@@ -410,10 +410,17 @@ def event_gaps(
 ) -> DataFrame:
     """Seconds since the previous event of the same job, flagged above the limit.
 
-    Events are compared inside (job, day); the first of a day is compared with the last event of
-    the closest earlier day, so a job with very many events is still spread over its days.
+    Events are compared inside (job, stretch of time); the first of a stretch is compared with the last
+    event of the closest earlier one. The stretch is a day, or an hour, minute or second where a day of
+    one job holds more events than a task should sort, so a busy job is spread however few jobs there are.
     """
-    daily = events.withColumn("_day", F.date_trunc("day", F.col(time)))
+    stretch = "second"
+    for wider in ("day", "hour", "minute"):
+        peak = events.groupBy(job, F.date_trunc(wider, F.col(time))).count().agg(F.max("count")).first()[0]
+        if (peak or 0) <= STRETCH_EVENTS:
+            stretch = wider
+            break
+    daily = events.withColumn("_day", F.date_trunc(stretch, F.col(time)))
     inside = Window.partitionBy(job, "_day").orderBy(time, order)
     earlier = Window.partitionBy(job).orderBy("_day")
     ends = daily.groupBy(job, "_day").agg(F.max(time).alias("_last"))

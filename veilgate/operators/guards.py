@@ -111,13 +111,16 @@ def guard_responses(df: DataFrame, response: str, blocking: bool = True) -> Data
     )
 
 
-def escalations(guarded: DataFrame, key: str, agent: str, session: str, at: Column) -> DataFrame:
-    """One CRITICAL record per leaking response."""
+def escalations(
+    guarded: DataFrame, key: str, agent: str, session: str, at: Column, prompt: str | None = None
+) -> DataFrame:
+    """One CRITICAL record per leaking response; ``prompt`` names the column of the prompt's inspection id."""
     return guarded.where("leakage").select(
         stable_id(F.lit("PII_LEAKAGE_DETECTED"), F.col(key)).alias("event_id"),
         F.lit("PII_LEAKAGE_DETECTED").alias("event_type"),
         F.lit("CRITICAL").alias("severity"),
         F.col(key).alias("inspection_id"),
+        (F.col(prompt) if prompt else F.lit(None).cast("string")).alias("prompt_inspection_id"),
         F.col(agent).alias("agent_id"),
         F.col(session).alias("session_id"),
         F.col("entities_found").alias("entities_leaked"),

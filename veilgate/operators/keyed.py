@@ -69,6 +69,28 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def two_sided_join(
+    left: DataFrame, right: DataFrame, keys: list[str], left_spread: list[str], right_spread: list[str], salts: int = 4
+) -> DataFrame:
+    """Inner equi join for keys that may be hot on either side.
+
+    Rows of each side are dealt over ``salts`` parts by their own columns and repeated for the parts of the
+    other side, so the pairs of one key are made by salts x salts tasks, each pair once.
+    """
+
+    def parts(df: DataFrame, spread: list[str], own: str, other: str) -> DataFrame:
+        hashed = [hashable(df.schema[c]) for c in spread]
+        return df.withColumn(own, F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        )
+
+    return (
+        parts(left, left_spread, "_l", "_r")
+        .join(parts(right, right_spread, "_r", "_l"), [*keys, "_l", "_r"])
+        .drop("_l", "_r")
+    )
+
+
 def lookup_join(
     large: DataFrame,
     small: DataFrame,

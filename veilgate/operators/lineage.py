@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgate.functions.ids import stable_id
-from veilgate.operators.keyed import is_small, lookup_join, salted_join
+from veilgate.operators.keyed import is_small, lookup_join, two_sided_join
 from veilgate.session import settle
 
 NAMESPACE = "veilgate"
@@ -161,7 +161,8 @@ def reachable(
         if is_small(current):
             joined = links.join(F.broadcast(current), "node")
         else:
-            joined = salted_join(links, current, ["node"], spread=["next"])
+            # upstream the frontier is the hot side (many starts at one node), downstream the links are
+            joined = two_sided_join(links, current, ["node"], ["next"], ["start"])
         step = (
             joined.select("start", F.col("next").alias("node"))
             .distinct()
@@ -180,7 +181,11 @@ def subgraph(edges: DataFrame, reached: DataFrame) -> DataFrame:
     nodes = reached.select("start", "node")
     src = nodes.select("start", F.col("node").alias("src"))
     dst = nodes.select("start", F.col("node").alias("dst"))
-    return edges.join(src, "src").join(dst, ["start", "dst"]).select("start", "src", "dst", "type")
+    if is_small(nodes):
+        from_known = edges.join(F.broadcast(src), "src")
+    else:
+        from_known = two_sided_join(edges, src, ["src"], ["dst"], ["start"])
+    return from_known.join(dst, ["start", "dst"]).select("start", "src", "dst", "type")
 
 
 def sessions_reading(events: DataFrame, artefacts: DataFrame) -> DataFrame:

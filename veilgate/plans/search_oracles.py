@@ -261,6 +261,7 @@ SELECT text_id, text_key, {component('text_key', 1)}::DOUBLE AS first FROM keyed
 SELECT count(*) AS calls, count(DISTINCT {KEY}) AS distinct_texts,
   round(1 - count(DISTINCT {KEY}) / count(*), 6) AS hit_rate FROM texts""",
     "dense_topk": f"{VECTOR_TOP} SELECT * FROM top WHERE position <= 10",
+    "ann_topk": f"{VECTOR_TOP} SELECT * FROM top WHERE position <= 10",
     "min_score": f"""{VECTOR_TOP}
 SELECT query_id, chunk_id, dense FROM top WHERE position <= 10 AND dense >= 0.4""",
     "bm25_topk": f"""WITH {SCORES},

@@ -371,13 +371,17 @@ SELECT window_start, agent_id, agent_role, calls, coalesce(rate, -1)::INT AS rat
     "latency_alerts": f"""WITH {METRICS}
 SELECT period, calls, leaks, p50_ms, p95_ms, p99_ms, round(error_rate, 6) AS error_rate,
   round(pii_rate, 6) AS pii_rate, round(blocked_rate, 6) AS blocked_rate FROM metrics""",
-    "alert_evaluation": f"""WITH {METRICS}, stacked AS (
-  SELECT period, 'critical_leakage' AS metric, leaks::DOUBLE AS v FROM metrics
+    "alert_evaluation": f"""WITH {METRICS}, spaced AS (
+  SELECT date_trunc('day', timestamp) AS period, floor((epoch_us(timestamp) - epoch_us(lag(timestamp)
+    OVER (PARTITION BY tool_name ORDER BY timestamp, event_id))) / 1000000)::DOUBLE AS g FROM audit),
+stacked AS (
+  SELECT period, 'lineage_gap_seconds' AS metric, max(g) AS v FROM spaced GROUP BY period UNION ALL
+  SELECT period, 'critical_leakage', leaks::DOUBLE FROM metrics
   UNION ALL SELECT period, 'blocked_rate', blocked_rate FROM metrics
   UNION ALL SELECT period, 'p95_latency_ms', p95_ms FROM metrics
   UNION ALL SELECT period, 'error_rate', error_rate FROM metrics),
 limits(metric, "limit") AS (VALUES {', '.join(f"('{m}', {v}::DOUBLE)" for m, v in ALERT_LIMITS.items())})
-SELECT period, metric, round(v, 6) AS value, "limit", v > "limit" AS breached
+SELECT period, metric, round(v, 6) AS value, "limit", coalesce(v > "limit", FALSE) AS breached
 FROM stacked JOIN limits USING (metric)""",
     "lineage_gap": f"""WITH {AUDIT}, gaps AS (
   SELECT event_id, tool_name, floor((epoch_us(timestamp) - epoch_us(lag(timestamp)

@@ -404,7 +404,10 @@ def latency_alerts(spark, sf):
 
 
 def alert_evaluation(spark, sf):
-    return governance.alerts(_metrics(spark, sf)).withColumn("value", F.round("value", 6))
+    gaps = governance.event_gaps(T.audit(spark, sf), "tool_name", "timestamp", "event_id").select(
+        F.date_trunc("day", "timestamp").alias("period"), "gap_seconds"
+    )
+    return governance.alerts(_metrics(spark, sf), gaps).withColumn("value", F.round("value", 6))
 
 
 def lineage_gap(spark, sf):

@@ -312,7 +312,8 @@ SELECT response_id, len(never) > 0 AS leakage,
 FROM responses""",
     "response_escalations": f"""WITH {TEXTS}, {RESPONSES}
 SELECT sha256('PII_LEAKAGE_DETECTED' || chr(1) || response_id) AS event_id,
-  'CRITICAL' AS severity, response_id AS inspection_id, agent_id, session_id,
+  'CRITICAL' AS severity, response_id AS inspection_id, 'prompt:' || response_id AS prompt_inspection_id,
+  agent_id, session_id,
   array_to_string(never, ',') AS entities_leaked, 'IMMEDIATE_REVIEW' AS action_required
 FROM responses WHERE len(never) > 0""",
     "guard_events": f"""{guarded_prompts(False)}, {RESPONSES},

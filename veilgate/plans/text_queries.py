@@ -198,11 +198,14 @@ def response_guard(spark, sf):
 
 
 def response_escalations(spark, sf):
-    done = guards.guard_responses(T.responses(spark, sf), "response")
-    return guards.escalations(done, "response_id", "agent_id", "session_id", at()).select(
+    asked = T.responses(spark, sf).withColumn("prompt_id", F.concat(F.lit("prompt:"), "response_id"))
+    done = guards.guard_responses(asked, "response")
+    found = guards.escalations(done, "response_id", "agent_id", "session_id", at(), "prompt_id")
+    return found.select(
         "event_id",
         "severity",
         "inspection_id",
+        "prompt_inspection_id",
         "agent_id",
         "session_id",
         joined("entities_leaked").alias("entities_leaked"),
