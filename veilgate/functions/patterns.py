@@ -71,6 +71,8 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
     return ("(?Ui)" if ignore_case else "(?U)") + pattern
 
 
+# --- Fixed values: the score of each pattern must equal the published one ----------------------
+
 RECOGNISERS = (
     Recogniser("US_SSN", SSN, 0.90, needs="digit"),
     Recogniser("CREDIT_CARD", CARD, 0.85, needs="digit"),

@@ -30,6 +30,7 @@ TOOL_ROLES = {
     "query_audit_trail": GOVERNANCE_ROLES,
     "get_pii_exposure_report": GOVERNANCE_ROLES,
 }
+PERMISSION_ERROR = "Insufficient permissions"
 ID_TYPES = ("internal_id", "crm_id", "hashed_email")
 ABSOLUTE_BLOCK = ("US_SSN", "CREDIT_CARD", "US_DRIVER_LICENSE", "US_PASSPORT")
 
@@ -79,14 +80,7 @@ class AccessPolicy:
         )
 
 
-_READ = ("search_knowledge_base", "get_document_context")
-_ENTITY = (
-    "search_entity_history",
-    "evaluate_retrieval_quality",
-    "get_entity_context",
-    "get_entity_token",
-)
-
+# The default policy, every role with its full list of tools.
 DEFAULT_POLICY = AccessPolicy(
     {
         "governance-admin": RolePolicy(
@@ -107,7 +101,8 @@ DEFAULT_POLICY = AccessPolicy(
         ),
         "model-risk": RolePolicy(
             (
-                *_READ,
+                "search_knowledge_base",
+                "get_document_context",
                 "get_decision_lineage",
                 "query_pii_audit",
                 "validate_data_policy",
@@ -116,7 +111,7 @@ DEFAULT_POLICY = AccessPolicy(
             10,
         ),
         "data-steward": RolePolicy(
-            (*_READ, "get_decision_lineage", "validate_data_policy", "get_quality_metrics"), 10
+            ("search_knowledge_base", "get_document_context", "get_decision_lineage", "validate_data_policy", "get_quality_metrics"), 10
         ),
         "compliance-officer": RolePolicy(
             (
@@ -128,21 +123,22 @@ DEFAULT_POLICY = AccessPolicy(
             10,
         ),
         "fraud-agent": RolePolicy(
-            (*_READ, *_ENTITY), 10, ("fraud", "risk", "servicing"), ("ACCOUNT_NUMBER",), 60
+            ("search_knowledge_base", "get_document_context", "search_entity_history", "evaluate_retrieval_quality", "get_entity_context", "get_entity_token"), 10, ("fraud", "risk", "servicing"), ("ACCOUNT_NUMBER",), 60
         ),
         "collections-agent": RolePolicy(
-            (*_READ, *_ENTITY),
+            ("search_knowledge_base", "get_document_context", "search_entity_history", "evaluate_retrieval_quality", "get_entity_context", "get_entity_token"),
             8,
             ("collections", "servicing", "risk"),
             ("EMAIL_ADDRESS", "PHONE_NUMBER"),
             120,
         ),
         "servicing-agent": RolePolicy(
-            (*_READ, *_ENTITY), 8, ("servicing", "collections"), ("EMAIL_ADDRESS",), 180
+            ("search_knowledge_base", "get_document_context", "search_entity_history", "evaluate_retrieval_quality", "get_entity_context", "get_entity_token"), 8, ("servicing", "collections"), ("EMAIL_ADDRESS",), 180
         ),
         "analyst": RolePolicy(
             (
-                *_READ,
+                "search_knowledge_base",
+                "get_document_context",
                 "evaluate_retrieval_quality",
                 "get_entity_context",
                 "get_entity_token",
@@ -213,7 +209,7 @@ def gate_tools(calls: DataFrame, tool: str = "tool_name", role: str = "agent_rol
         required = F.when(hit, sorted_roles(roles)).otherwise(required)
     return (
         calls.withColumn("allowed", allowed)
-        .withColumn("error", F.when(~F.col("allowed"), "Insufficient permissions"))
+        .withColumn("error", F.when(~F.col("allowed"), PERMISSION_ERROR))
         .withColumn("required_roles", F.when(~F.col("allowed"), required))
     )
 
