@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch handed to Python; a longer single row travels alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Rows of one Arrow batch of short rows.
-BATCH_ROWS = 4096
+BATCH_ROWS = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
