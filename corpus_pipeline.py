@@ -31,7 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of every group of near-duplicates.
 
     A group is connected by SimHash links of the contract (4-word shingles, at most 4 bits) and by near copies (5-word
-    shingles, similarity 0.8 or more) that Golay keys of word-set fingerprints bring together. Documents without an id
+    shingles, similarity 0.8 or more) that bands of minimum hashes bring together. Documents without an id
     get a key from a hash of their text that sorts after all real ids, so they stay unless they are copies. Rows that
     repeat an id are one document.
     """

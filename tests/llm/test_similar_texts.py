@@ -65,3 +65,18 @@ def test_near_copies_are_linked_and_others_not(spark, docs, bucket):
 def test_empty_table(spark, docs):
     tied, links = S.similar_links(docs([]))
     assert tied.collect() == [] and links.collect() == []
+
+
+def test_copies_with_another_passage_share_a_band():
+    rng = random.Random(6)
+    met, pairs = 0, 0
+    for n in (60, 200, 1000):
+        for share in (0.08, 0.16, 0.2):
+            for _ in range(20):
+                base, more = words(rng, n), words(rng, int(n * share))
+                at = rng.randint(0, n) if rng.random() < 0.5 else n
+                a, b = " ".join(base), " ".join(base[:at] + more + base[at:])
+                if overlap(a, b) >= 0.8:
+                    pairs += 1
+                    met += not set(S.profile(a)[1]).isdisjoint(S.profile(b)[1])
+    assert pairs > 100 and met == pairs

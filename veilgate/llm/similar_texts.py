@@ -1,13 +1,12 @@
 """Near copies by word shingles (five words, similarity 0.8), on top of Golay-keyed SimHash.
 
 The contract's fingerprint counts every shingle, and one changed word in fifty already moves more than its 4
-bits. Here three fingerprints are taken of the set of words, which a near copy hardly changes: of pairs whose
-five-word shingles overlap by 0.8 or more, 98 % are within 4 bits in at least one of the three (measured on the
-test tables), unrelated texts are 15 bits and more apart. Golay keys bring such fingerprints together; the
-overlap itself is then judged by minimum hashes of the shingles.
+bits. Here candidates come from the five-word shingles themselves: texts that agree in all minimum hashes of one
+of BANDS bands. How often two texts share a band depends on their similarity alone, not on the kind of edit: at
+0.8 a pair has none in 3 cases of a million.
 
-Equal texts (words, lower case) are one class first. Classes that share a bucket travel as ids; the minimum
-hashes are joined to the few that have company, so texts and hashes never move per key.
+Equal texts (words, lower case) are one class first. Classes that share a band travel as ids; the sketches are
+joined to the few that have company, so texts and hashes never move per key.
 """
 
 from __future__ import annotations
@@ -24,37 +23,55 @@ from veilgate.llm import golay_dedup as golay
 from veilgate.llm.common import batch, packed, scan
 from veilgate.session import settle
 
-#: Fingerprints per text.
-TABLES = 3
+#: Bands per text and minimum hashes per band: 1 - (1 - s^4)^24 of the pairs of similarity s share a band.
+BANDS, ROWS = 24, 4
 #: Minimum hashes per text, each cut to a byte: the standard error of a similarity is at most 0.03.
 BINS = 256
 
+_SEEDS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+#: Shingles hashed at a time.
+_PART = 2048
 
-def profile(text: str | None, shingle: int = 5) -> tuple[bytes, list[int], bytes]:
-    """(digest of the words, TABLES fingerprints of the word set, minimum hashes of the shingles).
 
-    Minimum hashes: the hashes fall into BINS bins by their high bits, the least of each bin is kept by one of
-    its bytes, the byte 0 marks an empty bin.
-    """
+def shingles_of(text: str | None, shingle: int = 5) -> tuple[bytes, np.ndarray]:
+    """(words joined by blanks, sorted distinct hashes of the shingles); a shorter text is one shingle."""
     words = (text or "").lower().encode().split()
     joined = b" ".join(words)
-    digest = xxhash.xxh3_128_digest(joined)
     if not words:
-        return digest, [0] * TABLES, bytes(BINS)
-    distinct = set(words)
-    bits = [golay._majority(b"".join([xxhash.xxh64_digest(w, seed) for w in distinct])) for seed in range(1, TABLES + 1)]
+        return joined, np.empty(0, np.uint64)
     blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate(([0], blanks + 1))[:n].tolist()
     ends = np.concatenate((blanks, [len(joined)]))[min(shingle, len(words)) - 1 :].tolist()
     of = xxhash.xxh64_digest
-    hashes = np.sort(np.frombuffer(b"".join([of(joined[a:b], 7) for a, b in zip(starts, ends, strict=True)]), ">u8").astype(np.uint64))
+    found = b"".join([of(joined[a:b], 7) for a, b in zip(starts, ends, strict=True)])
+    return joined, np.unique(np.frombuffer(found, ">u8").astype(np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key per band of minimum hashes; none without shingles."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), _PART):
+        part = (hashes[None, at : at + _PART] ^ _SEEDS[0]) * (_SEEDS[1] | np.uint64(1))
+        np.minimum(least, part.min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def profile(text: str | None, shingle: int = 5) -> tuple[bytes, list[int], bytes]:
+    """(digest of the words, band keys, sketch: minimum hashes of the shingles).
+
+    Sketch: the hashes fall into BINS bins by their high bits, the least of each bin is kept by one of
+    its bytes, the byte 0 marks an empty bin.
+    """
+    joined, hashes = shingles_of(text, shingle)
+    least = np.zeros(BINS, np.uint8)
     bin_of = (hashes >> np.uint64(56)).astype(np.int64)
     first = np.ones(len(hashes), bool)
     first[1:] = bin_of[1:] != bin_of[:-1]
-    least = np.zeros(BINS, np.uint8)
     least[bin_of[first]] = (hashes[first] % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return digest, bits, least.tobytes()
+    return xxhash.xxh3_128_digest(joined), band_keys(hashes), least.tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,30 +113,29 @@ def similar_links(
     """(rows, links): ``rows(id, rep)`` ties every row to the least id of its equal texts, ``links(u, v)`` ties such
     ids whose texts are alike, enough of them to connect every group.
 
-    Ids are whole numbers; null ids are ignored, texts may be null. A bucket over the limit goes by mid-points, as in
-    ``golay_dedup.links``. A group of more than ``bucket`` classes is compared in blocks of that size, each also with
-    the first of every likeness class found in the blocks before it, so its memory stays bounded.
+    Ids are whole numbers; null ids are ignored, texts may be null. A group of more than ``bucket`` classes is compared in
+    blocks of that size, each also with the first of every likeness class found in the blocks before it, so its
+    memory stays bounded.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             found = [profile(t, shingle) for t in rows.column(1).to_pylist()]
-            bits = np.array([b for _, b, _ in found], np.uint64).reshape(len(found), TABLES)
             yield batch(
                 {
                     "id": (rows.column(0), None),
                     "text": ([d for d, _, _ in found], pa.binary()),
-                    "bits": (bits.view(np.int64).tolist(), pa.list_(pa.int64())),
+                    "keys": ([k for _, k, _ in found], pa.list_(pa.int64())),
                     "sketch": ([s for _, _, s in found], pa.binary()),
                 }
             )
 
     named = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    rows = settle(scan(named, read, "id long, text binary, bits array<long>, sketch binary"), "profiles")
-    classes = settle(rows.groupBy("text").agg(F.min("id").alias("rep"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")), "classes")
+    rows = settle(scan(named, read, "id long, text binary, keys array<long>, sketch binary"), "profiles")
+    classes = settle(rows.groupBy("text").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
     tied = rows.select("id", "text").join(classes.select("text", "rep"), "text").select("id", "rep")
-    spread = settle(classes.select("rep", F.posexplode("bits").alias("number", "print")), "prints")
-    groups = settle(_groups(spread, bucket), "groups").join(spread, ["number", "print"]).select("group", "rep").distinct()
+    keys = settle(classes.select("rep", F.explode("keys").alias("key")), "bands")
+    groups = _groups(keys)
     dealt = groups.join(classes.select("rep", "sketch"), "rep").repartition("group").sortWithinPartitions("group", "rep")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,47 +169,9 @@ def similar_links(
     return tied, links
 
 
-def _groups(prints: DataFrame, bucket: int) -> DataFrame:
-    """(group, number, print): fingerprints of one table that may be close, by Golay bucket, and those several texts have."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            number = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
-            bits = rows.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            row, key = golay.golay_keys(bits)
-            yield batch({"key": (key | number[row] << 26, pa.int32()), "bits": (bits[row].view(np.int64), pa.int64())})
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts():
-            for key, bits, whole in golay.keyed_groups(batches, bucket):
-                number, signed = int(key) >> 26, bits.view(np.int64)
-                if not whole:
-                    yield [-1] * len(signed), [number] * len(signed), signed
-                    continue
-                of: dict[int, list[int]] = {}
-                for i, j in golay.link_within(bits, golay.RADIUS):
-                    of.setdefault(j, [j]).append(i)
-                for places in of.values():
-                    own = np.sort(signed[places])
-                    group = xxhash.xxh64_intdigest(own.tobytes(), number) >> 1
-                    yield [group] * len(own), [number] * len(own), own
-
-        return packed(parts(), {"group": pa.int64(), "number": pa.int32(), "print": pa.int64()})
-
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for number, bits in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                near = golay.mid_points(bits % (1 << 64))
-                group = np.array([xxhash.xxh64_intdigest(p, number) >> 1 for p in near.view("V8").tolist()], np.int64)
-                n = len(near)
-                yield batch({"group": (group, pa.int64()), "number": (np.full(n, number, np.int32), pa.int32()), "print": (np.full(n, bits, np.int64), pa.int64())})
-
-    distinct = prints.select("number", "print").distinct()
-    dealt = scan(distinct, keyed, "key int, bits long").repartition("key").sortWithinPartitions("key", "bits")
-    found = settle(scan(dealt, gather, "group long, number int, print long").distinct(), "near-prints")
-    crowded = found.where("group = -1").select("number", "print").distinct()
-    out = found.where("group <> -1")
-    if not crowded.isEmpty():
-        out = out.unionByName(scan(crowded, points, "group long, number int, print long"))
-    shared = prints.groupBy("number", "print").count().where("count > 1")
-    return out.unionByName(shared.select(F.shiftrightunsigned(F.xxhash64("number", "print"), 1).alias("group"), "number", "print"))
+def _groups(keys: DataFrame) -> DataFrame:
+    """(group, rep, n): texts that share a band, n of them; bands with the same texts are one group."""
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), *marks).where("n > 1")
+    once = settle(shared.groupBy("n", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "n"), "groups")
+    return keys.join(once, "key").select(F.col("key").alias("group"), "rep", "n")
