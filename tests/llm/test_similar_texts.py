@@ -80,3 +80,26 @@ def test_copies_with_another_passage_share_a_band():
                     pairs += 1
                     met += not set(S.profile(a)[1]).isdisjoint(S.profile(b)[1])
     assert pairs > 100 and met == pairs
+
+
+def test_a_chain_stays_connected_in_small_tiles(spark, docs):
+    rng = random.Random(8)
+    now = words(rng, 400)
+    texts = []
+    for step in range(40):  # each text is like its neighbours, not like the first
+        texts.append(" ".join(now))
+        now = now[:step * 10] + words(rng, 10) + now[step * 10 + 10 :]
+    order = list(range(40))
+    rng.shuffle(order)
+    assert overlap(texts[0], texts[5]) < 0.8 <= overlap(texts[0], texts[2])
+    for bucket in (4096, 3):
+        tied, links = S.similar_links(docs([(order[i], t) for i, t in enumerate(texts)]), bucket=bucket)
+        roots = {r.node: r.root for r in connected_components(links).collect()}
+        assert roots == dict.fromkeys(range(40), 0)
+    # one group of everything, whose leaders are not enough: no link may depend on the block
+    rows = spark.createDataFrame([(1, i, 14) for i in range(40)], "group long, rep long, blocks long")
+    tiles = {}
+    for r in S._tiles(rows, "group", "rep").collect():
+        tiles.setdefault(r.tile, set()).add(r.rep)
+    assert all(any({i, j} <= t for t in tiles.values()) for i in range(40) for j in range(i))
+    assert max(map(len, tiles.values())) < 20

@@ -113,9 +113,8 @@ def similar_links(
     """(rows, links): ``rows(id, rep)`` ties every row to the least id of its equal texts, ``links(u, v)`` ties such
     ids whose texts are alike, enough of them to connect every group.
 
-    Ids are whole numbers; null ids are ignored, texts may be null. A group of more than ``bucket`` classes is compared in
-    blocks of that size, each also with the first of every likeness class found in the blocks before it, so its
-    memory stays bounded.
+    Ids are whole numbers; null ids are ignored, texts may be null. A group of more than ``bucket`` classes is dealt as
+    tiles, every block of it against every other block, so no pair goes uncompared and the memory stays bounded.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,40 +134,49 @@ def similar_links(
     classes = settle(rows.groupBy("text").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
     tied = rows.select("id", "text").join(classes.select("text", "rep"), "text").select("id", "rep")
     keys = settle(classes.select("rep", F.explode("keys").alias("key")), "bands")
-    groups = _groups(keys)
-    dealt = groups.join(classes.select("rep", "sketch"), "rep").repartition("group").sortWithinPartitions("group", "rep")
+    groups = _groups(keys).withColumn("blocks", F.ceil(F.col("n") / bucket))
+    sketched = groups.join(classes.select("rep", "sketch"), "rep")
+    dealt = _tiles(sketched, "group", "rep")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
-            group, ids, sketches, first = None, [], [], 0  # the first ids are leaders of earlier blocks
-            for part in batches:
-                for g, i, s in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if g != group:
-                        yield tie(ids, sketches)[0]
-                        group, ids, sketches, first = g, [], [], 0
-                    ids.append(i)
-                    sketches.append(s)
-                    if len(ids) - first == bucket:
-                        edges, ids, sketches = tie(ids, sketches)
-                        yield edges
-                        first = len(ids)
-            yield tie(ids, sketches)[0]
+            for ids, sketches in _runs(batches):
+                edges = _forest(ids, np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS), similarity)
+                yield [a for a, _ in edges], [b for _, b in edges]
 
         return packed(parts(), {"u": pa.int64(), "v": pa.int64()})
 
-    def tie(ids: list[int], sketches: list[bytes]) -> tuple[tuple, list[int], list[bytes]]:
-        """(edges, ids and sketches of the leaders)"""
-        if len(ids) < 2:
-            return ([], []), ids, sketches
-        edges = _forest(ids, np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS), similarity)
-        led = {a for a, _ in edges}
-        keep = [k for k, i in enumerate(ids) if i not in led]
-        return ([a for a, _ in edges], [b for _, b in edges]), [ids[k] for k in keep], [sketches[k] for k in keep]
-
-    links = scan(dealt.select("group", "rep", "sketch"), judge, "u long, v long").distinct()
+    links = scan(dealt.select("tile", "rep", "sketch"), judge, "u long, v long").distinct()
     return tied, links
 
 
+def _tiles(members: DataFrame, group: str, member: str) -> DataFrame:
+    """``members`` dealt by ``tile``: a group of several ``blocks`` has one tile for every two of its blocks.
+
+    Any two members of a group meet in a tile; one of two blocks holds the pairs within either as well.
+    """
+    block = F.pmod(F.xxhash64(member, F.lit(3)), F.col("blocks"))
+    other = F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block")))
+    spread = members.withColumn("block", block).withColumn("other", F.explode(F.coalesce(other, F.array(F.lit(0).cast("long")))))
+    tile = F.struct(group, F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    return spread.withColumn("tile", tile).repartition("tile").sortWithinPartitions("tile", member)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """(second, third column) of the rows of each tile that has two or more of them."""
+    tile, ids, values = None, [], []
+    for rows in batches:
+        for t, i, v in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if t != tile:
+                if len(ids) > 1:
+                    yield ids, values
+                tile, ids, values = t, [], []
+            ids.append(i)
+            values.append(v)
+    if len(ids) > 1:
+        yield ids, values
+
+
 def _groups(keys: DataFrame) -> DataFrame:
     """(group, rep, n): texts that share a band, n of them; bands with the same texts are one group."""
     marks = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
