@@ -103,3 +103,35 @@ def test_a_chain_stays_connected_in_small_tiles(spark, docs):
         tiles.setdefault(r.tile, set()).add(r.rep)
     assert all(any({i, j} <= t for t in tiles.values()) for i in range(40) for j in range(i))
     assert max(map(len, tiles.values())) < 20
+
+
+def test_the_limit_is_decided_by_the_shingles(spark, docs):
+    rng = random.Random(10)
+    rows, want = [], set()
+    for k in range(60):
+        base = words(rng, 204)  # 200 shingles; c appended words leave 200 / (200 + c) of them common
+        c = 50 if k % 2 else 51
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + words(rng, c)))]
+        if overlap(rows[-2][1], rows[-1][1]) >= 0.8:
+            want.add((2 * k, 2 * k + 1))
+    assert 25 <= len(want) <= 35
+    _, links = S.similar_links(docs(rows))
+    assert {tuple(sorted(r)) for r in links.collect()} == want
+
+
+def test_exact_forest_equals_all_pairs():
+    rng = random.Random(11)
+    for _ in range(60):
+        sets = [np.array(sorted(rng.sample(range(14), rng.randint(8, 13))), np.uint64) for _ in range(rng.randint(2, 14))]
+        n = len(sets)
+        root = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                a, b = set(sets[i].tolist()), set(sets[j].tolist())
+                if len(a & b) >= 0.8 * len(a | b):
+                    root = [root[j] if x == root[i] else x for x in root]
+        got = list(range(n))
+        edges = S.exact_forest(list(range(n)), sets, 0.8)
+        for a, b in edges:
+            got = [got[b] if x == got[a] else x for x in got]
+        assert len(set(zip(root, got))) == len(set(root)) == len(set(got)) == n - len(edges)

@@ -5,13 +5,14 @@ bits. Here candidates come from the five-word shingles themselves: texts that ag
 of BANDS bands. How often two texts share a band depends on their similarity alone, not on the kind of edit: at
 0.8 a pair has none in 3 cases of a million.
 
-Equal texts (words, lower case) are one class first. Classes that share a band travel as ids; the sketches are
-joined to the few that have company, so texts and hashes never move per key.
+Equal texts (words, lower case) are one class first. Classes that share a band travel as ids; sketches are joined
+to the few that have company. A sketch only rules out pairs far below the limit: what remains hangs together in
+loose groups, whose texts move once and are compared by all their shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,19 @@ from pyspark.sql import functions as F
 
 from veilgate.llm import golay_dedup as golay
 from veilgate.llm.common import batch, packed, scan
+from veilgate.llm.components import connected_components
 from veilgate.session import settle
 
 #: Bands per text and minimum hashes per band: 1 - (1 - s^4)^24 of the pairs of similarity s share a band.
 BANDS, ROWS = 24, 4
-#: Minimum hashes per text, each cut to a byte: the standard error of a similarity is at most 0.03.
+#: Minimum hashes per sketch, each cut to a byte: the standard error of a similarity is at most 0.03.
 BINS = 256
+#: So far below the limit an estimate may lie before a pair is ruled out: five standard errors.
+SLACK = 0.15
+#: Shingles of a loose group compared in one task.
+SHINGLES = 4 << 20
+#: Texts of loose groups whose ids are broadcast; the ids of more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 _SEEDS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 #: Shingles hashed at a time.
@@ -107,6 +115,33 @@ def _forest(ids: list[int], sketches: np.ndarray, similarity: float) -> list[tup
     return edges
 
 
+def exact_forest(ids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect the sets whose overlap is ``similarity`` or more, one per member at most; no set is empty."""
+    size = np.array([len(x) for x in sets], np.int64)
+    entries = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    own = np.split(entries, np.cumsum(size)[:-1])
+    mark = np.zeros(int(entries.max()) + 1, bool)
+    waiting = np.arange(len(ids))  # not tied yet; ``flat`` and ``at`` are their entries and where each begins
+    flat, at = entries, np.cumsum(size) - size
+    edges = []
+    while len(waiting):
+        front, waiting = [int(waiting[0])], waiting[1:]
+        flat, at = flat[size[front[0]] :], at[1:] - size[front[0]]
+        while front and len(waiting):
+            one = front.pop()
+            mark[own[one]] = True
+            common = np.add.reduceat(mark[flat], at, dtype=np.int64)
+            mark[own[one]] = False
+            hit = common >= similarity * (size[waiting] + size[one] - common) - 1e-9
+            if hit.any():
+                edges += [(ids[k], ids[one]) for k in waiting[hit]]
+                front += waiting[hit].tolist()
+                flat = flat[np.repeat(~hit, size[waiting])]
+                waiting = waiting[~hit]
+                at = np.cumsum(size[waiting]) - size[waiting]
+    return edges
+
+
 def similar_links(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket: int = golay.BUCKET
 ) -> tuple[DataFrame, DataFrame]:
@@ -119,19 +154,22 @@ def similar_links(
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            found = [profile(t, shingle) for t in rows.column(1).to_pylist()]
+            texts = rows.column(1).to_pylist()
+            found = [profile(t, shingle) for t in texts]
             yield batch(
                 {
                     "id": (rows.column(0), None),
                     "text": ([d for d, _, _ in found], pa.binary()),
                     "keys": ([k for _, k, _ in found], pa.list_(pa.int64())),
                     "sketch": ([s for _, _, s in found], pa.binary()),
+                    "size": ([len(t or "") for t in texts], pa.int64()),
                 }
             )
 
     named = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    rows = settle(scan(named, read, "id long, text binary, keys array<long>, sketch binary"), "profiles")
-    classes = settle(rows.groupBy("text").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
+    rows = settle(scan(named, read, "id long, text binary, keys array<long>, sketch binary, size long"), "profiles")
+    firsts = [F.first(c).alias(c) for c in ("keys", "sketch", "size")]
+    classes = settle(rows.groupBy("text").agg(F.min("id").alias("rep"), *firsts), "classes")
     tied = rows.select("id", "text").join(classes.select("text", "rep"), "text").select("id", "rep")
     keys = settle(classes.select("rep", F.explode("keys").alias("key")), "bands")
     groups = _groups(keys).withColumn("blocks", F.ceil(F.col("n") / bucket))
@@ -141,12 +179,26 @@ def similar_links(
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
             for ids, sketches in _runs(batches):
-                edges = _forest(ids, np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS), similarity)
+                edges = _forest(ids, np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS), similarity - SLACK)
+                yield [a for a, _ in edges], [b for _, b in edges]
+
+        return packed(parts(), {"u": pa.int64(), "v": pa.int64()})
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for ids, sets in _runs(batches, lambda t: shingles_of(t, shingle)[1]):
+                edges = exact_forest(ids, sets, similarity)
                 yield [a for a, _ in edges], [b for _, b in edges]
 
         return packed(parts(), {"u": pa.int64(), "v": pa.int64()})
 
-    links = scan(dealt.select("tile", "rep", "sketch"), judge, "u long, v long").distinct()
+    loose = connected_components(scan(dealt.select("tile", "rep", "sketch"), judge, "u long, v long").distinct())
+    members = settle(loose.join(classes.selectExpr("rep AS node", "size"), "node").select("root", "node", "size"), "loose")
+    # a shingle takes about six characters
+    need = F.greatest(F.ceil(F.count("*") / bucket), F.ceil(F.sum("size") / (6 * SHINGLES))).alias("blocks")
+    grouped = settle(members.join(members.groupBy("root").agg(need), "root").selectExpr("root", "node AS id", "blocks"), "loose-groups")
+    texts = named.join(F.broadcast(grouped) if grouped.count() <= BROADCAST_ROWS else grouped, "id")
+    links = scan(_tiles(texts, "root", "id").select("tile", "id", "t"), decide, "u long, v long").where("u <> v").distinct()
     return tied, links
 
 
@@ -162,8 +214,8 @@ def _tiles(members: DataFrame, group: str, member: str) -> DataFrame:
     return spread.withColumn("tile", tile).repartition("tile").sortWithinPartitions("tile", member)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(second, third column) of the rows of each tile that has two or more of them."""
+def _runs(batches: Iterator[pa.RecordBatch], read: Callable = lambda value: value) -> Iterator[tuple[list, list]]:
+    """(second column, third column as ``read``) of the rows of each tile that has two or more of them."""
     tile, ids, values = None, [], []
     for rows in batches:
         for t, i, v in zip(*(c.to_pylist() for c in rows.columns), strict=True):
@@ -172,7 +224,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
                     yield ids, values
                 tile, ids, values = t, [], []
             ids.append(i)
-            values.append(v)
+            values.append(read(v))
     if len(ids) > 1:
         yield ids, values
 
