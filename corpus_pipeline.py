@@ -32,11 +32,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A group is connected by SimHash links of the contract (4-word shingles, at most 4 bits) and by near copies (5-word
     shingles, similarity 0.8 or more) that bands of minimum hashes bring together. Documents without an id
-    get a key from a hash of their text that sorts after all real ids, so they stay unless they are copies. Rows that
-    repeat an id are one document.
+    get a key from a hash of their text that sorts after all real ids, so they stay unless they are copies. Of rows that
+    repeat an id with different texts that with the least hash has the id as its key and the others have keys of their
+    own behind the real ids, so only copies are dropped; of rows equal in id and text the least one stays.
     """
-    spare = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 61) - 1)
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id"), spare))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("__least"), F.max(digest).alias("__most"))
+    repeated = settle(repeated.where("__least <> __most").select("doc_id", "__least"), "repeated-ids")
+    spare = F.lit(1 << 62) + digest.bitwiseAND((1 << 61) - 1)
+    other = F.lit(1 << 61) + F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).bitwiseAND((1 << 61) - 1)
+    none = F.lit(None).cast("long").alias("__least")
+    keyed = docs.select("*", none) if repeated.isEmpty() else docs.join(repeated, "doc_id", "left")
+    keyed = keyed.withColumn("__key", F.when(F.col("__least") != digest, other).otherwise(F.coalesce("doc_id", spare))).drop("__least")
     same, near = similar_texts.similar_links(keyed, id_col="__key")
     edges = (
         golay_dedup.document_links(keyed, id_col="__key")
@@ -44,7 +51,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .unionByName(same.selectExpr("id AS u", "rep AS v"))
     )
     gone = connected_components(edges).where("node <> root").select(F.col("node").alias("__key"))
-    return keyed.join(gone, "__key", "left_anti").dropDuplicates(["__key"]).select(docs.columns)
+    left = keyed.join(gone, "__key", "left_anti").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return left.select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

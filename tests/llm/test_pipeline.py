@@ -54,3 +54,14 @@ def test_empty_documents(spark, docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_texts_under_one_id_stay_unless_they_are_copies(spark, docs):
+    rng = random.Random(12)
+    texts = [make(rng, True) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (1, None), (2, texts[2]), (3, texts[2]), (3, texts[3]), (None, texts[3])]
+    got = []
+    for some in (rows, rows[::-1]):
+        kept = corpus_pipeline.drop_copies(spark, docs(some).repartition(3), "").collect()
+        got.append(sorted((r.doc_id, r.text or "") for r in kept))
+    assert got[0] == got[1] == sorted([(1, texts[0]), (1, texts[1]), (1, ""), (2, texts[2]), (3, texts[3])])
