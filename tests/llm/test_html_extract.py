@@ -104,3 +104,17 @@ def test_deep_and_odd_pages_do_not_crash():
     assert H.main_text("<p>" * 5000 + "</a></b>" * 5000) == ""
     H.main_text('<a title="' * 3000)
     H.main_text("<" * 50_000)
+
+
+@pytest.mark.parametrize(
+    "opening",
+    [
+        "article class='post category-social'", "article class='tag-advertising'", "main class='content-with-sidebar'", "div class='post-no-comments'",
+        "section id='market-share'", "div class='social-wrap'",
+    ],
+)
+def test_names_do_not_make_furniture_of_the_article(opening):
+    page = f"<body>{NAV}<{opening}><p>{LONG}</p><p>Short.</p></{opening.split()[0]}><div class='site-footer'>f</div><div class='ad-box'>Buy</div></body>"
+    assert H.main_text(page) == f"{LONG.strip()}\nShort."
+    wrapped = f"<body><div class='widget page'><article><p>{LONG}</p></article></div><div class='comments'><p>{LONG}</p><p>{LONG}</p></div></body>"
+    assert H.main_text(wrapped) == LONG.strip()

@@ -56,6 +56,9 @@ WORDS = frozenset(
     "share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 NEGATING = frozenset("no has with without hide".split())
+#: First words of a name that only place what its last word says ("site-footer").
+PLACES = frozenset("site main page top bottom left right primary secondary global mobile desktop sticky floating post entry article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -69,24 +72,34 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def is_furniture(tag: str, attributes: str, in_root: bool) -> bool:
-    """Whether an element is page furniture; a header inside an article or main element is not."""
+    """Whether an element is page furniture by itself; a header inside an article or main element is not."""
     if tag in FURNITURE:
         return True
     if tag == "header" and not in_root:
         return True
     if not attributes or attributes.isspace():
         return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+    found = attributes_of(attributes)
     if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
         return True
-    if tag in ("html", "body"):
+    return tag not in ("html", "body") and found.get("role", "").lower() in ROLES
+
+
+def attributes_of(attributes: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+
+
+def named_furniture(tag: str, attributes: str, in_root: bool) -> bool:
+    """Whether a class or id names furniture: its first word does, or its last word behind a word of place."""
+    if tag in ("html", "body", "article", "main") or not attributes or attributes.isspace():
         return False
-    if found.get("role", "").lower() in ROLES:
-        return True
+    found = attributes_of(attributes)
     for name in f"{found.get('class', '')} {found.get('id', '')}".split():
         words = [w.lower() for w in _WORD.findall(name)]
-        if words and words[0] not in NEGATING and any(w in WORDS and not (in_root and w == "header") for w in words):
-            return True
+        if words and NEGATING.isdisjoint(words):
+            head = words[-1] if words[0] in PLACES else words[0]
+            if head in WORDS and not (in_root and head == "header"):
+                return True
     return False
 
 
@@ -95,18 +108,39 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.furniture, self.in_root = ["#"], [-1], [False], [False]
+        #: nodes that are furniture by element or role, or below one; nodes with a name of furniture
+        self.certain, self.named = [False], [False]
         #: (node, text), or (node, None) where a node begins or ends
         self.pieces: list[tuple[int, str | None]] = []
         self._parse(source)
+        self._mark()
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         root = self.in_root[parent]
         self.tags.append(tag)
         self.parents.append(parent)
-        self.furniture.append(self.furniture[parent] or is_furniture(tag, attributes, root))
+        self.certain.append(self.certain[parent] or is_furniture(tag, attributes, root))
+        self.named.append(named_furniture(tag, attributes, root))
         self.in_root.append(root or tag in ROOTS)
         return len(self.tags) - 1
 
+    def _mark(self) -> None:
+        """Furniture of all nodes. A name does not make furniture of what holds an article or main element or, on pages without one, most text."""
+        n = len(self.tags)
+        chars, holds = [0] * n, [False] * n
+        for node, text in self.pieces:
+            if text is not None and not self.certain[node]:
+                chars[node] += sum(map(len, text.split()))
+        for node in range(n - 1, 0, -1):
+            up = self.parents[node]
+            chars[up] += chars[node]
+            holds[up] |= holds[node] or (self.tags[node] in ROOTS and chars[node] > 0)
+        limit = chars[0] / 2
+        self.furniture = [False] * n
+        for node in range(1, n):
+            named = self.named[node] and not holds[node] and (holds[0] or chars[node] <= limit)
+            self.furniture[node] = self.furniture[self.parents[node]] or self.certain[node] or named
+
     def _parse(self, source: str) -> None:
         stack, at, pieces, tags = [0], 0, self.pieces, self.tags
 
