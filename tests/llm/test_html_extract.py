@@ -118,3 +118,10 @@ def test_names_do_not_make_furniture_of_the_article(opening):
     assert H.main_text(page) == f"{LONG.strip()}\nShort."
     wrapped = f"<body><div class='widget page'><article><p>{LONG}</p></article></div><div class='comments'><p>{LONG}</p><p>{LONG}</p></div></body>"
     assert H.main_text(wrapped) == LONG.strip()
+
+
+def test_what_stands_beside_an_article_in_main_is_judged():
+    page = f"<body>{NAV}<main><h1>Title</h1><p>{LONG}</p><article>{f'<p>{LONG}</p>' * 8}</article><article><p>{LONG}</p></article><ul><li><a href='x'>more</a></li></ul></main><div>out</div></body>"
+    assert H.main_text(page) == "\n".join(["Title", *[LONG.strip()] * 10])
+    nested = f"<body><article><h1>Title</h1><p>lead</p><article><p>{LONG}</p><p>{LONG}</p></article></article></body>"
+    assert H.main_text(nested) == "\n".join(["Title", "lead", *[LONG.strip()] * 2])

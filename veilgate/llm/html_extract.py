@@ -3,8 +3,8 @@
 For every node of the document tree the characters and tags below it, and those within links, give its
 composite density: characters per tag, raised where few of them are link text. The sum of its children's
 densities is highest for the node that holds the article. From there the path to the body sets the threshold:
-text beside the path stays only if it is at least as dense as the thinnest node on the path. Inside an article
-or main element everything that is no furniture (menus, forms, notices, adverts, comments and the like, told
+text beside the path stays only if it is at least as dense as the thinnest node on the path. Inside the
+outermost article of the path (or main, if there is none) everything that is no furniture (menus, forms, notices, adverts, comments and the like, told
 by element, role and class words) stays, however short.
 """
 
@@ -232,7 +232,9 @@ def kept_nodes(page: Page) -> list[bool]:
     path = [best]
     while page.parents[path[-1]] >= 0:
         path.append(page.parents[path[-1]])
-    root = next((k for tag in ("article", "main") for k in path if page.tags[k] == tag), None)
+    # the outermost article of the path, or else its outermost main
+    root = next((k for tag in ("article", "main") for k in reversed(path) if page.tags[k] == tag), None)
+    outer = next((k for k in reversed(path) if page.tags[k] in ROOTS), None)
     if root is None:
         root = next((k for k in path if page.tags[k] in CONTAINER), path[-1])
         above = set(path[path.index(root) + 1 :])
@@ -244,6 +246,16 @@ def kept_nodes(page: Page) -> list[bool]:
                 keep[node] = density[node] >= threshold and link_share[node] < 0.5
             else:
                 keep[node] = keep[up]
+    elif outer != root:  # an article within main: what main has beside the path is judged as well
+        above = set(path[path.index(root) + 1 : path.index(outer) + 1])
+        threshold = min(density[k] for k in path[path.index(root) + 1 :])
+        keep[outer] = True
+        for node in range(outer + 1, n):
+            up = page.parents[node]
+            if up in above and node not in above:
+                keep[node] = page.tags[node] in HEADINGS or (density[node] >= threshold and link_share[node] < 0.5)
+            else:
+                keep[node] = keep[up]
     keep[root] = True
     inside = [False] * n
     inside[root] = True
