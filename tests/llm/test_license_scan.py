@@ -77,3 +77,25 @@ def test_rows(spark, docs):
     assert L.scan_licenses(docs([])).collect() == []
     own = L.scan_licenses(docs([(1, "you may use it as you like")]), notices=[("own", "You may use it as you like"), ("none", "...")])
     assert [x.license for x in own.first().licenses] == ["own"]
+
+
+def test_variants_are_told_apart():
+    rng = random.Random(5)
+    core = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} Public License for more details."
+    bsd = [t for n, t in L.NOTICES if n == "BSD-3-Clause"][-1]
+    cases = {
+        core.format("General", 3): ["GPL-3.0"],
+        core.format("General", 2): ["GPL-2.0"],
+        core.format("Lesser General", 3): ["LGPL-3.0"],
+        core.format("Lesser General", "2.1"): ["LGPL-2.1"],
+        core.format("Affero General", 3): ["AGPL-3.0"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0"],
+        "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0"],
+        "Licensed under CC BY 3.0.": ["CC-BY-3.0"],
+        "Licensed under CC BY 7.0.": [],
+        bsd: ["BSD-3-Clause"],
+    }
+    for text, want in cases.items():
+        page = f"{noise(rng, 40)} {text} {noise(rng, 40)}"
+        assert [g[0] for g in L.find_notices(page, TEMPLATES, KEYS)] == want, text

@@ -23,6 +23,61 @@ from veilgate.llm.common import scan
 #: Least share of a notice that has to be found.
 LEAST_COVERAGE = 0.8
 
+#: Words that tell one license of a family from another, besides numbers: in the place of each other, or inserted, they mean another one.
+MARKS = frozenset("lesser library affero nd nc sa noncommercial noderivatives noderivs sharealike".split())
+#: Words of a notice so short that none of its marks may be missing.
+SHORT = 20
+
+
+def _variants() -> tuple[tuple[str, str], ...]:
+    """Notices that come in families: GNU, Creative Commons, BSD."""
+    out = []
+    for name, title, version in (
+        ("GPL-2.0", "General", "2"),
+        ("LGPL-2.0", "Library General", "2"),
+        ("LGPL-2.1", "Lesser General", "2.1"),
+        ("LGPL-3.0", "Lesser General", "3"),
+        ("AGPL-3.0", "Affero General", "3"),
+    ):
+        if name != "GPL-2.0":
+            out.append((name, f"This work is licensed under the GNU {title} Public License, version {version}."))
+        out.append(
+            (
+                name,
+                f"free software; you can redistribute it and/or modify it under the terms of the GNU {title} Public License as "
+                f"published by the Free Software Foundation; either version {version} of the License, or (at your option) any later "
+                "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+                f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {title} Public License for more details.",
+            )
+        )
+    kinds = {"": "", "-SA": "-ShareAlike", "-NC": "-NonCommercial", "-ND": "-NoDerivatives", "-NC-SA": "-NonCommercial-ShareAlike", "-NC-ND": "-NonCommercial-NoDerivatives"}
+    for version, scope in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")):
+        for short, long in kinds.items():
+            if version == "4.0" and short in ("", "-SA", "-NC"):
+                continue  # among the notices
+            if version != "4.0":
+                long = long.replace("NoDerivatives", "NoDerivs")
+            out.append((f"CC-BY{short}-{version}", f"Licensed under CC BY{short} {version}."))
+            out.append((f"CC-BY{short}-{version}", f"This work is licensed under a Creative Commons Attribution{long} {version} {scope} License."))
+    conditions = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    )
+    neither = (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."
+    )
+    shown = (
+        "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+        "This product includes software developed by the organization. "
+    )
+    out.append(("BSD-3-Clause", f"{conditions}3. {neither}"))
+    out.append(("BSD-4-Clause", f"{conditions}{shown}4. {neither}"))
+    return tuple(out)
+
+
 # The public notices of common licenses.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -85,7 +140,7 @@ NOTICES = (
         "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
         "commercial or non-commercial, and by any means.",
     ),
-)
+) + _variants()
 #: Words too common to begin a search with.
 COMMON = frozenset(
     "a above all an and any are as at be but by can for form free from if in is it its more no not of on one or other that the this "
@@ -173,10 +228,29 @@ def patience(text: Sequence[str], notice: Sequence[str]) -> list[tuple[int, int]
     return sorted(out)
 
 
+def _marks(words: Sequence[str]) -> set[str]:
+    return {w for w in words if w in MARKS or w.isdecimal()}
+
+
+def same_license(text: Sequence[str], notice: Sequence[str], matched: list[tuple[int, int]]) -> bool:
+    """Whether no mark of the notice is replaced by another one or joined by one, nor missing if it is short.
+
+    In a long notice a number may be lost, and a word of MARKS in some of its places.
+    """
+    short = len(notice) <= SHORT
+    if MARKS.intersection(notice) - {notice[d] for _, d in matched}:
+        return False
+    for (a, c), (b, d) in zip([(matched[0][0] - 1, -1), *matched], [*matched, (matched[-1][0] + 1, len(notice))], strict=True):
+        there, wanted = _marks(text[a + 1 : b]), _marks(notice[c + 1 : d])
+        if wanted and (short or there - wanted) or there & MARKS - wanted or short and there:
+            return False
+    return True
+
+
 def find_notices(text: str | None, templates: Sequence[Template], keys: frozenset[str]) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, last word) of every notice in a whole text, in text order, without overlaps.
 
-    Of overlapping finds that with more matched words stays, then the higher coverage, then the earlier notice.
+    Of overlapping finds that with most matched words less those it lacks stays, then the higher coverage, then the earlier notice.
     """
     words = words_of(text)
     if keys.isdisjoint(words):
@@ -205,9 +279,15 @@ def find_notices(text: str | None, templates: Sequence[Template], keys: frozense
                 continue
             tried = start
             matched = patience(words[low:high], template.words)
-            if len(matched) >= template.least:
+            if template.least <= len(matched) < size:  # the window may end within the notice
+                first = low + matched[0][0]
+                wide = max(free, first - slack), min(len(words), first + size + 2 * slack)
+                again = patience(words[slice(*wide)], template.words)
+                if len(again) > len(matched):
+                    (low, high), matched = wide, again
+            if len(matched) >= template.least and same_license(words[low:high], template.words, matched):
                 first, last = low + matched[0][0], low + matched[-1][0]
-                found.append((len(matched), len(matched) / size, -number, template.name, first, last))
+                found.append((2 * len(matched) - size, len(matched) / size, -number, template.name, first, last))
                 free, tried = last + 1, -1 << 60
     kept: list[tuple[str, float, int, int]] = []
     for _, coverage, _, name, first, last in sorted(found, key=lambda x: (-x[0], -x[1], -x[2], x[4])):
