@@ -17,6 +17,7 @@ from veilgate.llm import (
     quality,
     sharding,
     warc,
+    whitening,
 )
 from veilgate.llm.common import table
 from veilgate.session import scratch_path
@@ -114,6 +115,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -127,6 +132,7 @@ QUERIES = {
         op8_decontaminate,
         op9_chat_format,
         op10_byte_bpe,
+        op11_whitening,
     )
 }
 
