@@ -16,11 +16,12 @@ from veilgate.llm import (
     lz_fingerprint,
     quality,
     sharding,
+    token_alignment,
     warc,
     whitening,
 )
 from veilgate.llm.common import table
-from veilgate.session import scratch_path
+from veilgate.session import scratch_path, settle
 
 #: The conversation added to the table by the contract of op9.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -119,6 +120,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    found = token_alignment.alignments(table(spark, sf_dir, "documents"), *files).withColumn("groups_sha256", digest)
+    aligned = settle(found.drop("groups"), "aligned")
+    counts = settle(token_alignment.pair_counts(aligned), "pairs")
+    return token_alignment.score_links(aligned, counts).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -133,6 +143,7 @@ QUERIES = {
         op9_chat_format,
         op10_byte_bpe,
         op11_whitening,
+        op13_token_alignment,
     )
 }
 
