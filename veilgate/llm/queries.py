@@ -14,6 +14,7 @@ from veilgate.llm import (
     html_extract,
     license_scan,
     lz_fingerprint,
+    odd_sketch,
     quality,
     sharding,
     token_alignment,
@@ -120,6 +121,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
@@ -143,6 +148,7 @@ QUERIES = {
         op9_chat_format,
         op10_byte_bpe,
         op11_whitening,
+        op12_minhash_odd_sketch,
         op13_token_alignment,
     )
 }
