@@ -37,6 +37,29 @@ def test_ids_and_bytes_equal_the_library(spark, docs):
         assert sorted((-1 if r[0] is None else r[0], r.ids, bytes(r.decoded)) for r in found) == want
 
 
+def test_runs_of_white_space_follow_the_pattern():
+    encoding = plain()
+    runs = [" " * 9, "\n" * 9, "\t" * 8, " \n" * 5, "\n " * 5, "\u3000\xa0" * 5, "\x1c" * 12, "\x85 " * 6, " "]
+    for run in runs:
+        for text in (run, "a" + run, run + "b", f"a{run}b", f"1{run}!{run}'s{run}\x1c{run}漢", f"x {run}\n"):
+            assert byte_bpe.encode(encoding, text, run=4) == encoding.encode_ordinary(text), (run, text)
+            assert "".join(p for p, _ in byte_bpe.blank_runs(text, 4)) == text
+
+
+def test_very_long_runs():
+    encoding = plain()
+    for run in (" ", "\t", "\n", " \n"):
+        for n in (1_000_000, 10_000_000):
+            long = run * (n // len(run))
+            found = byte_bpe.encode(encoding, "a" + long + "b")
+            assert encoding.decode_bytes(found) == f"a{long}b".encode()
+            # what a shorter run gives, with more of the same ids between
+            short = byte_bpe.encode(encoding, "a" + run * (5000 // len(run)) + "b")
+            assert found[:3] == short[:3] and found[-2:] == short[-2:] and set(found) == set(short)
+    text = "! " * 2_000_000  # blanks everywhere, none behind a letter or digit
+    assert encoding.decode_bytes(byte_bpe.encode(encoding, text)) == text.encode()
+
+
 def test_pieces_join_to_the_text():
     for text in TEXTS:
         if text:

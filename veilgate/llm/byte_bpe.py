@@ -3,13 +3,14 @@
 The rank file is read once by the driver, checked for size and broadcast; every Python worker builds
 one tokenizer from it. Long texts are cut where no match of the pre-split pattern can cross, so the
 regular expression and the merge step work on bounded pieces and the ids equal those of the whole
-text. Decoding joins raw bytes; a token may hold part of a character, so text is never decoded piece
+text; long runs of white space are matched by the pattern's own rule and only merged by the library. Decoding joins raw bytes; a token may hold part of a character, so text is never decoded piece
 by piece.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +24,12 @@ from veilgate.llm.common import scan
 MAX_RANK_BYTES = 64 << 20
 #: Code points after which a text is cut at the next safe boundary.
 PIECE_CHARS = 1 << 16
+#: Code points of white space from which a run is matched here and not by the library, whose stack would not hold it.
+BLANK_RUN = 1 << 12
+
+#: A blank or line feed behind a letter or digit, and white space as the pre-split pattern has it.
+_CUT = re.compile(r"(?<=[^\W_])[ \n]")
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _ENCODINGS: dict[tuple[int, str], tiktoken.Encoding] = {}
 
@@ -41,26 +48,43 @@ def safe_pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
     """
     start, n = 0, len(text)
     while n - start > limit:
-        at = start + limit
-        while True:
-            found = [x for x in (text.find(" ", at), text.find("\n", at)) if x >= 0]
-            if not found:
-                at = n
-                break
-            at = min(found)
-            if text[at - 1].isalnum():
-                break
-            at += 1
-        yield text[start:at]
-        start = at
+        found = _CUT.search(text, start + limit)
+        if not found:
+            break
+        yield text[start : found.start()]
+        start = found.start()
     if start < n or n == 0:
         yield text[start:]
 
 
-def encode(encoding: tiktoken.Encoding, text: str, limit: int = PIECE_CHARS) -> list[int]:
-    if len(text) <= limit:
-        return encoding.encode_ordinary(text)
-    return [i for piece in safe_pieces(text, limit) for i in encoding.encode_ordinary(piece)]
+def blank_runs(text: str, least: int = BLANK_RUN) -> Iterator[tuple[str, bool]]:
+    """The text in parts, and whether a part is one match of white space.
+
+    By the pattern a run of white space before other text is one match but for its last character, which the next match
+    begins with if it is a blank, and which is a match of its own otherwise; a run at the end is one match. So
+    long runs are cut out and the last character stays with what follows.
+    """
+    start = 0
+    for run in re.compile(f"[{_BLANK}]{{{least},}}").finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > start:
+            yield text[start : run.start()], False
+        yield text[run.start() : end], True
+        start = end
+    if start < len(text):
+        yield text[start:], False
+
+
+def encode(encoding: tiktoken.Encoding, text: str, limit: int = PIECE_CHARS, run: int = BLANK_RUN) -> list[int]:
+    """The ids of a text as the library gives them, for texts of any length and with runs of white space of any length."""
+    ids: list[int] = []
+    for part, blank in blank_runs(text, run):
+        if blank:
+            ids += encoding._encode_single_piece(part)  # the merge step alone
+        else:
+            for piece in safe_pieces(part, limit):
+                ids += encoding.encode_ordinary(piece)
+    return ids
 
 
 def encode_decode(
