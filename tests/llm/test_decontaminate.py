@@ -45,7 +45,7 @@ def test_equals_full_alignment(spark, docs):
             text = text.replace(" ", " \n ")
         rows.append((i, text))
     rows += [(60, None), (61, ""), (62, items[0][1][: len(items[0][1]) // 2]), (None, items[3][1]), (1, rows[1][1])]
-    bench = spark.createDataFrame([*items, items[0], (None, items[1][1]), (50, None), (51, ""), (52, "short")], "item_id long, text string")
+    bench = spark.createDataFrame([*items, items[0], (None, items[1][1]), (50, None), (51, ""), (52, "shortest")], "item_id long, text string")
     clash = docs(rows).withColumnRenamed("lang", "leaks")
     got = sorted(
         (-1 if r.doc_id is None else r.doc_id, [(x.item_id, x.edits) for x in r.leaks])
@@ -81,3 +81,30 @@ def test_empty_tables(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r.leaks for r in D.find_leaks(docs([(1, "a text")]), bench).collect()] == [[]]
     assert D.find_leaks(docs([]), bench).collect() == []
+
+
+def test_short_items_are_found_word_for_word(spark, docs):
+    items = [(1, "Forty two is it"), (2, "两个黄鹂鸣翠柳一"), (3, "yes"), (4, "yes"), (5, " \n"), (6, "an long enough item of many words to align " * 2), (3, "no way")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, "he said forty  TWO\nis it, and left"),
+        (2, "forty two is item"),
+        (3, "因此两个黄鹂鸣翠柳一行"),
+        (4, "eyes yesterday"),
+        (5, "Yes."),
+        (6, None),
+        (7, "no way " + items[5][1]),
+        (8, "x" * 200_000 + " yes"),
+        (9, "forty two is"),
+    ]
+    found = {r.doc_id: [(x.item_id, x.edits) for x in r.leaks] for r in D.find_leaks(docs(rows), bench).collect()}
+    assert found == {1: [(1, 0)], 2: [], 3: [(2, 0)], 4: [], 5: [(3, 0), (4, 0)], 6: [], 7: [(3, 0), (6, 0)], 8: [(3, 0), (4, 0)], 9: []}
+    at = D.find_leaks(docs([(1, "é  yes")]), bench).first().leaks[0].at
+    assert at == len("é ".encode())
+
+
+def test_clashing_names(spark, docs):
+    bench = spark.createDataFrame([(1, "forty two is it")], "item_id long, text string")
+    frame = docs([(1, "forty two is it")]).withColumnsRenamed({"lang": "found", "source": "text_of"})
+    row = D.find_leaks(frame, bench).first()
+    assert (row.found, row.text_of, len(row.leaks)) == ("en", "s", 1)

@@ -8,27 +8,31 @@ at most e edits is a leak.
 
 Texts and items are compared as UTF-8 bytes after lower-casing and after turning runs of white space into
 one blank. A q-gram of eight bytes is one 64-bit number, so a batch of texts is filtered by vector
-operations. The documents are not shuffled.
+operations. Items too short for that are looked for word for word by an automaton in the same scan. The
+documents are not shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgate.llm.common import scan
+from veilgate.llm.common import scan, unused
 
 #: Bytes of a q-gram.
 Q = 8
 #: Edits allowed per byte of an item.
 EDIT_RATE = 0.1
-#: Items shorter than this after normalising are too common to mean anything and are not looked for.
+#: Items shorter than this after normalising leave too few q-grams for edits and are looked for word for word.
 LEAST_BYTES = 24
+#: Code points of scripts without blanks between words (Thai, Lao, Burmese, Khmer, Chinese, Japanese): a word may begin anywhere.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0xFF65, 0xFF9F), (0x20000, 0x3FFFF))
 #: Bytes of benchmark text indexed and broadcast at once; a larger benchmark takes several blocks.
 BLOCK_BYTES = 2 << 20
 #: Hits expanded at a time.
@@ -58,8 +62,13 @@ class Index:
     """Q-grams of a block of benchmark items, sorted for lookup."""
 
     def __init__(self, items: Sequence[tuple[int | None, str | None]], rate: float = EDIT_RATE):
-        known = [(i, normalise(t)) for i, t in items]
-        known = sorted({(i, t) for i, t in known if len(t) >= LEAST_BYTES and i is not None})
+        known = sorted({(i, normalise(t)) for i, t in items if i is not None})
+        self.short = ahocorasick.Automaton()
+        for i, t in known:
+            if 0 < len(t) < LEAST_BYTES:
+                self.short.add_word(t.decode(), (*self.short.get(t.decode(), ()), (i, len(t.decode()))))
+        self.short.make_automaton()
+        known = [(i, t) for i, t in known if len(t) >= LEAST_BYTES]
         self.ids = [i for i, _ in known]
         self.texts = [t for _, t in known]
         self.lengths = np.array([len(t) for t in self.texts], np.int64)
@@ -109,9 +118,29 @@ def align(item: bytes, text: bytes, low: int, high: int, budget: int) -> int | N
     return least if least <= budget else None
 
 
+def short_leaks(text: str, index: Index) -> list[tuple[int, int, int]]:
+    """(item id, 0, byte of the text) of the short items that begin and end at borders of words."""
+    if not len(index.short):
+        return []
+
+    def within(at: int) -> bool:
+        """Whether a word goes on from the character before ``at`` to that at it."""
+        sides = text[at - 1 : at + 1] if 0 < at < len(text) else ""
+        return len(sides) == 2 and all(c.isalnum() and not any(a <= ord(c) <= b for a, b in UNSPACED) for c in sides)
+
+    first: dict[int, int] = {}
+    for last, ids in index.short.iter(text):
+        for i, length in ids:
+            if i not in first:
+                at = last + 1 - length
+                if not within(at) and not within(last + 1):
+                    first[i] = at
+    return [(i, 0, len(text[:at].encode())) for i, at in sorted(first.items())]
+
+
 def leaks_of(texts: list[bytes], index: Index) -> list[list[tuple[int, int, int]]]:
     """Per text, (item id, edits, byte of the normalised text where the band begins) of each item found once."""
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    out = [short_leaks(t.decode(), index) for t in texts]
     if not len(index.grams):
         return out
     gap = b"\xff" * Q
@@ -204,7 +233,7 @@ def find_leaks(
         T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("at", T.LongType())])
     )
     arrow_leak = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("at", pa.int64())]))
-    text, found = "__leak_text", "__leaks"
+    text, found = unused(keep, "text_of"), unused([*keep, unused(keep, "text_of")], "found")
     frame = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(text))
     frame = frame.withColumn(found, F.array().cast(leak))
     context = docs.sparkSession.sparkContext

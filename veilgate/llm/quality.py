@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgate.llm.common import scan
+from veilgate.llm.common import scan, unused
 
 #: Most labelled rows a model is fitted on; which ones is decided by a hash of the id.
 SAMPLE_ROWS = 20_000
@@ -203,7 +203,7 @@ def score(
     ``into`` is replaced. One scan, no shuffle.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != into]
-    frame = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    frame = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(unused(keep, "text_of")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
