@@ -65,3 +65,5 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     folder = scratch_path(spark, "warc-empty")
     assert W.write_archive(empty, folder).collect() == []
+    back = W.read_archive(spark, folder, payload=True)
+    assert back.collect() == [] and back.columns[0] == "page_id"

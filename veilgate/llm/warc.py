@@ -199,7 +199,7 @@ def write_archive(pages: DataFrame, folder: str, **columns) -> DataFrame:
     """Write one record per row to files below ``folder``; (file, records, bytes) of every file.
 
     The columns and the revisit rule are those of ``mark_revisits``. The returned table has been computed: the
-    files are there. An empty table gives no file.
+    files are there. An empty table gives an empty folder.
     """
     marked = mark_revisits(pages, **columns).select("page_id", "url", "html", "row", "copy", "first_id", "first_row", "revisit")
 
@@ -230,7 +230,11 @@ def write_archive(pages: DataFrame, folder: str, **columns) -> DataFrame:
         if waiting:
             yield save(waiting)
 
-    return settle(scan(marked, each, "file string, records long, bytes long"), "archive-files")
+    written = settle(scan(marked, each, "file string, records long, bytes long"), "archive-files")
+    context = pages.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(path)
+    return written
 
 
 def read_archive(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
