@@ -143,17 +143,19 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, at, pieces, tags = [0], 0, self.pieces, self.tags
+        depths: dict[str, list[int]] = {}  # where on the stack the open elements of each tag are
+
+        def deepest(names) -> int:
+            return max((depths[t][-1] for t in names if depths.get(t)), default=0)
 
         def close(wanted, scope) -> None:
-            for depth in range(len(stack) - 1, 0, -1):
-                tag = tags[stack[depth]]
-                if tag in wanted:
-                    for node in reversed(stack[depth:]):
-                        pieces.append((node, None))
-                    del stack[depth:]
-                    return
-                if tag in scope:
-                    return
+            depth = deepest(wanted)
+            if not depth or (depth < len(stack) - 1 and deepest(scope) > depth):
+                return
+            for node in reversed(stack[depth:]):
+                pieces.append((node, None))
+                depths[tags[node]].pop()
+            del stack[depth:]
 
         for found in _TAG.finditer(source):
             start = found.start()
@@ -169,7 +171,7 @@ class Page:
             if ending:
                 close({tag}, ("article", "main", "table") if tag not in ("article", "main", "table", "body", "html") else ())
                 continue
-            if tag in ("html", "body") and tag in (tags[n] for n in stack):
+            if tag in ("html", "body") and depths.get(tag):
                 continue
             if tag in CLOSES_P:
                 close({"p"}, SCOPE)
@@ -181,6 +183,7 @@ class Page:
                 end = re.compile(f"</{tag}[^>]*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
             elif tag not in VOID:
+                depths.setdefault(tag, []).append(len(stack))
                 stack.append(node)
         if at < len(source):
             pieces.append((stack[-1], source[at:]))
