@@ -65,3 +65,22 @@ def test_texts_under_one_id_stay_unless_they_are_copies(spark, docs):
         kept = corpus_pipeline.drop_copies(spark, docs(some).repartition(3), "").collect()
         got.append(sorted((r.doc_id, r.text or "") for r in kept))
     assert got[0] == got[1] == sorted([(1, texts[0]), (1, texts[1]), (1, ""), (2, texts[2]), (3, texts[3])])
+
+
+def test_columns_of_any_name_and_type_come_through(spark, docs, tmp_path):
+    rng = random.Random(13)
+    rows = [(i, make(rng, True)) for i in range(4)]
+    rows += [(4, rows[0][1]), (5, None)]
+    extra = docs(rows).selectExpr(
+        "*", "'x' AS __key", "doc_id + 1 AS key", "text AS digest", "1 AS score", "2 AS leaks", "map('a', doc_id) AS more",
+        "struct(doc_id AS number) AS document", "array(doc_id) AS least", "'t' AS text_of", "'f' AS found", "3 AS __score", "4 AS __leaks",
+    )
+    spark.createDataFrame([(1, "an item of the benchmark that is nowhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    want = {r.doc_id: r for r in extra.collect()}
+    for stage, kept in ((corpus_pipeline.keep_good, None), (corpus_pipeline.drop_copies, {0, 1, 2, 3, 5}), (corpus_pipeline.drop_leaks, {0, 1, 2, 3, 4, 5})):
+        got = stage(spark, extra, str(tmp_path))
+        assert got.schema.names == extra.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in extra.schema]
+        rows = got.collect()
+        assert all(r == want[r.doc_id] for r in rows) and (kept is None or {r.doc_id for r in rows} == kept)
