@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgate.llm import byte_bpe, decontaminate, golay_dedup, quality, similar_texts
-from veilgate.llm.common import table
+from veilgate.llm.common import table, unused
 from veilgate.llm.components import connected_components
 from veilgate.session import settle
 
@@ -23,8 +23,8 @@ ORACLE_SQL = None
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier scores at 0.5 or more; the model is fitted on the labelled ones among them."""
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, forest, into="__score")
-    return scored.where("__score >= 0.5").select(docs.columns)
+    into = unused(docs.columns, "score")
+    return quality.score(docs, forest, into=into).where(F.col(into) >= 0.5).drop(into)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,31 +34,38 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shingles, similarity 0.8 or more) that bands of minimum hashes bring together. Documents without an id
     get a key from a hash of their text that sorts after all real ids, so they stay unless they are copies. Of rows that
     repeat an id with different texts that with the least hash has the id as its key and the others have keys of their
-    own behind the real ids, so only copies are dropped; of rows equal in id and text the least one stays.
+    own behind the real ids, so only copies are dropped; of rows equal in id and text that with the least hash of all
+    its columns stays. The columns of documents travel as one struct, so their names and types do not matter.
     """
-    digest = F.xxhash64(F.coalesce("text", F.lit("")))
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("__least"), F.max(digest).alias("__most"))
-    repeated = settle(repeated.where("__least <> __most").select("doc_id", "__least"), "repeated-ids")
-    spare = F.lit(1 << 62) + digest.bitwiseAND((1 << 61) - 1)
-    other = F.lit(1 << 61) + F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).bitwiseAND((1 << 61) - 1)
-    none = F.lit(None).cast("long").alias("__least")
-    keyed = docs.select("*", none) if repeated.isEmpty() else docs.join(repeated, "doc_id", "left")
-    keyed = keyed.withColumn("__key", F.when(F.col("__least") != digest, other).otherwise(F.coalesce("doc_id", spare))).drop("__least")
-    same, near = similar_texts.similar_links(keyed, id_col="__key")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"))
+    text, number = F.coalesce(F.col("document.text").cast("string"), F.lit("")), F.col("document.doc_id").cast("long")
+    digest = F.xxhash64(text)
+    named = whole.select(number.alias("number"), digest.alias("digest")).where("number IS NOT NULL")
+    repeated = named.groupBy("number").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+    repeated = settle(repeated.where("least <> most").select("number", "least"), "repeated-ids")
+    spare = F.lit(1 << 62) + F.col("digest").bitwiseAND((1 << 61) - 1)
+    other = F.lit(1 << 61) + F.xxhash64("number", text).bitwiseAND((1 << 61) - 1)
+    rows = whole.select("document", number.alias("number"), digest.alias("digest"))
+    rows = rows.withColumn("least", F.lit(None).cast("long")) if repeated.isEmpty() else rows.join(repeated, "number", "left")
+    key = F.when(F.col("least") != F.col("digest"), other).otherwise(F.coalesce("number", spare))
+    keyed = rows.select(key.alias("key"), text.alias("text"), "document")
+    same, near = similar_texts.similar_links(keyed, id_col="key")
     edges = (
-        golay_dedup.document_links(keyed, id_col="__key")
+        golay_dedup.document_links(keyed, id_col="key")
         .unionByName(near)
         .unionByName(same.selectExpr("id AS u", "rep AS v"))
     )
-    gone = connected_components(edges).where("node <> root").select(F.col("node").alias("__key"))
-    left = keyed.join(gone, "__key", "left_anti").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return left.select("row.*")
+    gone = connected_components(edges).where("node <> root").select(F.col("node").alias("key"))
+    parts = [F.to_json(f"document.`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"document.`{f.name}`") for f in docs.schema]
+    left = keyed.join(gone, "key", "left_anti").select("key", "document", F.xxhash64(*parts).alias("rank"))
+    return left.groupBy("key").agg(F.min_by("document", "rank").alias("document")).select("document.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), into="__leaks")
-    return found.where("size(__leaks) = 0").select(docs.columns)
+    into = unused(docs.columns, "leaks")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), into=into)
+    return found.where(F.size(into) == 0).drop(into)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
