@@ -100,10 +100,19 @@ def test_empty_table(spark, docs):
 
 def test_cuts_change_no_token():
     pair = A.Pair(*(open(f, "rb").read() for f in FILES))
-    assert pair.cuts
+    assert pair.cuts and pair.ranked
     texts = [t for t in TEXTS if t] + ["one two three 4 five  six\nseven eight's nine-ten " * 40]
+    whole = [[x.tolist() for x in ids] for ids in pair.encode(texts, 1 << 30)]
     for limit in (1, 7, 50):
-        assert pair.encode(texts, limit) == pair.encode(texts, 1 << 30)
+        assert [[x.tolist() for x in ids] for ids in pair.encode(texts, limit)] == whole
+
+
+def test_ranks_give_the_ids_of_the_vocabulary(spark):
+    pair = A.Pair(*(open(f, "rb").read() for f in FILES))
+    texts = [t for t in TEXTS if t] + [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    ranked = [pair.a_ids(" " + t).tolist() for t in texts]
+    pair.ranked = None
+    assert [pair.a_ids(" " + t).tolist() for t in texts] == ranked
 
 
 def test_very_long_texts():

@@ -18,12 +18,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from veilgate.llm import byte_bpe
 from veilgate.llm.common import batch, packed, scan
 from veilgate.session import settle
 
@@ -37,6 +39,9 @@ SLICE_CHARS = 1 << 18
 #: Pairs of a task counted at once.
 COUNTED = 1 << 21
 
+#: The pattern by which byte-level vocabularies of this kind split texts (a fixed value).
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _SPACE = "▁"
 _CUT = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 _WORKERS: dict[int, Pair] = {}
@@ -66,18 +71,38 @@ class Pair:
         self.b_bytes = [
             bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace(_SPACE, " ").encode() for i, name in enumerate(names)
         ]
-        # texts may be cut between words if no token of either side reaches from a word into the blank behind it
-        described = json.loads(byte_level)
-        plain = described["normalizer"] is None and (described["pre_tokenizer"] or {}).get("type") == "ByteLevel"
-        self.cuts = plain and described["pre_tokenizer"].get("use_regex", False) and not any(_SPACE in n.lstrip(_SPACE) for n in names)
+        # texts may be cut between words for B if no token reaches from a word into the blank behind it
+        self.cuts = not any(_SPACE in n.lstrip(_SPACE) for n in names)
+        self.ranked = self._ranked(json.loads(byte_level), words)
         self.sizes = tuple(np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.flat = tuple(np.frombuffer(b"".join(side), np.uint8) for side in (self.a_bytes, self.b_bytes))
         self.written = tuple(
-            [b"%s%d" % (mark, i) for mark in marks for i in range(len(side))]
+            np.array([b"%s%d" % (mark, i) for mark in marks for i in range(len(side))], object)
             for marks, side in (((b",", b";"), self.a_bytes), ((b",", b"|"), self.b_bytes))
         )
 
+    def _ranked(self, described: dict, words: dict[str, int]) -> tiktoken.Encoding | None:
+        """The byte-level vocabulary as ranks, which are faster, if its ids are in the order of its merges and its texts are
+        split by the usual pattern; else None."""
+        merges = [m if isinstance(m, str) else " ".join(m) for m in described["model"].get("merges", [])]
+        ids = [words.get(m.replace(" ", ""), -1) for m in merges]
+        known = {i for i in words.values() if len(self.a_bytes[i]) == 1}
+        split = described.get("pre_tokenizer") or {}
+        usual = described.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        if not usual or len(known) != 256 or ids != list(range(max(known) + 1, max(known) + 1 + len(ids))):
+            return None
+        ranks = {self.a_bytes[i]: i for i in [*known, *ids]}
+        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(ids) else None
+
+    def a_ids(self, text: str) -> np.ndarray:
+        if self.ranked is None:
+            return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+        if len(text) < byte_bpe.BLANK_RUN:
+            return self.ranked.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        return np.array(byte_bpe.encode(self.ranked, text), np.int64)
+
     def pieces(self, text: str, limit: int) -> Iterator[str]:
-        """The text cut before blanks between letters or digits, without those blanks."""
+        """The text cut before blanks between letters or digits, without those blanks (B puts one before each piece)."""
         start = 0
         while self.cuts and len(text) - start > limit:
             found = _CUT.search(text, start + limit)
@@ -87,20 +112,25 @@ class Pair:
             start = found.end()
         yield text[start:]
 
-    def encode(self, texts: Sequence[str], limit: int = PIECE_CHARS) -> list[tuple[list[int], list[int]]]:
+    def bytes_of(self, side: int, ids: np.ndarray) -> bytes:
+        """The bytes of some tokens, joined."""
+        size, ends = self.sizes[side], np.cumsum(self.sizes[side])
+        long = size[ids]
+        to = np.cumsum(long)
+        return self.flat[side][np.arange(to[-1] if len(to) else 0) + np.repeat(ends[ids] - to, long)].tobytes()
+
+    def encode(self, texts: Sequence[str], limit: int = PIECE_CHARS) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides for each text; none where the bytes of either differ from a blank and the text."""
+        none = np.empty(0, np.int64), np.empty(0, np.int64)
         cut = [list(self.pieces(t, limit)) for t in texts]
-        flat = [p for parts in cut for p in parts]
-        a_side = [e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)]
-        b_side = self.b.encode(flat, num_threads=1)
+        flat = self.b.encode([p for parts in cut for p in parts], num_threads=1)
         out, at = [], 0
         for text, parts in zip(texts, cut, strict=True):
-            a = [i for ids in a_side[at : at + len(parts)] for i in ids]
-            b = [i for ids in b_side[at : at + len(parts)] for i in ids]
+            sides = self.a_ids(" " + text), np.concatenate([np.array(ids, np.int64) for ids in flat[at : at + len(parts)]])
             at += len(parts)
             want = b" " + text.encode()
-            same = all(b"".join(map(side.__getitem__, ids)) == want for side, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-            out.append((a, b) if same and text else ([], []))
+            same = text and all(self.bytes_of(k, ids) == want for k, ids in enumerate(sides))
+            out.append(sides if same else none)
         return out
 
 
@@ -132,21 +162,21 @@ def coalesce(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return group[~of_b], group[of_b], np.column_stack((open_a, open_b))[~first]
 
 
-def _texts(group_a: np.ndarray, group_b: np.ndarray, a: np.ndarray, b: np.ndarray, written: tuple) -> list[bytes]:
+def _texts(group_a: np.ndarray, group_b: np.ndarray, a: np.ndarray, b: np.ndarray, written: tuple[np.ndarray, ...]) -> list[bytes]:
     """The tokens of all groups in writing order, A before B, each with the mark that stands before it."""
     first_a = np.diff(group_a, prepend=-1).astype(np.int64)
     first_b = np.diff(group_b, prepend=-1).astype(np.int64)
     out = np.empty(len(a) + len(b), object)
-    table_a, table_b = (np.array(side, object) for side in written)
+    table_a, table_b = written
     out[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = table_a[first_a * (len(table_a) // 2) + a]
     out[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = table_b[first_b * (len(table_b) // 2) + b]
     return out.tolist()
 
 
-def align(tokens: Sequence[tuple[list[int], list[int]]], pair: Pair) -> dict[str, tuple]:
+def align(tokens: Sequence[tuple[np.ndarray, np.ndarray]], pair: Pair) -> dict[str, tuple]:
     """Columns of the alignment of some texts: counts, the groups in writing, distinct pairs and how often each occurs."""
     n_a, n_b = (np.array([len(t[k]) for t in tokens], np.int64) for k in (0, 1))
-    a, b = (np.fromiter((i for t in tokens for i in t[k]), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
+    a, b = (np.concatenate([t[k] for t in tokens]) for k in (0, 1))
     group_a, group_b, links = coalesce(pair.sizes[0][a], pair.sizes[1][b])
     text_a = np.repeat(np.arange(len(tokens)), n_a)
     groups = np.bincount(text_a[np.diff(group_a, prepend=-1) > 0], minlength=len(tokens))
@@ -180,7 +210,7 @@ def alignments(
 
     ``byte_level`` and ``pieces`` are the files of the tokenizers. Null and empty texts and texts one side cannot give
     back byte for byte have no tokens. Texts are cut between words for tokenising, which changes no token; what has no
-    blank between ASCII letters or digits is tokenised in one go. Nothing is shuffled.
+    blank between ASCII letters or digits is tokenised in one go by B. Nothing is shuffled.
     """
     files = _file(byte_level), _file(pieces)
     shared = docs.sparkSession.sparkContext.broadcast(files)
