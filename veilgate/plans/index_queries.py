@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilgate.operators import dense, ivf
 from veilgate.plans import tables as T
+from veilgate.plans.search_oracles import cosine
 from veilgate.session import scratch_path, settle
 
 K = 10
@@ -54,17 +55,14 @@ def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {query.__name__: query for query in (ann_exact, ann_index_topk, ann_recall)}
 
 _EXACT = f"""
-  WITH vectors AS (
-    SELECT CAST(vec_id AS VARCHAR) AS chunk_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v
-    FROM embeddings WHERE embedding IS NOT NULL
-  ), pairs AS (
-    SELECT q.chunk_id AS query_id, c.chunk_id, round(list_cosine_similarity(q.v, c.v), 6) + 0.0 AS dense
-    FROM vectors q, vectors c WHERE CAST(q.chunk_id AS BIGINT) % 50 = 0
-  ), top AS (
-    SELECT *, rank() OVER (PARTITION BY query_id ORDER BY dense DESC) AS dense_rank,
-      row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, chunk_id) AS position
-    FROM pairs QUALIFY position <= {K}
-  )"""
+WITH vectors AS (SELECT vec_id, vec_id::VARCHAR AS chunk_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
+pairs AS (
+  SELECT q.chunk_id AS query_id, c.chunk_id, {cosine('c.embedding', 'q.embedding')} AS dense
+  FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0),
+top AS (
+  SELECT *, rank() OVER (PARTITION BY query_id ORDER BY dense DESC) AS dense_rank,
+    row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, chunk_id) AS position
+  FROM pairs QUALIFY position <= {K})"""
 
 ORACLES = {
     "ann_exact": f"{_EXACT} SELECT * FROM top",

@@ -323,3 +323,5 @@ SELECT sha256('MCP_TOOL_CALL' || chr(1) || 'get_document' || chr(1) || request_i
   CASE WHEN text IS NULL OR status = 'blocked' THEN 'WARNING' ELSE 'INFO' END AS severity FROM done""",
     "quality_gate": QUALITY,
 }
+
+ORACLES["bm25_scan"] = ORACLES["bm25_topk"]

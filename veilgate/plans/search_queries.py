@@ -9,7 +9,7 @@ from veilgate.functions.ids import stable_id
 from veilgate.functions.rules import RECOMMENDED_RULES
 from veilgate.functions.text import embedding_key
 from veilgate.functions.vectors import pseudo_components
-from veilgate.operators import corpus, dense, guards, search
+from veilgate.operators import corpus, dense, guards, postings, search
 from veilgate.plans import tables as T
 from veilgate.session import settle
 
@@ -126,6 +126,12 @@ def ann_topk(spark, sf):
 
 
 def bm25_topk(spark, sf):
+    """The best chunks by BM25, from the posting blocks of the query terms."""
+    return postings.search(spark, T.term_index(spark, sf), T.queries(spark, sf), "query", 10)
+
+
+def bm25_scan(spark, sf):
+    """The same by a scan of all chunks, as searches without a stored index do it."""
     return search.keyword_search(T.search_corpus(spark, sf), T.queries(spark, sf), "query", 10)
 
 
@@ -307,6 +313,7 @@ QUERIES = {
         min_score,
         ann_topk,
         bm25_topk,
+        bm25_scan,
         rrf_search,
         sparse_hits_search,
         empty_search_calls,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgate.functions import sqltext
+from veilgate.operators import postings
 from veilgate.operators.corpus import chunk_documents, visible, with_terms
-from veilgate.session import settle
+from veilgate.session import scratch_path
 
 AS_OF = "2024-06-30 00:00:00"
 ROLES = ("analyst", "collections-agent", "servicing-agent", "fraud-agent", "public")
@@ -89,9 +92,35 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INGESTED: dict[tuple, str] = {}
+
+
+def ingested(spark: SparkSession, sf_dir: str, name: str, names: tuple[str, ...], write: Callable[[str], None]) -> str:
+    """The folder of what ``write`` stores about some tables: written once per application and state of their files."""
+    marks = []
+    for one in names:
+        file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        marks.append(tuple(table(spark, sf_dir, one).select(file.alias("h")).agg(F.count("*"), F.min("h"), F.max("h")).first()))
+    key = (spark.sparkContext.applicationId, name, sf_dir, *marks)
+    if key not in _INGESTED:
+        folder = scratch_path(spark, name)
+        write(folder)
+        _INGESTED[key] = folder
+    return _INGESTED[key]
+
+
 def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The visible chunks with their terms, ingested once so that each search step prunes columns."""
-    return settle(with_terms(visible(chunks(spark, sf_dir)), "chunk_text"), "chunks")
+    """The visible chunks with their terms, ingested once so that searches read stored columns."""
+    found = with_terms(visible(chunks(spark, sf_dir)), "chunk_text")
+    folder = ingested(spark, sf_dir, "chunks", ("documents", "embeddings"), found.write.parquet)
+    return spark.read.schema(found.schema).parquet(folder)
+
+
+def term_index(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the inverted index of the visible chunks."""
+    return ingested(
+        spark, sf_dir, "term-index", ("documents", "embeddings"), lambda folder: postings.append(search_corpus(spark, sf_dir), folder)
+    )
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
