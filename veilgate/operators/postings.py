@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilgate.functions import sqltext
 from veilgate.operators.sparse import B, DIGITS, K1, query_terms
 from veilgate.session import settle
 
@@ -231,7 +232,7 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, text: str, k: i
     for number in range(batches):  # one plan: the scans of all batches run together
         mine = F.pmod(F.xxhash64("query_id"), F.lit(batches)) == number
         rows, terms = asked.where(mine).drop("_text").orderBy("query_id").toPandas(), words.where(mine).toPandas()
-        if len(rows) and len(terms):
+        if len(terms):
             parts.append(_batch(postings, rows, terms, sums, k))
     if not parts:
         return spark.createDataFrame([], "query_id string, chunk_id string, sparse double, position int, sparse_rank long")
@@ -251,7 +252,7 @@ def reachable(postings: DataFrame, vocabulary: list[str], since) -> DataFrame:
     """The blocks of some terms that hold a chunk no query leaves out for its age (``since``: a time in microseconds)."""
     conf = postings.sparkSession.conf
     conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(PUSHED_TERMS))
-    kept = postings.where(F.col("term").isin(*vocabulary))
+    kept = postings.where(F.expr(f"term IN ({sqltext.texts(vocabulary)})"))
     if since is None:
         return kept
     month = f"{pd.Timestamp(since, unit='us'):%Y-%m}"
@@ -262,6 +263,8 @@ def _batch(postings: DataFrame, rows: pd.DataFrame, terms: pd.DataFrame, sums, k
     vocabulary = sorted(set(terms["term"]))
     frequency = {r.term: r.df for r in reachable(postings, vocabulary, None).groupBy("term").agg(F.sum("n").alias("df")).collect()}
     terms = terms[terms["term"].isin(list(frequency))].copy()
+    if terms.empty:
+        return postings.sparkSession.createDataFrame([], FOUND)
     df = terms["term"].map(frequency).to_numpy(dtype=float)
     terms["idf"] = np.log1p((sums.n - df + 0.5) / (df + 0.5))
     packed = _Asked(rows, terms, sums.total / sums.n or 1.0)
