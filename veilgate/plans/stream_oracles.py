@@ -52,4 +52,17 @@ SELECT entity_token, feature_set, as_of, version, as_of + INTERVAL 24 HOUR AS ex
     "stream_audit": f"""WITH {AUDIT}
 SELECT timestamp::DATE::VARCHAR AS event_date, severity, count(*) AS events, count(DISTINCT event_id) AS ids
 FROM audit WHERE timestamp::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY ALL""",
+    "stream_lifetimes": """WITH rows AS (
+  SELECT 'TOK_' || user_id AS entity_token, event_type AS feature_set, ts AS as_of, event_id AS version FROM events),
+timed AS (
+  SELECT *, lag(as_of) OVER w AS before, lead(as_of) OVER w AS after, max(as_of) OVER () - INTERVAL 1 HOUR AS mark
+  FROM rows WINDOW w AS (PARTITION BY entity_token, feature_set ORDER BY as_of, version))
+SELECT entity_token, feature_set, CASE WHEN before IS NULL OR as_of >= before + INTERVAL 24 HOUR THEN 'inserted' ELSE 'updated' END AS action,
+  as_of, version, as_of + INTERVAL 24 HOUR AS expires_at FROM timed
+UNION ALL
+SELECT entity_token, feature_set, 'expired', as_of, version, as_of + INTERVAL 24 HOUR FROM timed
+WHERE coalesce(after, mark) >= as_of + INTERVAL 24 HOUR""",
+    "escalation_outbox": f"""WITH {AUDIT}
+SELECT event_id, CASE WHEN substr(event_id, 5)::BIGINT % 10 = 7 THEN 'failed' ELSE 'delivered' END AS status, 1::BIGINT AS attempts
+FROM audit WHERE severity = 'CRITICAL'""",
 }

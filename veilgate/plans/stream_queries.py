@@ -11,7 +11,7 @@ from veilgate.plans import tables as T
 from veilgate.session import scratch_path
 from veilgate.sources.readers import read_audit, stream_table
 from veilgate.sources.schemas import AUDIT
-from veilgate.streaming import streams
+from veilgate.streaming import lifetimes, outbox, streams
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -119,6 +119,40 @@ def stream_audit(spark, sf):
     )
 
 
+def stream_lifetimes(spark, sf):
+    """Feature changes with a lifetime of 24 hours: values that are not renewed expire by a timer, and may come again.
+
+    The first half of the time arrives before the second; the state goes on between the runs.
+    """
+    path = scratch_path(spark, "stream-lifetimes")
+    rows = T.table(spark, sf, "events").selectExpr(
+        "concat('TOK_', user_id) AS entity_token", "event_type AS feature_set", "CAST(ts AS TIMESTAMP) AS as_of", "event_id AS version"
+    )
+    half = F.lit("2024-01-16").cast("timestamp")
+    result = None
+    for part in (rows.where(F.col("as_of") < half), rows.where(F.col("as_of") >= half)):
+        part.write.mode("append").parquet(f"{path}-in")
+        arriving = stream_table(spark, f"{path}-in", "entity_token string, feature_set string, as_of timestamp, version long")
+        result = streams.run_available(lifetimes.with_lifetimes(arriving), path)
+    return result
+
+
+def unreliable(event: dict) -> None:
+    """A receiver that does not take every tenth event."""
+    if int(event["event_id"][4:]) % 10 == 7:
+        raise ConnectionError("not taken")
+
+
+def escalation_outbox(spark, sf):
+    """Critical events of the audit stream, handed over once although their batch runs twice."""
+    path = scratch_path(spark, "escalation")
+    columns = [c.strip().split(" ")[0] for c in AUDIT.replace("\n", " ").split(",")]
+    rows = audit_stream(spark, sf).select(*[c for c in columns if c != "event_date"])
+    streams.finished(streams.audit_stream(rows, path, f"{path}-state", unreliable, slice_rows=1000))
+    outbox.deliver(read_audit(spark, path), f"{path}-outbox", 0, unreliable, slice_rows=1000)
+    return outbox.status(spark, f"{path}-outbox").select("event_id", "status", "attempts")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -132,5 +166,7 @@ QUERIES = {
         stream_dedup,
         stream_latest,
         stream_audit,
+        stream_lifetimes,
+        escalation_outbox,
     )
 }

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgate.functions.rules import RuleSet
-from veilgate.operators.audit import escalate
 from veilgate.operators.features import latest_features, with_expiry
 from veilgate.operators.keyed import latest_per_key
 from veilgate.operators.shield import shield
 from veilgate.sources.sinks import append_audit
+from veilgate.streaming import outbox
 
 
 def shield_stream(stream: DataFrame, text: str, rules: RuleSet, role: str | None = None) -> DataFrame:
@@ -123,17 +123,17 @@ def run_available(
 
 
 def audit_stream(
-    stream: DataFrame, path: str, state: str, callback: Callable[[dict], None] | None = None
+    stream: DataFrame, path: str, state: str, callback: Callable[[dict], None] | None = None, slice_rows: int = 1
 ):
-    """Append each batch to the audit log and hand its CRITICAL events to the callback.
+    """Append each batch to the audit log and hand its CRITICAL events to the callback, each once (see ``outbox``).
 
-    A batch that runs again replaces its own rows; escalations may then be delivered again.
+    A batch that runs again replaces its own rows; the outbox beside the log knows what it has delivered before.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         append_audit(batch, path, batch=number)
         if callback is not None:
-            escalate(batch, callback)
+            outbox.deliver(batch, f"{path}-outbox", number, callback, slice_rows)
 
     return (
         stream.writeStream.foreachBatch(write)
