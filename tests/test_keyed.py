@@ -1,9 +1,11 @@
+import math
 import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from veilgate.operators import keyed
+from veilgate.session import settle
 
 START = datetime(2024, 1, 1)
 
@@ -19,8 +21,8 @@ def test_asof_join_equals_brute_force(spark):
     asked = [(rng.choice([*keys, "none"]), t, i) for i, t in enumerate(times(rng, 200))]
     h = spark.createDataFrame(history, "k string, ht timestamp, v long, x double")
     r = spark.createDataFrame(asked, "k string, rt timestamp, id long")
-    for bucket in ("month", "day"):
-        got = keyed.asof_join(r, h, ["k"], "rt", "ht", "v", bucket).collect()
+    for ranges in (None, 1, 40):
+        got = keyed.asof_join(r, h, ["k"], "rt", "ht", "v", ranges).collect()
         assert len(got) == len(asked)
         for row in got:
             past = [(t, v) for k, t, v, _ in history if k == row.k and t <= row.rt]
@@ -61,6 +63,33 @@ def test_quantiles_are_nearest_rank(spark):
     assert (row.p50, row.p99) == (ordered[249], ordered[494])
 
 
+def test_a_dense_hot_key_is_spread_over_ranges(spark, monkeypatch):
+    moments = [START + timedelta(milliseconds=i) for i in range(4000)]
+    h = spark.createDataFrame([("hot", t, i) for i, t in enumerate(moments)], "k string, ht timestamp, v long")
+    r = spark.createDataFrame([("hot", t, i) for i, t in enumerate(moments[::7])], "k string, rt timestamp, id long")
+    dealt = []
+    monkeypatch.setattr(keyed, "settle", lambda df, name="": dealt.append(settle(df, name)) or dealt[-1])
+    found = keyed.asof_join(r, h, ["k"], "rt", "ht", "v", 8).collect()
+    assert all(row.v == row.id * 7 for row in found) and len(found) == len(moments[::7])
+    sizes = [row["count"] for row in dealt[0].groupBy("_b").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1500
+
+
+def test_quantiles_by_selection_equal_sorting(spark):
+    rng = random.Random(8)
+    rows = [("hot", rng.choice([rng.gauss(0, 1), 0.5, 1e9])) for _ in range(3000)]
+    rows += [(f"k{i % 7}", float(rng.randint(0, 9))) for i in range(60)] + [("one", 4.0), ("none", None), (None, 1.0), ("hot", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    fractions = {"least": 0.0001, "p50": 0.5, "p95": 0.95, "p99": 0.99, "most": 1.0}
+    for accuracy in (keyed.ACCURACY, 20):
+        found = {r.k: r for r in keyed.exact_quantiles(df, ["k"], "v", fractions, accuracy).collect()}
+        for key in {k for k, _ in rows} - {None}:
+            ordered = sorted(v for k, v in rows if k == key and v is not None)
+            for name, q in fractions.items():
+                want = ordered[math.ceil(len(ordered) * q) - 1] if ordered else None
+                assert found[key][name] == want, (key, name)
+
+
 def test_latest_per_key_breaks_ties(spark):
     rows = [("a", START, 1, "x"), ("a", START, 2, "y"), ("b", START, 1, None)]
     df = spark.createDataFrame(rows, "k string, t timestamp, n int, v string")

@@ -220,3 +220,23 @@ def test_expired_tokens_are_refused(spark):
     now = F.lit("2024-01-02 12:00:00").cast("timestamp")
     got = {r.id: r.error for r in features.entity_context(asked, online(spark), FALLBACK_RULES, now).collect()}
     assert got[1] is None and got[2] == got[3] == features.TOKEN_EXPIRED
+
+
+def test_only_new_parts_are_profiled(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "profiles")
+    contract = governance.Contract({"id": "bigint", "note": "string", "day": "string"}, "at", 24, 4)
+    rows = [(1, "a", "d1", datetime(2024, 1, 1)), (2, None, "d1", datetime(2024, 1, 3)), (3, "mail a@b.com", "d2", datetime(2024, 1, 2))]
+    df = spark.createDataFrame(rows, "id long, note string, day string, at timestamp")
+    assert governance.update_profiles(df.where("day = 'd1'"), contract, RECOMMENDED_RULES, path, F.col("day")) == 1
+    assert governance.update_profiles(df, contract, RECOMMENDED_RULES, path, F.col("day")) == 1
+    assert governance.update_profiles(df, contract, RECOMMENDED_RULES, path, F.col("day")) == 0
+    stored = spark.read.parquet(path)
+    assert {r.part: r.n for r in stored.collect()} == {"d1": 2, "d2": 1}
+    plain = governance.contract_checks(df, contract, RECOMMENDED_RULES, "2024-01-04 00:00:00").collect()
+    assert governance.contract_checks(df, contract, RECOMMENDED_RULES, "2024-01-04 00:00:00", profiles=stored).collect() == plain
+    none = df.limit(0)
+    assert governance.contract_checks(none, contract, RECOMMENDED_RULES, "2024-01-04 00:00:00", profiles=stored.limit(0)).collect() == (
+        governance.contract_checks(none, contract, RECOMMENDED_RULES, "2024-01-04 00:00:00").collect()
+    )
+    median = governance.merged(stored).select(F.kll_sketch_get_quantile_double("quantiles_id", F.lit(0.5)).alias("m")).first().m
+    assert median == 2.0

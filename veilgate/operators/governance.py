@@ -21,6 +21,7 @@ from veilgate.operators.access import (
 )
 from veilgate.operators.keyed import balanced_join, exact_quantiles, lookup_join, numbered
 from veilgate.operators.shield import detect
+from veilgate.sources.sinks import exists
 
 MAX_AUDIT_ROWS = 1_000
 
@@ -219,18 +220,19 @@ def schema_difference(df: DataFrame, expected: Mapping[str, str]) -> tuple[list,
     return missing, extra, retyped
 
 
-def contract_checks(
-    df: DataFrame,
-    contract: Contract,
-    rules: RuleSet,
-    as_of: str,
-    consumers: DataFrame | None = None,
-    acknowledged: DataFrame | None = None,
-) -> DataFrame:
-    """Six checks as rows (check_name, status, evidence) from one pass over the whole dataset."""
-    missing, extra, retyped = schema_difference(df, contract.columns)
-    required = [c for c in contract.columns if c in df.columns]
+def _profiled(df: DataFrame, contract: Contract) -> tuple[list[str], list[str]]:
+    """(promised columns that are there, text columns)."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return [c for c in contract.columns if c in df.columns], texts
+
+
+def profile(df: DataFrame, contract: Contract, rules: RuleSet, by: Sequence[Column | str] | None = None, sketches: bool = False) -> DataFrame:
+    """What the checks need to know about a dataset, in one pass: counts, nulls, latest time, unexpected entities.
+
+    With ``by`` one mergeable row per value of those columns. ``sketches`` adds mergeable sketches of every column: of
+    its distinct values and, for numbers, of its quantiles.
+    """
+    required, texts = _profiled(df, contract)
     scanned = df
     for i, name in enumerate(texts):
         scanned = detect(scanned, name, rules, out=f"_pii{i}")
@@ -239,12 +241,69 @@ def contract_checks(
     if contract.updated_column in df.columns:
         measures.append(F.max(contract.updated_column).cast("timestamp").alias("latest"))
     else:
-        measures.append(F.lit(None).cast("timestamp").alias("latest"))
+        measures.append(F.max(F.lit(None).cast("timestamp")).alias("latest"))
     for i, name in enumerate(texts):
         tags = sqltext.texts(contract.pii_tags.get(name, ()))
         known = f"s.entity_type IN ({tags})" if tags else "false"
         measures.append(F.expr(f"count_if(exists(_pii{i}, s -> NOT {known}))").alias(f"pii_{i}"))
-    measured = scanned.agg(*measures)
+    if sketches:
+        for f in df.schema.fields:
+            if isinstance(f.dataType, (T.StringType, T.IntegerType, T.LongType)):
+                measures.append(F.hll_sketch_agg(f.name).alias(f"distinct_{f.name}"))
+            if isinstance(f.dataType, (T.IntegralType, T.FractionalType)) and not isinstance(f.dataType, T.DecimalType):
+                measures.append(F.kll_sketch_agg_double(F.col(f.name).cast("double")).alias(f"quantiles_{f.name}"))
+    return scanned.groupBy(*by).agg(*measures) if by else scanned.agg(*measures)
+
+
+def merged(profiles: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Profiles added up: of everything, or per value of ``by``."""
+    measures = []
+    for name in profiles.columns:
+        if name == "n" or name.startswith(("null_", "pii_")):
+            measures.append(F.coalesce(F.sum(name), F.lit(0)).alias(name))
+        elif name == "latest":
+            measures.append(F.max(name).alias(name))
+        elif name.startswith("distinct_"):
+            measures.append(F.hll_union_agg(name).alias(name))
+        elif name.startswith("quantiles_"):
+            measures.append(F.kll_merge_agg_double(name).alias(name))
+    return profiles.groupBy(*by).agg(*measures) if by else profiles.agg(*measures)
+
+
+def update_profiles(df: DataFrame, contract: Contract, rules: RuleSet, path: str, part: Column, sketches: bool = True) -> int:
+    """Profile the parts of a dataset (a day, a file) that ``path`` has no profile of yet; how many there were.
+
+    Parts are looked up before the rows are read, so what is known is not scanned again. A part that changes has
+    to be removed from the store first.
+    """
+    spark = df.sparkSession
+    mark = F.coalesce(part.cast("string"), F.lit(""))
+    new = df.select(mark.alias("part")).distinct()
+    if exists(spark, path):
+        new = new.join(spark.read.parquet(path).select("part"), "part", "left_anti")
+    parts = sorted(r.part for r in new.collect())
+    if parts:
+        profile(df.where(mark.isin(*parts)), contract, rules, [mark.alias("part")], sketches).write.mode("append").parquet(path)
+    return len(parts)
+
+
+def contract_checks(
+    df: DataFrame,
+    contract: Contract,
+    rules: RuleSet,
+    as_of: str,
+    consumers: DataFrame | None = None,
+    acknowledged: DataFrame | None = None,
+    profiles: DataFrame | None = None,
+) -> DataFrame:
+    """Six checks as rows (check_name, status, evidence).
+
+    They come from one pass over the whole dataset or, where ``profiles`` of all its parts are given, from those; then
+    only the schema of ``df`` is looked at.
+    """
+    missing, extra, retyped = schema_difference(df, contract.columns)
+    required, texts = _profiled(df, contract)
+    measured = profile(df, contract, rules) if profiles is None else merged(profiles)
 
     cells = F.col("n") * max(len(required), 1)
     nulls = sum((F.col(f"null_{i}") for i in range(len(required))), F.lit(0))

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilgate.functions import sqltext
+from veilgate.session import settle
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
+#: Accuracy of the sketches that bracket a quantile: ranks are off by at most one in so many.
+ACCURACY = 10_000
 
 
 def _width(field: T.StructField) -> Column:
@@ -152,18 +155,18 @@ def asof_join(
     request_time: str,
     history_time: str,
     tie_break: str,
-    bucket: str = "month",
+    ranges: int | None = None,
 ) -> DataFrame:
     """For every request the newest history row at or before its time (null when there is none).
 
-    Keys are cut into time buckets, so a hot key is spread over as many tasks as it has buckets:
-    requests look inside their own bucket with a window, and fall back to the last row of the
-    closest earlier bucket, which is found on a table of one row per (key, bucket).
+    Both sides are dealt together by ranges of (key, time) whose borders follow the data, so a key is spread over
+    as many tasks as its rows need, however close in time they are; rows of one key and moment stay together. Requests look
+    inside their own range with a window, and fall back to the last row of the closest earlier range, which is
+    carried over on a table of one row per (key, range). ``ranges`` defaults to the session's shuffle partitions.
     """
     payload = [c for c in history.columns if c not in keys]
     past = history.select(
         *keys,
-        F.date_trunc(bucket, F.col(history_time)).alias("_b"),
         F.col(history_time).alias("_t"),
         F.lit(0).alias("_kind"),
         F.struct(*payload).alias("_hit"),
@@ -171,16 +174,18 @@ def asof_join(
     request_columns = [c for c in requests.columns if c not in keys]
     asked = requests.select(
         *keys,
-        F.date_trunc(bucket, F.col(request_time)).alias("_b"),
         F.col(request_time).alias("_t"),
         F.lit(1).alias("_kind"),
         F.struct(*request_columns).alias("_request"),
     )
-    last_of_bucket = past.groupBy(*keys, "_b").agg(
+    n = ranges or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = past.unionByName(asked, allowMissingColumns=True).repartitionByRange(n, *keys, "_t")
+    both = settle(together.withColumn("_b", F.spark_partition_id()), "as-of")
+    last_of_bucket = both.where("_kind = 0").groupBy(*keys, "_b").agg(
         F.max_by("_hit", F.struct("_t", f"_hit.{tie_break}")).alias("_last")
     )
     marks = last_of_bucket.select(*keys, "_b", "_last").unionByName(
-        asked.select(*keys, "_b").distinct(), allowMissingColumns=True
+        both.where("_kind = 1").select(*keys, "_b").distinct(), allowMissingColumns=True
     )
     marks = marks.groupBy(*keys, "_b").agg(F.first("_last", ignorenulls=True).alias("_last"))
     earlier = (
@@ -189,7 +194,6 @@ def asof_join(
     carried = marks.select(
         *keys, "_b", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
     )
-    both = past.unionByName(asked, allowMissingColumns=True)
     seen = (
         Window.partitionBy(*keys, "_b")
         .orderBy("_t", "_kind", F.asc_nulls_last("_order"))
@@ -210,22 +214,35 @@ def asof_join(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]
+    df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], accuracy: int = ACCURACY
 ) -> DataFrame:
-    """Nearest-rank quantiles from a value histogram (one row per distinct value and key)."""
-    histogram = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    upto = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    ranked = histogram.withColumn("_upto", F.sum("_n").over(upto)).withColumn(
-        "_all", F.sum("_n").over(whole)
-    )
-    picks = [
-        F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * F.lit(q)), F.col(value))).alias(name)
-        for name, q in fractions.items()
+    """Nearest-rank quantiles, exact, by selection in two passes.
+
+    A sketch combined before the shuffle gives, per key and quantile, two values between which the wanted rank lies
+    (its rank is off by at most one in ``accuracy``). The second pass counts what lies below, and ranks only what lies
+    between: a few thousandths of a key's rows at most, and fewer distinct values. Nulls do not count; a key whose
+    values are all null has none.
+    """
+    given = df.select(*keys, F.col(value).alias("_v"))
+    some = given.where(F.col("_v").isNotNull())
+    ends = [min(1.0, max(0.0, q + side * 2 / accuracy)) for q in fractions.values() for side in (-1, 1)]
+    sketch = F.approx_percentile("_v", [float(e) for e in ends], accuracy)
+    brackets = settle(some.groupBy(*keys).agg(sketch.alias("_e"), F.count(F.lit(1)).alias("_all")), "brackets")
+    parts = [
+        F.struct(F.lit(i).alias("i"), F.ceil(F.col("_all") * F.lit(q)).alias("rank"), F.get("_e", F.lit(2 * i)).alias("low"), F.get("_e", F.lit(2 * i + 1)).alias("high"))
+        for i, q in enumerate(fractions.values())
     ]
-    return ranked.groupBy(*keys).agg(*picks)
+    wanted = brackets.select(*keys, F.array(*parts).alias("_b"))
+    met = lookup_join(some, wanted, keys, spread=["_v"])
+    below = met.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col("_b")[i].low).alias(f"_n{i}") for i in range(len(fractions))])
+    inside = met.withColumn("_p", F.explode(F.filter("_b", lambda b: (F.col("_v") >= b.low) & (F.col("_v") <= b.high))))
+    counted = inside.groupBy(*keys, F.col("_p.i").alias("_i"), F.col("_p.rank").alias("_rank"), "_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_i").orderBy("_v"))
+    ranked = counted.withColumn("_upto", upto).join(below, keys)
+    reached = F.element_at(F.array(*[F.col(f"_n{i}") for i in range(len(fractions))]), F.col("_i") + 1) + F.col("_upto") >= F.col("_rank")
+    picks = [F.min(F.when((F.col("_i") == i) & reached, F.col("_v"))).alias(name) for i, name in enumerate(fractions)]
+    found = ranked.groupBy(*keys).agg(*picks)
+    return given.select(*keys).distinct().join(found, keys, "left")
 
 
 def balanced_join(

@@ -437,3 +437,6 @@ FROM audit""",
     FROM audit WHERE tool_name = 'search_knowledge_base')
 SELECT DISTINCT src, dst, type FROM all_edges""",
 }
+
+ORACLES["contract_profiled"] = ORACLES["contract_checks"]
+ORACLES["contract_sketches"] = """SELECT count(*) AS n, true AS ids_near, count(DISTINCT lang) AS domains FROM documents"""

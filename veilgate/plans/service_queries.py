@@ -9,6 +9,7 @@ from veilgate.functions.rules import FALLBACK_RULES, RECOMMENDED_RULES
 from veilgate.operators import access, audit, corpus, features, governance, lineage, search
 from veilgate.operators.access import DEFAULT_POLICY
 from veilgate.plans import tables as T
+from veilgate.session import scratch_path
 from veilgate.sources import sinks
 
 NOW = f"TIMESTAMP '{T.AS_OF}'"
@@ -371,13 +372,40 @@ CONTRACT = governance.Contract(
 )
 
 
-def contract_checks(spark, sf):
+def _consumers(spark, sf):
     events = T.table(spark, sf, "events")
-    consumers = events.select("user_id").distinct()
     answered = events.where("event_type = 'signup' AND value > 100").select("user_id").distinct()
+    return events.select("user_id").distinct(), answered
+
+
+def contract_checks(spark, sf):
     return governance.contract_checks(
-        T.documents(spark, sf), CONTRACT, RECOMMENDED_RULES, T.AS_OF, consumers, answered
+        T.documents(spark, sf), CONTRACT, RECOMMENDED_RULES, T.AS_OF, *_consumers(spark, sf)
+    )
+
+
+def _profiles(spark, sf):
+    """Stored profiles of the documents per day of update: the earlier days first, then what has come since."""
+    path = scratch_path(spark, "profiles")
+    dated = T.documents(spark, sf).withColumn("day", F.to_date("updated_at"))
+    for known in (dated.where("day < DATE '2024-05-01'"), dated):
+        governance.update_profiles(known.drop("day"), CONTRACT, RECOMMENDED_RULES, path, F.to_date("updated_at"))
+    return spark.read.parquet(path)
+
+
+def contract_profiled(spark, sf):
+    """The same checks from stored profiles, without reading the documents again."""
+    return governance.contract_checks(
+        T.documents(spark, sf), CONTRACT, RECOMMENDED_RULES, T.AS_OF, *_consumers(spark, sf), profiles=_profiles(spark, sf)
+    )
+
+
+def contract_sketches(spark, sf):
+    """Distinct documents and texts by the merged sketches of all days, and whether they are near the exact numbers."""
+    whole = governance.merged(_profiles(spark, sf)).select(
+        "n", F.hll_sketch_estimate("distinct_document_id").alias("ids"), F.hll_sketch_estimate("distinct_domain").alias("domains")
     )
+    return whole.select("n", (F.abs(F.col("ids") - F.col("n")) <= 0.06 * F.col("n")).alias("ids_near"), "domains")
 
 
 def contract_gate(spark, sf):
@@ -544,6 +572,8 @@ QUERIES = {
         pii_by_type,
         contract_checks,
         contract_gate,
+        contract_profiled,
+        contract_sketches,
         rate_limit,
         latency_alerts,
         alert_evaluation,
