@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from veilgate.functions.rules import FALLBACK_RULES
+from veilgate.functions.rules import FALLBACK_RULES, RECOMMENDED_RULES
 from veilgate.operators import access, audit, features, governance, lineage
 from veilgate.operators.access import DEFAULT_POLICY, load_policy
 from veilgate.sources import readers, sinks
@@ -240,3 +240,26 @@ def test_only_new_parts_are_profiled(spark, tmp_path, monkeypatch):
     )
     median = governance.merged(stored).select(F.kll_sketch_get_quantile_double("quantiles_id", F.lit(0.5)).alias("m")).first().m
     assert median == 2.0
+
+
+def test_free_metadata_keeps_its_types_and_wins(spark, tmp_path):
+    rows = [
+        ("1", "s", "a", "h", ["c"], True, '{"agent_id": "other", "deep": {"n": 3, "l": [1.5, null]}}'),
+        ("2", "s", 'quote " \\ \n', None, [], False, "not json"),
+        ("3", "s", "a", "h", ["c"], None, None),
+        ("4", "s", "a", "h", ["c"], True, " { } "),
+    ]
+    fields = "id string, session_id string, agent_id string, prompt_hash string, chunk_ids array<string>, pii_detected boolean, metadata string"
+    df = spark.createDataFrame(rows, fields)
+    events = lineage.prompt_events(df, "id", "m", F.lit(NOW))
+    kinds = {"agent_id": "string", "prompt_hash": "string", "pii_detected": "boolean", "deep.n": "int", "deep.l[0]": "double", "llm_model_id": "string"}
+    got = events.select(*[lineage.facet(k, v).alias(k) for k, v in kinds.items()]).collect()
+    assert [tuple(r) for r in got] == [
+        ("other", "h", True, 3, 1.5, "m"), ('quote " \\ \n', None, False, None, None, "m"), ("a", "h", None, None, None, "m"), ("a", "h", True, None, None, "m"),
+    ]
+    # structs and VARIANTs are taken as they are
+    typed = df.withColumn("metadata", F.struct(F.lit(7).alias("n")))
+    assert {r[0] for r in lineage.prompt_events(typed, "id", "m", F.lit(NOW)).select(lineage.facet("n", "int")).collect()} == {7}
+    variant = df.withColumn("metadata", F.parse_json(F.lit('{"n": 8}')))
+    assert {r[0] for r in lineage.prompt_events(variant, "id", "m", F.lit(NOW)).select(lineage.facet("n", "int")).collect()} == {8}
+    assert lineage.edges_of(events).count() > 0

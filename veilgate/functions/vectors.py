@@ -50,10 +50,14 @@ def pseudo_components(key: Column, dimension: int) -> Column:
 
     Stands in for a model where none is attached: equal texts get equal vectors.
     """
-    blocks = (dimension + 15) // 16
-    digest = F.concat(*[F.sha2(F.concat(key, F.lit(f":{i}")), 256) for i in range(blocks)])
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda i: F.conv(F.substr(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("double") / 32768.0
-        - 1.0,
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.lit((dimension + 15) // 16 - 1)), lambda i: F.sha2(F.concat(key, F.lit(":"), i.cast("string")), 256)
+    )
+    numbers = F.transform(
+        blocks,
+        lambda digest: F.transform(
+            F.sequence(F.lit(1), F.lit(61), F.lit(4)),
+            lambda at: F.conv(F.substr(digest, at, F.lit(4)), 16, 10).cast("double") / 32768.0 - 1.0,
+        ),
     )
+    return F.slice(F.flatten(numbers), 1, dimension)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilgate.functions.ids import stable_id
 from veilgate.operators.keyed import is_small, lookup_join, two_sided_join
@@ -46,9 +47,36 @@ def _event(
     )
 
 
+def metadata_facets(rows: DataFrame, fields: dict[str, Column]) -> Column:
+    """The run's facets as a VARIANT: ``fields`` with their types, and the free metadata of the row.
+
+    Free metadata is a column ``metadata`` (a VARIANT, a struct, a map or JSON text of an object), if ``rows`` has one; its
+    keys win over fields of the same name. Null or broken JSON text counts as no metadata.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    free = F.lit("{}")
+    if "metadata" in kinds:
+        given = F.col("metadata")
+        free = given if isinstance(kinds["metadata"], T.StringType) else F.to_json(given)
+    free = F.coalesce(F.when(F.json_object_keys(free).isNotNull(), F.trim(free)), F.lit("{}"))
+    taken = F.json_object_keys(free)
+    written = []
+    for name, value in {"_producer": F.lit(PRODUCER), **fields}.items():
+        one = F.to_json(F.struct(value.alias(name)), {"ignoreNullFields": "false"})
+        written.append(F.when(~F.array_contains(taken, name), F.substring(one, F.lit(2), F.length(one) - 2)))
+    inside = F.trim(F.substring(free, F.lit(2), F.length(free) - 2))
+    written.append(F.when(inside != "", inside))
+    return F.parse_json(F.concat(F.lit('{"mcp_metadata":{'), F.array_join(F.array_compact(F.array(*written)), ","), F.lit("}}")))
+
+
+def facet(name: str, kind: str) -> Column:
+    """A value of the metadata of an event, in a type; null where it is missing or of another kind."""
+    return F.try_variant_get(F.col("run.facets"), f"$.mcp_metadata.{name}", kind)
+
+
 def dataset_events(runs: DataFrame, key: str, at: Column, namespace: str = NAMESPACE) -> DataFrame:
-    """``runs``: key, job_name, input_datasets, output_datasets."""
-    facets = F.create_map(F.lit("layer"), F.lit("dataset"))
+    """``runs``: key, job_name, input_datasets, output_datasets, and metadata if there is any."""
+    facets = metadata_facets(runs, {"layer": F.lit("dataset")})
     return _event(
         runs,
         stable_id(F.lit("dataset"), F.col(key)),
@@ -62,7 +90,7 @@ def dataset_events(runs: DataFrame, key: str, at: Column, namespace: str = NAMES
 
 
 def retrieval_events(calls: DataFrame, key: str, at: Column, namespace: str = NAMESPACE) -> DataFrame:
-    """``calls``: key, tool_name, session_id, agent_id, query_hash, chunk_ids."""
+    """``calls``: key, tool_name, session_id, agent_id, query_hash, chunk_ids, and metadata if there is any."""
     inputs = F.transform(
         "chunk_ids",
         lambda c: dataset_reference(F.concat(F.lit("pgvector:rag.document_chunks:"), c), namespace),
@@ -70,16 +98,8 @@ def retrieval_events(calls: DataFrame, key: str, at: Column, namespace: str = NA
     outputs = F.array(
         dataset_reference(F.concat(F.lit("mcp:agent_context:"), F.col("session_id")), namespace)
     )
-    facets = F.create_map(
-        F.lit("agent_id"),
-        F.col("agent_id"),
-        F.lit("query_hash"),
-        F.col("query_hash"),
-        F.lit("session_id"),
-        F.col("session_id"),
-        F.lit("chunk_count"),
-        F.size("chunk_ids").cast("string"),
-    )
+    named = {name: F.col(name) for name in ("agent_id", "query_hash", "session_id")}
+    facets = metadata_facets(calls, named | {"chunk_count": F.size("chunk_ids")})
     job = F.concat(F.lit("mcp."), F.col("tool_name"))
     return _event(
         calls, stable_id(F.lit("retrieval"), F.col(key)), job, at, inputs, outputs, facets, namespace
@@ -89,7 +109,7 @@ def retrieval_events(calls: DataFrame, key: str, at: Column, namespace: str = NA
 def prompt_events(
     prompts: DataFrame, key: str, model: str, at: Column, namespace: str = NAMESPACE
 ) -> DataFrame:
-    """``prompts``: key, session_id, agent_id, prompt_hash, chunk_ids, pii_detected."""
+    """``prompts``: key, session_id, agent_id, prompt_hash, chunk_ids, pii_detected, and metadata if there is any."""
     inputs = F.transform(
         "chunk_ids", lambda c: dataset_reference(F.concat(F.lit("pgvector:chunk:"), c), namespace)
     )
@@ -98,18 +118,8 @@ def prompt_events(
             F.concat(F.lit(f"bedrock:{model}:prompt:"), F.col("session_id")), namespace
         )
     )
-    facets = F.create_map(
-        F.lit("agent_id"),
-        F.col("agent_id"),
-        F.lit("prompt_hash"),
-        F.col("prompt_hash"),
-        F.lit("session_id"),
-        F.col("session_id"),
-        F.lit("pii_detected"),
-        F.col("pii_detected").cast("string"),
-        F.lit("llm_model_id"),
-        F.lit(model),
-    )
+    named = {name: F.col(name) for name in ("agent_id", "prompt_hash", "session_id", "pii_detected")}
+    facets = metadata_facets(prompts, named | {"llm_model_id": F.lit(model)})
     return _event(
         prompts,
         stable_id(F.lit("prompt"), F.col(key)),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgate.operators import dense, ivf
+from veilgate.functions import vectors
+from veilgate.functions.text import embedding_key
+from veilgate.operators import dense, ivf, vector_store
 from veilgate.plans import tables as T
-from veilgate.plans.search_oracles import cosine
+from veilgate.plans.search_oracles import KEY, TEXTS, component, cosine
 from veilgate.session import scratch_path, settle
 
 K = 10
@@ -17,8 +19,8 @@ RECALL = 0.9
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit(None).cast("timestamp")
-    vectors = T.table(spark, sf, "embeddings").where("embedding IS NOT NULL")
-    return vectors.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", F.lit("en").alias("domain"), none.alias("updated_at"))
+    rows = T.table(spark, sf, "embeddings").where("embedding IS NOT NULL")
+    return rows.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", F.lit("en").alias("domain"), none.alias("updated_at"))
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,7 +54,25 @@ def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {query.__name__: query for query in (ann_exact, ann_index_topk, ann_recall)}
+def embed_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of full width from the store: documents first, then all texts, then all again, with what each run embedded."""
+    folder, texts = scratch_path(spark, "vectors"), T.texts(spark, sf)
+    width, counts = vectors.MODEL_DIMENSIONS[vectors.DEFAULT_MODEL], []
+    for rows in (texts.where("text_id LIKE 'doc:%'"), texts, texts):
+        found, new = vector_store.embed_stored(
+            rows, "text", lambda t: vectors.pseudo_components(embedding_key(t), width), folder, vectors.DEFAULT_MODEL, width
+        )
+        counts.append(F.lit(new).cast("long"))
+    return found.select(
+        "text_id",
+        F.size("embedding").alias("dimension"),
+        F.element_at("embedding", 1).cast("double").alias("first"),
+        F.element_at("embedding", -1).cast("double").alias("last"),
+        *[count.alias(name) for count, name in zip(counts, ("new_documents", "new_others", "new_again"), strict=True)],
+    )
+
+
+QUERIES = {query.__name__: query for query in (ann_exact, ann_index_topk, ann_recall, embed_store)}
 
 _EXACT = f"""
 WITH vectors AS (SELECT vec_id, vec_id::VARCHAR AS chunk_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
@@ -66,5 +86,11 @@ top AS (
 
 ORACLES = {
     "ann_exact": f"{_EXACT} SELECT * FROM top",
+    "embed_store": f"""WITH {TEXTS}, keyed AS (SELECT text_id, {KEY} AS key FROM texts),
+counts AS (
+  SELECT count(DISTINCT key) FILTER (text_id LIKE 'doc:%') AS new_documents, count(DISTINCT key) AS everything FROM keyed)
+SELECT text_id, CASE WHEN key IS NULL THEN NULL ELSE 1536 END::INT AS dimension, {component('key', 1)}::DOUBLE AS first,
+  (('0x' || substr(sha256(key || ':95'), 61, 4))::INT / 32768.0 - 1.0)::DOUBLE AS last,
+  new_documents, everything - new_documents AS new_others, 0::BIGINT AS new_again FROM keyed, counts""",
     "ann_recall": f"{_EXACT} SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_exact, true AS reached FROM top",
 }

@@ -440,3 +440,6 @@ SELECT DISTINCT src, dst, type FROM all_edges""",
 
 ORACLES["contract_profiled"] = ORACLES["contract_checks"]
 ORACLES["contract_sketches"] = """SELECT count(*) AS n, true AS ids_near, count(DISTINCT lang) AS domains FROM documents"""
+ORACLES["lineage_facets"] = f"""WITH {AUDIT}
+SELECT sha256('prompt' || chr(1) || event_id) AS run_id, pii_detected, latency_ms::BIGINT AS took, latency_ms / 8.0 AS share,
+  session_id, 'BOOLEAN' AS kind FROM audit WHERE tool_name = 'search_knowledge_base'"""

@@ -523,7 +523,7 @@ def lineage_events(spark, sf):
         F.expr("array_join(transform(outputs, d -> concat(d.namespace, '|', d.name)), ',')").alias(
             "outputs"
         ),
-        F.element_at(F.col("run.facets"), "chunk_count").alias("chunk_count"),
+        lineage.facet("chunk_count", "string").alias("chunk_count"),
         F.col("eventTime").alias("event_time"),
     )
 
@@ -541,6 +541,25 @@ def lineage_layers(spark, sf):
     )
 
 
+def lineage_facets(spark, sf):
+    """Typed metadata of prompt events, with what each run brings of its own, read back from the stored event log."""
+    log = T.audit(spark, sf).where("tool_name = 'search_knowledge_base'")
+    free = F.to_json(F.struct(F.col("latency_ms").alias("took"), (F.col("latency_ms") / 8).alias("share"), F.array("session_id").alias("of")))
+    prompts = log.withColumns({"prompt_hash": F.col("query_hash"), "metadata": free})
+    path = scratch_path(spark, "lineage-log")
+    sinks.append_lineage(lineage.prompt_events(prompts, "event_id", "model-a", F.col("timestamp")), path)
+    stored = spark.read.text(path).select(F.parse_json("value").alias("e"))
+    events = stored.select(F.struct(F.variant_get("e", "$.run.runId", "string").alias("runId"), F.expr("variant_get(e, '$.run.facets')").alias("facets")).alias("run"))
+    return events.select(
+        F.col("run.runId").alias("run_id"),
+        lineage.facet("pii_detected", "boolean").alias("pii_detected"),
+        lineage.facet("took", "bigint").alias("took"),
+        lineage.facet("share", "double").alias("share"),
+        lineage.facet("of[0]", "string").alias("session_id"),
+        F.schema_of_variant(F.expr("variant_get(run.facets, '$.mcp_metadata.pii_detected')")).alias("kind"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -586,5 +605,6 @@ QUERIES = {
         lineage_sessions,
         lineage_events,
         lineage_layers,
+        lineage_facets,
     )
 }
