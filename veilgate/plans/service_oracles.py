@@ -443,3 +443,4 @@ ORACLES["contract_sketches"] = """SELECT count(*) AS n, true AS ids_near, count(
 ORACLES["lineage_facets"] = f"""WITH {AUDIT}
 SELECT sha256('prompt' || chr(1) || event_id) AS run_id, pii_detected, latency_ms::BIGINT AS took, latency_ms / 8.0 AS share,
   session_id, 'BOOLEAN' AS kind FROM audit WHERE tool_name = 'search_knowledge_base'"""
+ORACLES["erasure_stored"] = ORACLES["erasure"]

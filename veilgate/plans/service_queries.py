@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilgate.functions.rules import FALLBACK_RULES, RECOMMENDED_RULES
 from veilgate.operators import access, audit, corpus, features, governance, lineage, search
+from veilgate.operators import erasure as stored
 from veilgate.operators.access import DEFAULT_POLICY
 from veilgate.plans import tables as T
 from veilgate.session import scratch_path
@@ -456,6 +457,19 @@ def erasure(spark, sf):
     )
 
 
+def erasure_stored(spark, sf):
+    """The same on a stored table: a file per feature set and part of the customers, of which only some hold an entity."""
+    gone = customers(spark, sf).where("c_acctbal < 0").selectExpr(f"{T.token_of('c_custkey')} AS entity_token")
+    history, path = T.feature_history(spark, sf), scratch_path(spark, "erasable")
+    for part in ("cross_sell", "<>"):
+        chosen = F.col("feature_set") == part if part != "<>" else F.col("feature_set") != "cross_sell"
+        stored.append(history.where(chosen).repartition(16, "entity_token"), path)
+    stored.erase_stored(spark, path, history.schema, gone, "entity_token")
+    return stored.read(spark, path, history.schema).groupBy("feature_set").agg(
+        F.count(F.lit(1)).alias("records"), F.countDistinct("entity_token").alias("entities")
+    )
+
+
 def retention(spark, sf):
     return governance.retain(T.documents(spark, sf), "updated_at", T.AS_OF, 45).select(
         "document_id", "updated_at"
@@ -463,10 +477,10 @@ def retention(spark, sf):
 
 
 def insert_if_absent(spark, sf):
-    stored = T.documents(spark, sf).where("data_class = 'STANDARD'").select("document_id")
+    known = T.documents(spark, sf).where("data_class = 'STANDARD'").select("document_id")
     offered = T.documents(spark, sf).select("document_id", "domain")
     twice = offered.unionByName(offered)
-    return sinks.absent_rows(twice, stored, ["document_id"])
+    return sinks.absent_rows(twice, known, ["document_id"])
 
 
 # -- lineage -----------------------------------------------------------------------------------------
@@ -548,8 +562,8 @@ def lineage_facets(spark, sf):
     prompts = log.withColumns({"prompt_hash": F.col("query_hash"), "metadata": free})
     path = scratch_path(spark, "lineage-log")
     sinks.append_lineage(lineage.prompt_events(prompts, "event_id", "model-a", F.col("timestamp")), path)
-    stored = spark.read.text(path).select(F.parse_json("value").alias("e"))
-    events = stored.select(F.struct(F.variant_get("e", "$.run.runId", "string").alias("runId"), F.expr("variant_get(e, '$.run.facets')").alias("facets")).alias("run"))
+    log = spark.read.text(path).select(F.parse_json("value").alias("e"))
+    events = log.select(F.struct(F.variant_get("e", "$.run.runId", "string").alias("runId"), F.expr("variant_get(e, '$.run.facets')").alias("facets")).alias("run"))
     return events.select(
         F.col("run.runId").alias("run_id"),
         lineage.facet("pii_detected", "boolean").alias("pii_detected"),
@@ -598,6 +612,7 @@ QUERIES = {
         alert_evaluation,
         lineage_gap,
         erasure,
+        erasure_stored,
         retention,
         insert_if_absent,
         lineage_depth,
