@@ -1,15 +1,17 @@
 """Links within groups of any size whose members lie in a metric space, without comparing all pairs.
 
-A small group is one tile and is compared in one task. In a large group a few leaders meet all members, dealt in blocks.
-With the triangle inequality their distances decide for most members: one within the limit of a leader, and nearer to
-it than the leader's nearest non-linked neighbour (up to twice the limit) less the limit, can have no link that leads
-elsewhere, so it is tied to the leader and leaves. So do the leaders. What stays goes on with new leaders, and is compared block
-by block against itself once it is small or no longer shrinks. No link between components is lost.
+A small group is one tile and is compared in one task. In a large group a few leaders meet all members, dealt in blocks,
+and leave, since all their links are known. Two rules spare the others: a member within the limit of a leader, and nearer
+to it than the leader's nearest non-linked neighbour (up to twice the limit) less the limit, can have no link that leads
+elsewhere (triangle inequality), so it leaves as well; and what has come to hang together need not be compared with
+itself. So the next leaders are members outside the group's largest component, and a group is done when none is left.
+A group that stays in very many pieces is compared block by block. No link between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgate.llm.common import packed, scan
+from veilgate.llm.components import connected_components
 from veilgate.session import settle
 
 #: Members of a group compared in one task.
 BUCKET = 1024
-#: Leaders of a large group in one round, on average.
-LEADERS = 8
-#: Rounds of leaders; a round that leaves more than this share of the members is the last.
+#: Leaders of a large group in the first round and in later ones, on average.
+LEADERS, MORE_LEADERS = 8, 64
+#: Rounds of leaders; a round that leaves more than this share of the members outside the largest components is the last.
 ROUNDS, SHRINK = 12, 0.75
 
 
@@ -137,51 +140,65 @@ def connect(
         return packed(parts(), {"u": pa.int64(), "v": pa.int64()})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of members to leaders, and for each leader a row of its own with its nearest neighbour beyond the limit."""
+
         def parts():
             for group, ids, found, roles in _runs(batches, read):
                 first = roles.count(0)
                 whole, own = space(found), np.array(ids, np.int64)
                 for k in range(first):
                     distance = whole.distances(k)
-                    near = np.flatnonzero((distance <= 2 * limit + 1e-9) & (own != own[k]))
-                    near = near[near >= first]
-                    yield [group] * len(near), own[near], np.full(len(near), own[k]), distance[near].astype(float)
+                    others = (own != own[k]) & (np.arange(len(own)) >= first)
+                    near = np.flatnonzero((distance <= limit) & others)
+                    ring = distance[(distance > limit) & (distance <= 2 * limit + 1e-9) & others]
+                    who, d = own[near], distance[near].astype(float)
+                    if len(ring):
+                        who, d = np.append(who, own[k]), np.append(d, float(ring.min()))
+                    yield [group] * len(who), who, np.full(len(who), own[k]), d
 
         return packed(parts(), {"group": pa.int64(), "id": pa.int64(), "leader": pa.int64(), "d": pa.float64()})
 
     counted = members.groupBy("group").agg(_blocks(bucket, most), F.count("*").alias("n"))
     sized = settle(members.join(counted, "group"), "sized")
     tiles = sized.where("blocks = 1 AND n > 1").select("group", "id", "blocks")
-    edges, live = [], sized.where("blocks > 1").select("group", "id", "size")
-    total = live.count()
+    edges, live = [], sized.where("blocks > 1").select("group", "id", "size", F.lit(True).alias("outside"))
+    total = outside = live.count()
     for turn in range(ROUNDS):
         if not total:
             break
         mixed = F.xxhash64("id", F.lit(turn)).bitwiseAND((1 << 40) - 1)
-        about = live.groupBy("group").agg(_blocks(bucket, most), F.count("*").alias("n"), F.min(mixed).alias("least"))
+        about = live.groupBy("group").agg(
+            _blocks(bucket, most), F.count("*").alias("n"), F.count_if("outside").alias("open"), F.min(F.when(F.col("outside"), mixed)).alias("least")
+        )
         dealt = settle(live.join(about, "group").withColumn("mixed", mixed), "live")
-        chosen = dealt.where(f"blocks > 1 AND mixed <= greatest(least, {leaders << 40} / n)")
+        wanted = MORE_LEADERS if turn else leaders
+        chosen = dealt.where(f"blocks > 1 AND outside AND mixed <= greatest(least, {wanted << 40} / open)")
         block = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks"))
         everyone = dealt.where("blocks > 1").select("group", "id", block.alias("block"), F.lit(1).alias("role"))
         to_all = chosen.select("group", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
-        tile = F.xxhash64("group", "block")
-        spread = values(everyone.unionByName(to_all)).withColumn("tile", tile)
+        spread = values(everyone.unionByName(to_all)).withColumn("tile", F.xxhash64("group", "block"))
         near = settle(scan(_dealt(spread), meet, "group long, id long, leader long, d double"), "near-leaders")
-        edges.append(near.where(F.col("d") <= limit).selectExpr("id AS u", "leader AS v"))
-        ring = near.where(F.col("d") > limit).groupBy("group", "leader").agg(F.min("d").alias("ring"))
+        edges.append(near.where("id <> leader").selectExpr("id AS u", "leader AS v"))
+        ring = near.where("id = leader").groupBy("group", "leader").agg(F.min("d").alias("ring"))
         done = (
-            near.where(F.col("d") <= limit)
+            near.where("id <> leader")
             .join(ring, ["group", "leader"], "left")
             .where(F.col("ring").isNull() | (F.col("d") < F.col("ring") - limit - 1e-9))
             .select("group", "id")
             .unionByName(chosen.select("group", "id"))
             .distinct()
         )
-        small = dealt.where("blocks = 1")
-        tiles = tiles.unionByName(small.where("n > 1").select("group", "id", "blocks"))
-        live = settle(dealt.where("blocks > 1").join(done, ["group", "id"], "left_anti").select("group", "id", "size"), "left")
-        before, total = total, live.count()
-        if total > SHRINK * before:
+        tiles = tiles.unionByName(dealt.where("blocks = 1 AND n > 1").select("group", "id", "blocks"))
+        labels = connected_components(reduce(DataFrame.unionByName, edges)).withColumnRenamed("node", "id")
+        rest = dealt.where("blocks > 1").select("group", "id", "size").join(done, ["group", "id"], "left_anti")
+        rest = settle(rest.join(labels, "id", "left").select("group", "id", "size", F.coalesce("root", "id").alias("piece")), "rest")
+        pieces = rest.groupBy("group", "piece").agg(F.count("*").alias("n"))
+        largest = settle(pieces.groupBy("group").agg(F.max_by("piece", F.struct("n", "piece")).alias("largest"), F.count("*").alias("pieces")), "largest")
+        still = rest.join(largest.where("pieces > 1").select("group", "largest"), "group")
+        live = settle(still.select("group", "id", "size", (F.col("piece") != F.col("largest")).alias("outside")), "left")
+        before = outside
+        total, outside = live.agg(F.count("*"), F.count_if("outside")).first()
+        if outside > SHRINK * before:
             break
     if total:
         again = live.groupBy("group").agg(_blocks(bucket, most), F.count("*").alias("n"))
