@@ -119,7 +119,7 @@ def _text_key(text_col: str) -> list:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(12), text).alias("h2")]
 
 
-def _band_groups(classes: DataFrame) -> DataFrame:
+def band_groups(classes: DataFrame) -> DataFrame:
     """(group, id, size): classes that share a band; bands with the same members are one group."""
     keys = settle(classes.select("node", F.explode("keys").alias("key")), "bands")
     marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
@@ -139,7 +139,7 @@ def class_links(
 ) -> DataFrame:
     """(u, v) edges between classes (their ``node``) whose sets overlap by ``similarity`` or more, enough to connect every group."""
     near = connect(
-        _band_groups(classes),
+        band_groups(classes),
         lambda rows: rows.join(classes.select(F.col("node").alias("id"), F.col("sketch").alias("value")), "id"),
         bytes,
         BitStrings,
