@@ -36,6 +36,9 @@ def main() -> None:
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
     catalog.QUERIES["prefilter_rls"](spark, sf_dir).count()  # start workers and class loading
     seconds = {}
+    start = time.time()
+    catalog.search_queries.T.term_index(spark, sf_dir)  # chunks, terms and posting blocks, stored once before searches
+    seconds["ingest_corpus"] = round(time.time() - start, 3)
     for name in HEADLINE:
         start = time.time()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests import model
 from veilgate.functions.patterns import RECOGNISERS, Recogniser
-from veilgate.functions.rules import EntityRule, RuleSet, load_rules
+from veilgate.functions.rules import RECOMMENDED_RULES, EntityRule, RuleSet, load_rules
 from veilgate.operators import shield
 from veilgate.operators.access import DEFAULT_POLICY
 
@@ -247,3 +249,10 @@ def test_many_matches_in_one_text(spark):
     text = " ".join(f"user{i}@example.com or call 415-555-{i % 10000:04d}" for i in range(4000))
     row = run(spark, [text])[0]
     assert row.safe_text == " ".join(["[EMAIL_ADDRESS] or call [PHONE_NUMBER]"] * 4000)
+
+
+def test_rules_may_turn_audit_events_off(spark):
+    done = shield.shield(spark.createDataFrame([("t", "Contact user@example.com.", "analyst")], "id string, text string, role string"), "text", RECOMMENDED_RULES)
+    arguments = ("id", "role", F.lit("c"), F.lit(None).cast("timestamp"))
+    assert shield.audit_events(done, *arguments, RECOMMENDED_RULES).count() == 1
+    assert shield.audit_events(done, *arguments, replace(RECOMMENDED_RULES, audit_all_events=False)).count() == 0

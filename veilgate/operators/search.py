@@ -160,7 +160,8 @@ def governed_search(
     session_id. With ``on_block='abort'`` one blocked chunk makes the whole query ``blocked`` and
     returns a single row without text; ``drop`` leaves only that chunk out. ``scorer`` replaces
     the fused score as the re-ranking score and sees protected text only. ``embed`` makes the query
-    vectors from the sanitised queries; without it ``query_vector`` is taken as given.
+    vectors from the sanitised queries; without it ``query_vector`` is taken as given. A column ``metadata`` of
+    the chunks, of any type, comes back with each returned chunk.
     """
     safe = sanitise_queries(
         queries.withColumn("query_id", F.col("query_id").cast("string")), "query", rules, "agent_role"
@@ -171,7 +172,8 @@ def governed_search(
     about = safe.select(
         "query_id", "safe_query", "top_k", "agent_id", "agent_role", "session_id"
     )
-    texts = chunks.select("chunk_id", "document_id", "chunk_text")
+    extra = ["metadata"] if "metadata" in chunks.columns else []
+    texts = chunks.select("chunk_id", "document_id", "chunk_text", *extra)
     found = settle(found.drop("position"), "found")
     with_text = about.join(_attach(found, texts, ["chunk_id"], found.count()), "query_id", "left")
     checked = shield(with_text, "chunk_text", rules, "agent_role")
@@ -215,11 +217,29 @@ def governed_search(
         visible("document_id").alias("document_id"),
         visible("safe_text").alias("text"),
         F.round(visible("score"), 4).alias("score"),
+        *[visible(c).alias(c) for c in extra],
         (F.col("was_modified") & ~empty).alias("pii_masked"),
         (F.col("pii_detected") | aborted).alias("pii_detected"),
     )
 
 
+def search_refusals(results: DataFrame, at: Column) -> DataFrame:
+    """One event per search that a blocked chunk has refused; the query is hashed, never stored."""
+    return results.where(F.col("status") == "blocked").select(
+        stable_id(F.lit("PII_BLOCKED"), F.col("query_id")).alias("event_id"),
+        F.lit("PII_BLOCKED").alias("event_type"),
+        F.lit("search_knowledge_base").alias("tool_name"),
+        "agent_id",
+        "agent_role",
+        "session_id",
+        sha256_hex(F.col("query")).alias("query_hash"),
+        F.array().cast("array<string>").alias("chunk_ids"),
+        F.lit(True).alias("pii_detected"),
+        F.lit("WARNING").alias("severity"),
+        at.alias("timestamp"),
+    )
+
+
 def search_audit(results: DataFrame, at: Column, latency_ms: Column | None = None) -> DataFrame:
     """One tool-call event per completed search; the query is hashed, never stored."""
     return (

@@ -370,10 +370,11 @@ def token_cross_reference(shielded: DataFrame, key: str) -> DataFrame:
 
 
 def audit_events(
-    shielded: DataFrame, key: str, agent: str, context: Column, at: Column
+    shielded: DataFrame, key: str, agent: str, context: Column, at: Column, rules: RuleSet | None = None
 ) -> DataFrame:
-    """One metadata-only event per text with detections; blocked texts emit none."""
-    return shielded.where((F.size("detections") > 0) & (F.col("status") != "blocked")).select(
+    """One metadata-only event per text with detections; blocked texts emit none, nor does any where ``rules`` say so."""
+    wanted = F.lit(rules is None or rules.audit_all_events)
+    return shielded.where(wanted & (F.size("detections") > 0) & (F.col("status") != "blocked")).select(
         stable_id(F.lit("PII_PROCESSED"), F.col(key)).alias("event_id"),
         F.lit("PII_PROCESSED").alias("event_type"),
         F.col(agent).alias("agent_id"),

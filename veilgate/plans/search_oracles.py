@@ -325,3 +325,9 @@ SELECT sha256('MCP_TOOL_CALL' || chr(1) || 'get_document' || chr(1) || request_i
 }
 
 ORACLES["bm25_scan"] = ORACLES["bm25_topk"]
+ORACLES["search_metadata"] = f"""WITH {governed(False)}, {GOVERNED}
+SELECT query_id, position, g.chunk_id, i.domain, i.source_uri, i.updated_at
+FROM governed g LEFT JOIN indexed i ON i.chunk_id = g.chunk_id"""
+ORACLES["search_refusals"] = f"""WITH {governed(False)}, {GOVERNED}
+SELECT sha256('PII_BLOCKED' || chr(1) || query_id) AS event_id, 'PII_BLOCKED' AS event_type, agent_id, session_id,
+  sha256(query) AS query_hash, 'WARNING' AS severity, TIMESTAMP '{AS_OF}' AS timestamp FROM governed WHERE status = 'blocked'"""

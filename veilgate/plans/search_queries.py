@@ -197,6 +197,19 @@ def governed_search_drop(spark, sf):
     ).select("query_id", "total_found", "returned", "position", "chunk_id", "text", "pii_masked")
 
 
+def search_metadata(spark, sf):
+    """Returned chunks with the metadata stored beside them."""
+    chunks = T.search_corpus(spark, sf).withColumn("metadata", F.struct("domain", "source_uri", "updated_at"))
+    found = search.governed_search(chunks, T.queries(spark, sf), RECOMMENDED_RULES)
+    return found.select("query_id", "position", "chunk_id", "metadata.domain", "metadata.source_uri", "metadata.updated_at")
+
+
+def search_refusals(spark, sf):
+    """An event for every search that was refused."""
+    events = search.search_refusals(governed_search(spark, sf), F.lit(T.AS_OF).cast("timestamp"))
+    return events.select("event_id", "event_type", "agent_id", "session_id", "query_hash", "severity", "timestamp")
+
+
 def search_audit(spark, sf):
     found = governed_search(spark, sf)
     events = search.search_audit(found, F.lit(T.AS_OF).cast("timestamp"))
@@ -320,6 +333,8 @@ QUERIES = {
         governed_search,
         governed_search_drop,
         search_audit,
+        search_metadata,
+        search_refusals,
         context_assembly,
         answer_flow,
         document_fetch,

@@ -58,12 +58,16 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "html AS text",
         f"{pick(ROLES, 'page_id')} AS agent_role",
     )
-    turns = table(spark, sf_dir, "conversations").selectExpr(
+    return documents.unionByName(pages).unionByName(turns(spark, sf_dir)).unionByName(notes(spark, sf_dir))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of conversations as texts."""
+    return table(spark, sf_dir, "conversations").selectExpr(
         "concat_ws(':', 'turn', conv_id, turn) AS text_id",
         "text",
         f"{pick(ROLES, 'conv_id')} AS agent_role",
     )
-    return documents.unionByName(pages).unionByName(turns).unionByName(notes(spark, sf_dir))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +153,8 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts: every conversation turn and every servicing note, with a session."""
     return (
-        texts(spark, sf_dir)
-        .where("text_id LIKE 'turn:%' OR text_id LIKE 'note:%'")
+        turns(spark, sf_dir)
+        .unionByName(notes(spark, sf_dir))
         .selectExpr(
             "text_id AS prompt_id",
             "text AS prompt",
