@@ -444,3 +444,5 @@ ORACLES["lineage_facets"] = f"""WITH {AUDIT}
 SELECT sha256('prompt' || chr(1) || event_id) AS run_id, pii_detected, latency_ms::BIGINT AS took, latency_ms / 8.0 AS share,
   session_id, 'BOOLEAN' AS kind FROM audit WHERE tool_name = 'search_knowledge_base'"""
 ORACLES["erasure_stored"] = ORACLES["erasure"]
+ORACLES["online_lookup"] = f"""WITH {LATEST}, asked AS (SELECT c_custkey AS request_id, {token('c_custkey')} AS entity_token FROM customer)
+SELECT request_id, feature_set, version FROM asked LEFT JOIN latest USING (entity_token)"""

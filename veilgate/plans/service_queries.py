@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgate.functions.rules import FALLBACK_RULES, RECOMMENDED_RULES
-from veilgate.operators import access, audit, corpus, features, governance, lineage, search
+from veilgate.operators import access, audit, corpus, features, governance, lineage, online, search
 from veilgate.operators import erasure as stored
 from veilgate.operators.access import DEFAULT_POLICY
 from veilgate.plans import tables as T
@@ -187,6 +189,15 @@ def latest_features(spark, sf):
     )
 
 
+def online_lookup(spark, sf):
+    """Current features of all customers by lookups in the bucketed online table."""
+    current = features.latest_features(T.feature_history(spark, sf)).select("entity_token", "feature_set", "as_of", "version")
+    name, path = f"online_{uuid.uuid4().hex}", scratch_path(spark, "online")
+    online.store(current, name, path, 16)
+    asked = customers(spark, sf).selectExpr("c_custkey AS request_id", f"{T.token_of('c_custkey')} AS entity_token")
+    return online.lookup(asked, spark.table(name)).select("request_id", "feature_set", "version")
+
+
 def stale_features(spark, sf):
     """Values that were still served at the end of 1998: 24 hours to live, 600 minutes old at most."""
     now = F.expr("TIMESTAMP '1998-12-31 08:00:00'")
@@ -589,6 +600,7 @@ QUERIES = {
         entity_history,
         latest_features,
         stale_features,
+        online_lookup,
         data_freshness,
         ml_features,
         pit_features,

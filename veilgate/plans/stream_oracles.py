@@ -66,3 +66,9 @@ WHERE coalesce(after, mark) >= as_of + INTERVAL 24 HOUR""",
 SELECT event_id, CASE WHEN substr(event_id, 5)::BIGINT % 10 = 7 THEN 'failed' ELSE 'delivered' END AS status, 1::BIGINT AS attempts
 FROM audit WHERE severity = 'CRITICAL'""",
 }
+
+#: In append mode a window is out once the watermark, an hour behind the latest event, has passed its end.
+MARK = "(SELECT max(timestamp) - INTERVAL 1 HOUR AS mark FROM (SELECT ts AS timestamp FROM events))"
+ORACLES["stream_metrics_closed"] = f"""SELECT m.* FROM ({ORACLES['stream_metrics']}) m, {MARK}
+WHERE window_start + INTERVAL 1 DAY <= mark"""
+ORACLES["stream_sessions_closed"] = f"SELECT s.* FROM ({ORACLES['stream_sessions']}) s, {MARK} WHERE ended <= mark"

@@ -80,6 +80,21 @@ def stream_sessions(spark, sf):
     return streams.run_available(grouped, scratch_path(spark, "stream-sessions"), "complete")
 
 
+def stream_metrics_closed(spark, sf):
+    """The metrics of closed days in append mode: the state holds open days only."""
+    measured = streams.metrics_per_window(
+        audit_stream(spark, sf), "timestamp", F.col("tool_name") == "search_entity_history"
+    )
+    done = streams.run_available(measured, scratch_path(spark, "stream-metrics-closed"))
+    return done.withColumns({name: F.round(name, 6) for name in ("error_rate", "pii_rate", "blocked_rate")})
+
+
+def stream_sessions_closed(spark, sf):
+    """Sessions in append mode: each is out once, when its silence has lasted long enough."""
+    grouped = streams.sessions_by_gap(audit_stream(spark, sf), "timestamp", "agent_id")
+    return streams.run_available(grouped, scratch_path(spark, "stream-sessions-closed"))
+
+
 def stream_dedup(spark, sf):
     """Every event arrives twice and is kept once."""
     twice = audit_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
@@ -163,6 +178,8 @@ QUERIES = {
         stream_late,
         stream_metrics,
         stream_sessions,
+        stream_metrics_closed,
+        stream_sessions_closed,
         stream_dedup,
         stream_latest,
         stream_audit,
