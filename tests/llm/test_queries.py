@@ -32,9 +32,11 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_one_row_per_input_row(spark, name):
     got = QUERIES[name](spark, SF)
-    key = "page_id" if "page_id" in got.columns else "doc_id"
-    table = "pages" if key == "page_id" else "documents"
+    key, table = next((k, t) for k, t in (("page_id", "pages"), ("vec_id", "embeddings"), ("doc_id", "documents")) if k in got.columns)
     rows = got.collect()
+    if "component" in got.columns:  # a row per vector and component
+        assert {r.component for r in rows} == set(range(1, 33)) and {r.identity_error < 1e-4 for r in rows} == {True}
+        rows = [r for r in rows if r.component == 1]
     assert sorted(r[key] for r in rows) == [r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).orderBy(key).collect()]
     if "decoded_sha256" in got.columns:
         texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
