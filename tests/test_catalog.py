@@ -25,7 +25,8 @@ def database():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) == set(ORACLES)
+    # an approximate search has no equal in SQL; ann_recall holds it against the exact one
+    assert set(QUERIES) - set(ORACLES) == {"ann_index_topk"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
