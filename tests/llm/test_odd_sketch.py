@@ -137,30 +137,3 @@ def test_leaders_lose_no_link(spark):
             assert (points[u] != points[v]).sum() <= limit
             label[root(u)] = root(v)
         assert {frozenset(k for k in range(len(points)) if root(k) == r) for r in map(root, range(len(points)))} == want
-
-
-def test_a_large_cloud_needs_no_tiles(spark, monkeypatch):
-    """Distances around the limit, so the triangle inequality spares nobody: the components have to."""
-    rng = np.random.default_rng(4)
-    centre = rng.integers(0, 2, 256)
-    points = []
-    for _ in range(600):
-        one = centre.copy()
-        one[rng.choice(256, int(rng.integers(2, 9)), replace=False)] ^= 1
-        points.append(one)
-    far = [rng.integers(0, 2, 256) for _ in range(5)]
-    values = [np.packbits(p).tobytes() for p in points + far]
-    members = settle(spark.createDataFrame([(1, k, 0) for k in range(len(values))], "group long, id long, size long"), "t")
-    table = settle(spark.createDataFrame(list(enumerate(values)), "id long, value binary"), "t")
-    seen = []
-    forest = M.forest
-    monkeypatch.setattr(M, "_dealt", lambda spread, real=M._dealt: seen.append(spread) or real(spread))
-    found = M.connect(members, lambda rows: rows.join(table, "id"), bytes, M.BitStrings, 10, bucket=100)
-    label = list(range(len(values)))
-    for u, v in found.collect():
-        a, b = label[u], label[v]
-        label = [b if x == a else x for x in label]
-    alike = [(i, j) for i in range(600) for j in range(i) if (points[i] != points[j]).sum() <= 10]
-    assert all(label[i] == label[j] for i, j in alike) and forest is M.forest
-    assert len(set(label[600:])) == 5 and len(seen) <= 4
-    assert seen[-1].count() < 300  # what is compared block by block in the end
