@@ -256,3 +256,14 @@ def test_rules_may_turn_audit_events_off(spark):
     arguments = ("id", "role", F.lit("c"), F.lit(None).cast("timestamp"))
     assert shield.audit_events(done, *arguments, RECOMMENDED_RULES).count() == 1
     assert shield.audit_events(done, *arguments, replace(RECOMMENDED_RULES, audit_all_events=False)).count() == 0
+
+
+def test_notes_are_made_by_all_cores(spark, tmp_path):
+    from veilgate.plans import tables
+
+    spark.range(400).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey", "'BUILDING' AS c_mktsegment").coalesce(1).write.parquet(
+        str(tmp_path / "customer.parquet")
+    )
+    notes = tables.notes(spark, str(tmp_path))
+    sizes = [r["count"] for r in notes.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and sum(sizes) == 400 and max(sizes) < 100

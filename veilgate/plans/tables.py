@@ -26,6 +26,13 @@ def pick(values: tuple[str, ...], number: str) -> str:
     return f"element_at(array({sqltext.texts(values)}), CAST(pmod({number}, {len(values)}) AS INT) + 1)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal narrow rows that grow into long texts over all cores: their file is small and would be read by one task."""
+    spark = df.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *df.columns)
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Servicing notes about customers, holding every kind of detectable identifier."""
 
@@ -41,7 +48,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 'MACHINERY' THEN concat(' acct #', {digits(12)})
         WHEN 'HOUSEHOLD' THEN concat(' ref AB-', {digits(10)}, ' ok')
         ELSE '' END)"""
-    return table(spark, sf_dir, "customer").selectExpr(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")).selectExpr(
         "concat('note:', c_custkey) AS text_id",
         f"{note} AS text",
         f"{pick(ROLES, 'c_nationkey')} AS agent_role",
