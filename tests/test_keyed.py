@@ -115,3 +115,16 @@ def test_two_sided_join_makes_each_pair_once(spark):
     right = spark.createDataFrame([("hot", i) for i in range(30)] + [("a", 7), ("b", 1), (None, 3)], "k string, y int")
     got = keyed.two_sided_join(left, right, ["k"], ["x"], ["y"]).collect()
     assert len(got) == 40 * 30 + 1 and len(set(got)) == len(got)
+
+
+def test_only_hot_keys_are_repeated(spark):
+    left = spark.createDataFrame([(i % 7 if i > 60 else 0, i) for i in range(100)] + [(None, -1)], "k int, a int")
+    right = spark.createDataFrame([(i % 9 if i < 20 else 3, i) for i in range(60)] + [(None, -1)], "k int, b int")
+    want = sorted(map(tuple, left.join(right, ["k"]).collect()))
+    for heavy, buckets in ((5, 64), (5, 1), (1000, 64), (0, 64)):
+        got = keyed.skewed_join(left, right, ["k"], ["a"], ["b"], heavy, buckets)
+        assert sorted(map(tuple, got.collect())) == want
+    unlike = right.withColumn("k", right.k.cast("long"))
+    assert sorted(map(tuple, keyed.skewed_join(left, unlike, ["k"], ["a"], ["b"], 5).collect())) == want
+    plan = keyed.skewed_join(left, right, ["k"], ["a"], ["b"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan

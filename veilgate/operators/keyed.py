@@ -94,6 +94,29 @@ def two_sided_join(
     )
 
 
+def skewed_join(
+    left: DataFrame, right: DataFrame, keys: list[str], left_spread: list[str], right_spread: list[str],
+    heavy: int = 100_000, buckets: int = 16_384,
+) -> DataFrame:
+    """Inner equi join that repeats rows only for keys that may be hot, as ``two_sided_join`` does; others are shuffled once.
+
+    Rows are counted by buckets of the keys' hash, which shuffles next to nothing: a key with more than ``heavy`` rows
+    makes its bucket heavy, and all rows of such a bucket count as hot.
+    """
+    if [left.schema[k].dataType for k in keys] != [right.schema[k].dataType for k in keys]:
+        return two_sided_join(left, right, keys, left_spread, right_spread)  # unlike types hash differently
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    hot = set()
+    for side in (left, right):
+        counts = side.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        hot |= {r[0] for r in counts.where(F.col("_n") > heavy).select("_b").collect()}
+    if not hot:
+        return left.join(right, keys)
+    is_hot = bucket.isin(*sorted(hot))
+    spread = two_sided_join(left.where(is_hot), right.where(is_hot), keys, left_spread, right_spread)
+    return left.where(~is_hot).join(right.where(~is_hot), keys).unionByName(spread)
+
+
 def lookup_join(
     large: DataFrame,
     small: DataFrame,
@@ -246,22 +269,24 @@ def exact_quantiles(
 
 
 def balanced_join(
-    large: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", heavy: int = 100_000
+    large: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", heavy: int = 100_000, hot: DataFrame | None = None
 ) -> DataFrame:
     """Equi join that treats heavy keys apart; ``small`` must hold at most one row per key.
 
     Keys with more than ``heavy`` rows are few by construction; their rows meet a broadcast of
     just those keys, all others are joined by shuffle. Falls back to a salted join in the odd
-    case that even the heavy keys are many.
+    case that even the heavy keys are many. A caller that knows the heavy keys gives them as ``hot``:
+    then neither side is read to count or measure it.
     """
-    if is_small(small):
+    if hot is None and is_small(small):
         return large.join(F.broadcast(small), keys, how)
-    hot = (
-        large.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > heavy)
-        .select(*keys)
-    )
+    if hot is None:
+        hot = (
+            large.groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .where(F.col("_n") > heavy)
+            .select(*keys)
+        )
     if not is_small(hot):
         return salted_join(large, small, keys, how)
     if hot.isEmpty():

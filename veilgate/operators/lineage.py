@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilgate.functions.ids import stable_id
-from veilgate.operators.keyed import is_small, lookup_join, two_sided_join
+from veilgate.operators.keyed import is_small, lookup_join, skewed_join, two_sided_join
 from veilgate.session import settle
 
 NAMESPACE = "veilgate"
@@ -159,24 +159,31 @@ def reachable(
     """(start, node, hops) for every node within ``depth`` hops, with its smallest distance.
 
     ``starts`` has one column ``start``. Each hop joins the new frontier with the edges and drops
-    nodes already reached, so cycles end and no path is walked twice. Hops are settled.
+    nodes already reached, so cycles end and no path is walked twice. Links, starts and hops are settled.
+
+    Where a frontier stands on few nodes, only their links and what was reached at the ends of these take part, and
+    are broadcast; otherwise rows are shuffled once, save those of hot nodes.
     """
     near, far = ("dst", "src") if direction == "upstream" else ("src", "dst")
-    links = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct()
-    first = starts.select("start").distinct()
+    links = settle(edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct(), "links")
+    first = settle(starts.select("start").distinct(), "starts")
     reached = first.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"))
     frontier = reached
     for hop in range(1, depth + 1):
-        current = frontier.select("start", "node")
+        current, known = frontier.select("start", "node"), reached.select("start", "node")
+        nodes = current.select("node").distinct()
         if is_small(current):
             joined = links.join(F.broadcast(current), "node")
+        elif is_small(nodes) and is_small(used := links.join(F.broadcast(nodes), "node", "left_semi")):
+            joined = current.join(F.broadcast(used), "node")
+            known = known.join(F.broadcast(used.select(F.col("next").alias("node")).distinct()), "node", "left_semi")
         else:
             # upstream the frontier is the hot side (many starts at one node), downstream the links are
-            joined = two_sided_join(links, current, ["node"], ["next"], ["start"])
+            joined = skewed_join(links, current, ["node"], ["next"], ["start"])
         step = (
             joined.select("start", F.col("next").alias("node"))
             .distinct()
-            .join(reached.select("start", "node"), ["start", "node"], "left_anti")
+            .join(known.select("start", "node"), ["start", "node"], "left_anti")
             .withColumn("hops", F.lit(hop))
         )
         frontier = settle(step, "hop")
