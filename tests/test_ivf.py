@@ -65,3 +65,34 @@ def test_few_or_no_vectors(spark):
     asked = spark.createDataFrame([("q", [1.0, 0.0, 2.0], "all", None)], ASKED)
     assert [(r.chunk_id, r.dense, r.position) for r in ivf.search(spark, folder, asked, 5).collect()] == [("a", 1.0, 1), ("b", 0.0, 2)]
     assert ivf.search(spark, folder, asked.limit(0), 5).count() == 0
+
+
+def test_likenesses_held_at_a_time_do_not_grow_with_lists_or_batches():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    unit = lambda *shape: (lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True))(rng.normal(size=shape))
+    model = ivf.Model(unit(4000, 8), unit(2, 256, 4) / 9, 2, 1, 3)
+    vectors, queries, n = unit(10_000, 8), unit(900, 8), 10_000
+    codes = model.codes(vectors, np.zeros(n, int))
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([str(i) for i in range(n)]),
+         pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(["en"] * n), pa.array([None] * n, pa.timestamp("us", "UTC"))],
+        names=["list", "home", "chunk_id", "code", "domain", "updated_at"],
+    )
+    none, names = np.full(900, "NaT", "datetime64[ns]"), np.array([str(i) for i in range(900)], dtype=object)
+    tracemalloc.start()
+    nearest = model.nearest(vectors, 2)
+    first = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    found = pa.Table.from_batches(ivf._best_by_codes(iter([rows]), queries, {0: np.arange(900)}, np.array(["all"] * 900, dtype=object), none, names, model))
+    second = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first < 100e6 and second < 150e6  # a whole table has 320 and 72 MB, and there were several
+    assert (nearest == np.argsort(-(vectors @ model.centroids.T), axis=1, kind="stable")[:, :2]).all()
+    likeness = model.likeness(queries, model.tables(queries), 0, codes)
+    got = found.to_pandas().groupby("query_id")["likeness"].apply(sorted)
+    for i in (0, 1, 899):
+        assert np.allclose(got[str(i)], np.sort(likeness[i])[-3:])

@@ -236,3 +236,33 @@ def test_every_call_has_a_row(spark):
     empty = [r for r in found if r.query_id == "q1"]
     assert [(r.status, r.total_found, r.returned, r.position, r.chunk_id) for r in empty] == [("ok", 0, 0, 0, None)]
     assert sum(r.query_id == "q0" for r in found) == 2
+
+
+def test_scores_held_at_a_time_do_not_grow_with_the_block():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from veilgate.operators import dense
+
+    rng = np.random.default_rng(3)
+    asked, given = rng.normal(size=(1500, 8)), rng.normal(size=(20_000, 8))
+    queries = pd.DataFrame({"query_id": [str(i) for i in range(1500)], "query_vector": list(asked), "domain": "all", "cutoff": pd.NaT, "marks": None})
+    queries.at[3, "marks"] = [0.5]
+    block = pd.DataFrame({"chunk_id": [f"{i:05}" for i in range(20_000)], "embedding": list(given), "domain": "en", "updated_at": pd.NaT})
+    top = dense.BlockTop(queries, 5)
+    tracemalloc.start()
+    top.add(block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # one table of scores alone has 240 MB
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    rows = top.rows()
+    for i in (0, 3, 1499):
+        scores = np.round(unit(given) @ unit(asked)[i], dense.DIGITS) + 0.0
+        want = [f"{x:05}" for x in np.lexsort((np.arange(20_000), -scores))[:5]]
+        mine = rows[rows.query_id == str(i)]
+        assert mine.chunk_id.dropna().tolist() == want
+        counts = mine[mine.chunk_id.isna()]
+        assert dict(zip(counts.dense, counts.n, strict=True)) == {-2.0: 20_000} | ({0.5: int((scores > 0.5).sum())} if i == 3 else {})

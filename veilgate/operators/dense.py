@@ -20,6 +20,8 @@ PACKED_QUERIES = 4_096
 TILE_CHUNKS = 50_000
 DIGITS = 6
 EVERYTHING = -2.0
+#: Scores that a task holds at a time.
+CELLS = 4_000_000
 
 HITS = "query_id string, chunk_id string, dense double, n long, cut_ties long"
 
@@ -41,15 +43,29 @@ class BlockTop:
         self.above = [np.zeros(len(m) + 1, dtype="int64") for m in self.marks]
         self.depth = depth
         self.best = [(np.empty(0), np.empty(0, dtype=object), 0) for _ in self.ids]
+        # what a score has to reach: the last one kept of a query that has ``depth`` of them
+        self.floor = np.full(len(self.ids), -np.inf)
+        self.open = np.ones(len(self.ids), bool)
+        self.plain = np.array([len(m) == 1 for m in self.marks], bool)
 
     def add(self, block: pd.DataFrame) -> None:
+        """Take in a block, a slice at a time, so that the scores in memory do not grow with it."""
+        step = max(1, CELLS // max(1, len(self.ids)))
+        for start in range(0, len(block), step):
+            self._add(block.iloc[start : start + step])
+
+    def _add(self, block: pd.DataFrame) -> None:
         vectors = np.array(block["embedding"].tolist(), dtype="float64")
         lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
         vectors = np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
-        scores = np.round(self.matrix @ vectors.T, DIGITS) + 0.0
+        scores = self.matrix @ vectors.T
+        np.round(scores, DIGITS, out=scores)
+        scores += 0.0
         names = block["chunk_id"].to_numpy(dtype=object)
         domains = block["domain"].to_numpy(dtype=object)
         updated = pd.to_datetime(block["updated_at"]).to_numpy()
+        # a query without marks of its own that no score of the slice reaches only counts the rows it may see
+        reached = self.open | (scores >= self.floor[:, None]).any(axis=1)
         masks: dict = {}
         for i, wanted in enumerate(self.domains):
             key = (wanted, self.cutoffs[i])
@@ -57,16 +73,19 @@ class BlockTop:
                 allowed = np.ones(len(names), bool) if wanted == "all" else domains == wanted
                 if not np.isnat(self.cutoffs[i]):
                     allowed = allowed & (updated >= self.cutoffs[i])
-                masks[key] = allowed
-            self._merge(i, scores[i][masks[key]], names[masks[key]])
+                masks[key] = (allowed, int(allowed.sum()))
+            allowed, n = masks[key]
+            if self.plain[i]:
+                self.above[i][1] += n
+            if n and (reached[i] or not self.plain[i]):
+                self._merge(i, scores[i][allowed], names[allowed])
 
     def _merge(self, i: int, scores: np.ndarray, names: np.ndarray) -> None:
-        if not len(scores):
-            return
-        marks = self.marks[i]
-        self.above[i] += np.bincount(
-            np.searchsorted(marks, scores, side="left"), minlength=len(marks) + 1
-        )
+        if not self.plain[i]:
+            marks = self.marks[i]
+            self.above[i] += np.bincount(
+                np.searchsorted(marks, scores, side="left"), minlength=len(marks) + 1
+            )
         kept_scores, kept_names, cut = self.best[i]
         full = len(kept_scores) == self.depth
         if full:
@@ -84,6 +103,8 @@ class BlockTop:
         same_floor = full and floor == kept_scores[-1]
         cut = (cut if same_floor else 0) + int((all_scores[rest] == floor).sum())
         self.best[i] = (new_scores, all_names[chosen], cut)
+        if len(new_scores) == self.depth:
+            self.floor[i], self.open[i] = floor, False
 
     def rows(self) -> pd.DataFrame:
         query, chunk, dense, count, ties = [], [], [], [], []

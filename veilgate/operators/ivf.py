@@ -26,6 +26,8 @@ from veilgate.session import settle
 SAMPLE_ROWS, TRIAL_QUERIES = 20_000, 200
 #: Queries answered by one scan of their lists.
 BATCH_QUERIES = 1024
+#: Likenesses that a task holds at a time.
+CELLS = 1_000_000
 #: Bytes of a code book entry number.
 CODES = 256
 DIGITS = 6
@@ -54,11 +56,15 @@ class Model:
         return np.pad(unit, ((0, 0), (0, self.width - unit.shape[1])))
 
     def nearest(self, unit: np.ndarray, n: int) -> np.ndarray:
-        """The n nearest lists of each vector, nearest first."""
-        likeness = unit @ self.centroids.T
-        n = min(n, likeness.shape[1])
-        some = np.argpartition(-likeness, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(some, np.argsort(-np.take_along_axis(likeness, some, 1), axis=1, kind="stable"), 1)
+        """The n nearest lists of each vector, nearest first; a slice of the vectors at a time, as there are many lists."""
+        n, step = min(n, len(self.centroids)), max(1, CELLS // len(self.centroids))
+        found = np.empty((len(unit), n), np.int64)
+        for start in range(0, len(unit), step):
+            likeness = unit[start : start + step] @ self.centroids.T
+            some = np.argpartition(-likeness, n - 1, axis=1)[:, :n]
+            order = np.argsort(-np.take_along_axis(likeness, some, 1), axis=1, kind="stable")
+            found[start : start + step] = np.take_along_axis(some, order, 1)
+        return found
 
     def codes(self, unit: np.ndarray, lists: np.ndarray) -> np.ndarray:
         """One byte per subspace for what the centroid of ``lists`` leaves of each vector."""
@@ -256,37 +262,46 @@ def candidates(index: DataFrame, asked: pd.DataFrame, model: Model) -> DataFrame
     shared = index.sparkSession.sparkContext.broadcast((vectors, of_list, domains, cutoffs, names, model))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, of_list, domains, cutoffs, names, model = shared.value
-        best, tables = _Best(len(names), model.depth), model.tables(vectors)
-        for rows in batches:
-            lists = rows.column(0).to_numpy()
-            home, chunk = rows.column(1).to_numpy(), np.array(rows.column(2).to_pylist(), dtype=object)
-            codes = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-            domain = rows.column(4).to_numpy(zero_copy_only=False)
-            updated = pd.to_datetime(rows.column(5).to_pandas()).dt.tz_localize(None).to_numpy()
-            for which in np.unique(lists).tolist():
-                mine, queries = np.flatnonzero(lists == which), of_list.get(which, [])
-                if not len(queries):
-                    continue
-                scores = model.likeness(vectors[queries], tables[queries], which, codes[mine])
-                # queries that share a filter are masked together
-                groups = pd.Series(range(len(queries))).groupby([domains[queries], pd.Series(cutoffs[queries]).astype("int64").to_numpy()], dropna=False)
-                for (wanted, _), members in groups:
-                    at = members.to_numpy()
+        return _best_by_codes(batches, *shared.value)
+
+    rows = index.where(F.col("list").isin(*wanted)).select("list", "home", "chunk_id", "code", "domain", "updated_at")
+    return rows.mapInArrow(each, CANDIDATES)
+
+
+def _best_by_codes(
+    batches: Iterator[pa.RecordBatch], vectors: np.ndarray, of_list: dict, domains: np.ndarray, cutoffs: np.ndarray, names: np.ndarray, model: Model
+) -> Iterator[pa.RecordBatch]:
+    """The best ``depth`` rows of each query; rows of a list meet its queries a slice at a time, however long the list."""
+    best, tables = _Best(len(names), model.depth), model.tables(vectors)
+    for rows in batches:
+        lists = rows.column(0).to_numpy()
+        home, chunk = rows.column(1).to_numpy(), np.array(rows.column(2).to_pylist(), dtype=object)
+        codes = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        domain = rows.column(4).to_numpy(zero_copy_only=False)
+        updated = pd.to_datetime(rows.column(5).to_pandas()).dt.tz_localize(None).to_numpy()
+        for which in np.unique(lists).tolist():
+            every, queries = np.flatnonzero(lists == which), of_list.get(which, [])
+            if not len(queries):
+                continue
+            # queries that share a filter are masked together
+            groups = pd.Series(range(len(queries))).groupby([domains[queries], pd.Series(cutoffs[queries]).astype("int64").to_numpy()], dropna=False)
+            members = [(wanted, at.to_numpy()) for (wanted, _), at in groups]
+            asked, looked_up, step = vectors[queries], tables[queries], max(1, CELLS // len(queries))
+            for start in range(0, len(every), step):
+                mine = every[start : start + step]
+                scores = model.likeness(asked, looked_up, which, codes[mine])
+                for wanted, at in members:
                     seen = np.ones(len(mine), bool) if wanted == "all" else domain[mine] == wanted
                     since = cutoffs[queries][at[0]]
                     if not np.isnat(since):
                         seen = seen & (updated[mine] >= since)
                     best.add(queries[at], scores[at][:, seen], chunk[mine][seen], home[mine][seen])
-        best.prune()
-        for query, row, home, score in zip(best.query, best.row, best.home, best.score, strict=True):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[query], pa.string()), pa.array(row, pa.string()), pa.array(home, pa.int32()), pa.array(score.astype(float))],
-                names=["query_id", "chunk_id", "home", "likeness"],
-            )
-
-    rows = index.where(F.col("list").isin(*wanted)).select("list", "home", "chunk_id", "code", "domain", "updated_at")
-    return rows.mapInArrow(each, CANDIDATES)
+    best.prune()
+    for query, row, home, score in zip(best.query, best.row, best.home, best.score, strict=True):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[query], pa.string()), pa.array(row, pa.string()), pa.array(home, pa.int32()), pa.array(score.astype(float))],
+            names=["query_id", "chunk_id", "home", "likeness"],
+        )
 
 
 def search(spark: SparkSession, folder: str, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
