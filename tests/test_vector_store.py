@@ -38,3 +38,34 @@ def test_wrong_width_stores_nothing(spark, tmp_path):
         V.embed_stored(rows, "text", embed(0), folder, "m", 9)
     assert V.stored(spark, folder).count() == 0
     assert V.embed_stored(rows.limit(0), "text", embed(0), folder, "m", 8)[1] == 0
+
+
+def test_a_key_is_evaluated_once_per_vector(spark):
+    known = {tuple(r.v) for r in spark.createDataFrame([("a",), ("b",)], "k string").select(pseudo_components(F.col("k"), 64).alias("v")).collect()}
+    either = F.when(F.rand(1) < 0.5, "a").otherwise("b")  # another value each time it is evaluated
+    got = {tuple(r.v) for r in spark.range(64).select(pseudo_components(either, 64).alias("v")).collect()}
+    assert got == known
+
+
+def test_components_are_the_digits_of_the_digests(spark):
+    import hashlib
+
+    row = spark.createDataFrame([("k", None)], "a string, b string").select(pseudo_components(F.col("a"), 20).alias("a"), pseudo_components(F.col("b"), 20).alias("b")).first()
+    digits = "".join(hashlib.sha256(f"k:{i}".encode()).hexdigest() for i in range(2))
+    assert row.a == [int(digits[4 * i : 4 * i + 4], 16) / 32768 - 1 for i in range(20)] and row.b == [None] * 20
+
+
+def test_copies_of_a_heavy_text_are_joined_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "HEAVY", 2)
+    rows = spark.createDataFrame([(i, "same" if i < 5 else f"t{i}" if i < 8 else None) for i in range(9)], "id int, text string")
+    found, new = V.embed_stored(rows, "text", embed(0), str(tmp_path / "store"), "m", 8)
+    got = {r.id: r.embedding for r in found.collect()}
+    assert new == 4 and len(got) == 9 and len({tuple(got[i]) for i in range(5)}) == 1 and got[8] is None
+    assert len({tuple(got[i]) for i in range(4, 8)}) == 4
+
+
+def test_a_wrong_width_is_a_value_error_and_commits_no_file(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "id int, text string")
+    with pytest.raises(ValueError, match="expected 9, got 8"):
+        V.embed_stored(rows, "text", embed(0), str(tmp_path / "store"), "m", 9)
+    assert not list(tmp_path.rglob("*.parquet"))

@@ -48,16 +48,22 @@ def has_dimension(vector: Column, dimension: int) -> Column:
 def pseudo_components(key: Column, dimension: int) -> Column:
     """Reproducible numbers in [-1, 1) from a text key, one 4-digit hex group per component.
 
-    Stands in for a model where none is attached: equal texts get equal vectors.
+    Stands in for a model where none is attached: equal texts get equal vectors. The key is evaluated once
+    (as the one element of an array), not once per block, and a digest is read as four numbers of 64 bits.
     """
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.lit((dimension + 15) // 16 - 1)), lambda i: F.sha2(F.concat(key, F.lit(":"), i.cast("string")), 256)
-    )
-    numbers = F.transform(
-        blocks,
-        lambda digest: F.transform(
-            F.sequence(F.lit(1), F.lit(61), F.lit(4)),
-            lambda at: F.conv(F.substr(digest, at, F.lit(4)), 16, 10).cast("double") / 32768.0 - 1.0,
-        ),
-    )
-    return F.slice(F.flatten(numbers), 1, dimension)
+
+    def components(known: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.lit((dimension + 15) // 16 - 1)), lambda i: F.sha2(F.concat(known, F.lit(":"), i.cast("string")), 256)
+        )
+        starts = F.array(*[F.lit(at) for at in (1, 17, 33, 49)])
+        wide = F.transform(
+            blocks, lambda digest: F.transform(starts, lambda at: F.conv(F.substr(digest, at, F.lit(16)), 16, -10).cast("long"))
+        )
+        numbers = F.transform(
+            F.flatten(wide),
+            lambda w: F.array(*[F.shiftrightunsigned(w, n).bitwiseAND(F.lit(65535)) / 32768.0 - 1.0 for n in (48, 32, 16, 0)]),
+        )
+        return F.slice(F.flatten(numbers), 1, dimension)
+
+    return F.element_at(F.transform(F.array(key), components), 1)

@@ -1,12 +1,13 @@
 """Embeddings that are computed once: a content-addressed store of vectors by model and text key.
 
 The store has a folder per model and, below it, one per first digit of the key. A run takes the distinct keys of its
-texts, drops those that an anti join with the keys of the store finds (the vectors are not read for that), embeds the
-rest, adds it, and joins the vectors to all copies of their texts.
+texts, drops those that an anti join with the keys of the store finds (neither texts nor vectors are shuffled for that),
+embeds the rest, adds it, and joins the vectors to all copies of their texts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,9 @@ from veilgate.operators.keyed import balanced_join
 from veilgate.session import settle
 from veilgate.sources.sinks import exists
 
+#: Rows from which the copies of one text are joined apart.
+HEAVY = 100_000
+MISMATCH = "embedding dimension mismatch"
 STORED = "key string, dimension int, embedding array<float>, model string, part string"
 
 
@@ -49,18 +53,35 @@ def embed_stored(
     """
     spark = df.sparkSession
     keyed = df.withColumn("_key", embedding_key(F.col(text)))
-    distinct = keyed.where(F.col("_key").isNotNull()).groupBy(F.col("_key").alias("key")).agg(F.min(text).alias("_text"))
-    made = missing(distinct, folder, model).select("key", embed(F.col("_text")).cast("array<float>").alias("embedding"))
-    # written before it is checked, so a text is embedded once
-    new = settle(made.select("key", F.lit(dimension).alias("dimension"), "embedding", F.lit(model).alias("model"), _part().alias("part")), "embedded")
-    wrong = new.where(~F.size("embedding").eqNullSafe(dimension)).select(F.size("embedding").alias("n")).first()
-    if wrong:
-        raise ValueError(f"embedding dimension mismatch: expected {dimension}, got {wrong.n}")
-    count = new.count()
+    known = keyed.where(F.col("_key").isNotNull()).groupBy(F.col("_key").alias("key"))
+    keys = settle(known.agg(F.count(F.lit(1)).alias("rows")), "keys")
+    hot = keys.where(F.col("rows") > HEAVY).select(F.col("key").alias("_key"))
+    lacking = settle(missing(keys.select("key"), folder, model), "lacking")
+    count = lacking.count()
     if count:
-        new.write.mode("append").partitionBy("model", "part").parquet(folder)
+        _add(known.agg(F.min(text).alias("_text")).join(lacking, "key", "left_semi"), embed, folder, model, dimension)
     vectors = stored(spark, folder, model).select(F.col("key").alias("_key"), F.col("embedding").alias(out))
-    return balanced_join(keyed.drop(out), vectors, ["_key"], "left").drop("_key"), count
+    return balanced_join(keyed.drop(out), vectors, ["_key"], "left", hot=hot).drop("_key"), count
+
+
+def _add(texts: DataFrame, embed: Callable[[Column], Column], folder: str, model: str, dimension: int) -> None:
+    """Embed ``texts(key, _text)`` and add their vectors to the store; one of a wrong length fails the job, which then commits nothing."""
+    wrong = F.lit(f"{MISMATCH}: expected {dimension}, got ")
+
+    def checked(vector: Column) -> Column:
+        n = F.size(vector)
+        error = F.raise_error(F.concat(wrong, F.coalesce(n.cast("string"), F.lit("none")))).cast("array<float>")
+        return F.when(n.eqNullSafe(dimension), vector).otherwise(error)
+
+    vector = F.element_at(F.transform(F.array(embed(F.col("_text")).cast("array<float>")), checked), 1)  # embedded once, as the one element
+    made = texts.select("key", F.lit(dimension).alias("dimension"), vector.alias("embedding"), F.lit(model).alias("model"), _part().alias("part"))
+    try:
+        made.write.mode("append").partitionBy("model", "part").parquet(folder)
+    except Exception as failed:
+        found = re.search(rf"{MISMATCH}: expected \d+, got \S+?\b", str(failed))
+        if found:
+            raise ValueError(found[0]) from failed
+        raise
 
 
 def outdated(keys: DataFrame, folder: str, model: str) -> DataFrame:
