@@ -75,6 +75,24 @@ def test_a_dense_hot_key_is_spread_over_ranges(spark, monkeypatch):
     assert len(sizes) == 8 and max(sizes) < 1500
 
 
+def test_only_hot_keys_are_dealt_by_ranges(spark, monkeypatch):
+    rng = random.Random(4)
+    dealt = []
+    monkeypatch.setattr(keyed, "settle", lambda df, name="": dealt.append(settle(df, name)) or dealt[-1])
+    for hot in (0, 600):
+        names = [f"k{i % 90}" for i in range(900)] + ["hot"] * hot
+        history = [(k, t, i) for i, (k, t) in enumerate(zip(names, times(rng, len(names)), strict=True))]
+        asked = [(k, t, i) for i, (k, t) in enumerate(zip([*names, "none"], times(rng, len(names) + 1), strict=True))]
+        h = spark.createDataFrame(history, "k string, ht timestamp, v long")
+        r = spark.createDataFrame(asked, "k string, rt timestamp, id long")
+        got = keyed.asof_join(r, h, ["k"], "rt", "ht", "v", None, 100).collect()
+        assert sorted(row.id for row in got) == list(range(len(asked)))
+        for row in got:
+            past = [(t, v) for k, t, v in history if k == row.k and t <= row.rt]
+            assert row.v == (max(past)[1] if past else None)
+        assert {row.k for df in dealt for row in df.select("k").distinct().collect()} == ({"hot"} if hot else set())
+
+
 def test_quantiles_by_selection_equal_sorting(spark):
     rng = random.Random(8)
     rows = [("hot", rng.choice([rng.gauss(0, 1), 0.5, 1e9])) for _ in range(3000)]

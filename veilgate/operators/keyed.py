@@ -179,13 +179,15 @@ def asof_join(
     history_time: str,
     tie_break: str,
     ranges: int | None = None,
+    heavy: int = 100_000,
+    buckets: int = 16_384,
 ) -> DataFrame:
     """For every request the newest history row at or before its time (null when there is none).
 
-    Both sides are dealt together by ranges of (key, time) whose borders follow the data, so a key is spread over
-    as many tasks as its rows need, however close in time they are; rows of one key and moment stay together. Requests look
-    inside their own range with a window, and fall back to the last row of the closest earlier range, which is
-    carried over on a table of one row per (key, range). ``ranges`` defaults to the session's shuffle partitions.
+    Both sides are shuffled together by key, once, and requests look back with a window. Rows are counted by buckets of
+    the keys' hash before: all keys of a bucket with more rows than a range's share are dealt by ranges of time instead
+    (``_asof_by_ranges``), so no key has to fit into a task. Both sides are read twice, so settle what is costly to make.
+    ``ranges`` defaults to the session's shuffle partitions; then a bucket of up to ``heavy`` rows is never dealt by ranges.
     """
     payload = [c for c in history.columns if c not in keys]
     past = history.select(
@@ -202,8 +204,47 @@ def asof_join(
         F.struct(*request_columns).alias("_request"),
     )
     n = ranges or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = past.unionByName(asked, allowMissingColumns=True).repartitionByRange(n, *keys, "_t")
-    both = settle(together.withColumn("_b", F.spark_partition_id()), "as-of")
+    together = past.unionByName(asked, allowMissingColumns=True)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    counts = together.groupBy(bucket.alias("_h")).agg(F.count(F.lit(1)).alias("_n")).collect()
+    share = max(sum(r["_n"] for r in counts) / n, 0 if ranges else heavy)
+    hot = sorted(r["_h"] for r in counts if r["_n"] > share)
+    if not hot:
+        found = _last_before(together, keys, tie_break)
+    else:
+        is_hot = bucket.isin(*hot)
+        found = _last_before(together.where(~is_hot), keys, tie_break).unionByName(
+            _asof_by_ranges(together.where(is_hot), keys, tie_break, n)
+        )
+    return found.select(
+        *keys,
+        *[F.col(f"_request.{c}").alias(c) for c in request_columns],
+        *[F.col(f"_found.{c}").alias(c) for c in payload],
+    )
+
+
+def _last_before(both: DataFrame, groups: list[str], tie_break: str) -> DataFrame:
+    """The requests with the last history row of their group (``_found``) up to their time."""
+    seen = (
+        Window.partitionBy(*groups)
+        .orderBy("_t", "_kind", F.asc_nulls_last("_order"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    ordered = both.withColumn("_order", F.col(f"_hit.{tie_break}"))
+    found = ordered.withColumn("_found", F.last("_hit", ignorenulls=True).over(seen)).where(F.col("_kind") == 1)
+    return found.select(*groups, "_request", "_found")
+
+
+def _asof_by_ranges(together: DataFrame, keys: list[str], tie_break: str, ranges: int) -> DataFrame:
+    """As ``_last_before``, for keys with more rows than a task should hold.
+
+    Rows are dealt by ranges of (key, time) whose borders follow the data, so a key is spread over as many tasks as its
+    rows need, however close in time they are; rows of one key and moment stay together. Requests look
+    inside their own range with a window, and fall back to the last row of the closest earlier range, which is
+    carried over on a table of one row per (key, range).
+    """
+    dealt = together.repartitionByRange(ranges, *keys, "_t")
+    both = settle(dealt.withColumn("_b", F.spark_partition_id()), "as-of")
     last_of_bucket = both.where("_kind = 0").groupBy(*keys, "_b").agg(
         F.max_by("_hit", F.struct("_t", f"_hit.{tie_break}")).alias("_last")
     )
@@ -217,22 +258,10 @@ def asof_join(
     carried = marks.select(
         *keys, "_b", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
     )
-    seen = (
-        Window.partitionBy(*keys, "_b")
-        .orderBy("_t", "_kind", F.asc_nulls_last("_order"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ordered = both.withColumn("_order", F.col(f"_hit.{tie_break}"))
-    found = (
-        ordered.withColumn("_inside", F.last("_hit", ignorenulls=True).over(seen))
-        .where(F.col("_kind") == 1)
+    return (
+        _last_before(both, [*keys, "_b"], tie_break)
         .join(carried, [*keys, "_b"], "left")
-        .withColumn("_found", F.coalesce(F.col("_inside"), F.col("_carried")))
-    )
-    return found.select(
-        *keys,
-        *[F.col(f"_request.{c}").alias(c) for c in request_columns],
-        *[F.col(f"_found.{c}").alias(c) for c in payload],
+        .select(*keys, "_request", F.coalesce("_found", "_carried").alias("_found"))
     )
 
 

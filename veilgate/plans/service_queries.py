@@ -12,7 +12,7 @@ from veilgate.operators import access, audit, corpus, features, governance, line
 from veilgate.operators import erasure as stored
 from veilgate.operators.access import DEFAULT_POLICY
 from veilgate.plans import tables as T
-from veilgate.session import scratch_path
+from veilgate.session import scratch_path, settle
 from veilgate.sources import sinks
 
 NOW = f"TIMESTAMP '{T.AS_OF}'"
@@ -250,7 +250,7 @@ def pit_features(spark, sf):
             "l_partkey",
         )
     )
-    found = features.point_in_time(requests, T.feature_history(spark, sf))
+    found = features.point_in_time(settle(requests, "asked"), T.feature_history(spark, sf))
     return found.select(
         "l_orderkey",
         "l_linenumber",
