@@ -267,3 +267,39 @@ def test_notes_are_made_by_all_cores(spark, tmp_path):
     notes = tables.notes(spark, str(tmp_path))
     sizes = [r["count"] for r in notes.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(sizes) >= spark.sparkContext.defaultParallelism and sum(sizes) == 400 and max(sizes) < 100
+
+
+def test_a_single_match_is_placed_without_splitting(spark):
+    """Its offset counts characters, and is left to the split where its characters occur elsewhere too."""
+    ssn = r"\b\d{3}-\d{2}-\d{4}\b"
+    texts = {
+        "\U0001f600\U0001f600 é 123-45-6789 end": 5,
+        "123-45-6789": 0,
+        "x123-45-6789 then 123-45-6789": None,
+        "123-45-6789 then 987-65-4321": None,
+        "no number": None,
+        None: None,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", f"regexp_extract_all(text, r'(?U){ssn}', 0) AS m")
+    found = rows.select("text", F.expr(shield._start_of_only("text", "m")).alias("at")).collect()
+    assert {r["text"]: r["at"] for r in found} == texts
+    spans = shield.detect(rows, "text", RULES).collect()
+    assert {r["text"]: [(s["start"], s["end"]) for s in r["spans"]] for r in spans} == {
+        "\U0001f600\U0001f600 é 123-45-6789 end": [(5, 16)],
+        "123-45-6789": [(0, 11)],
+        "x123-45-6789 then 123-45-6789": [(18, 29)],
+        "123-45-6789 then 987-65-4321": [(17, 28), (0, 11)],
+        "no number": [],
+        None: [],
+    }
+
+
+def test_few_and_many_spans_are_chosen_alike(spark):
+    """Overlapping spans of one text, then the same behind more spans than are compared all with all."""
+    mixed = "card 4532 0151 1283 0366 acct #123456789012 ENT-1234567890 415-555-1234 "
+    tail = "123-45-6789 " * (shield.FEW + 1)
+    all_masked = RuleSet(tuple(EntityRule(r.entity_type, "mask", 0.5) for r in RECOGNISERS))
+    few, many = run(spark, [mixed, mixed + tail], all_masked)
+    here = lambda row: [(d["entity_type"], d["start"], d["end"]) for d in row["detections"] if d["start"] < len(mixed)]
+    assert len(here(few)) == 4 and here(few) == here(many)
+    assert len(many["detections"]) == 4 + shield.FEW + 1

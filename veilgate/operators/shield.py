@@ -44,11 +44,18 @@ def _span(entity: str, start: str, end: str, score: str, order: int, original: s
     )
 
 
-def _located(text: str, matches: str, recogniser: Recogniser, order: int) -> str:
+def _start_of_only(text: str, matches: str) -> str:
+    """SQL text of where a pattern's only match starts; null if there are more, or if its characters occur elsewhere too."""
+    hit = f"get({matches}, 0)"
+    first = f"locate({hit}, {text})"
+    return f"CASE WHEN size({matches}) = 1 AND locate({hit}, {text}, {first} + 1) = 0 THEN {first} - 1 END"
+
+
+def _located(text: str, matches: str, only: str, recogniser: Recogniser, order: int) -> str:
     """SQL text turning the matches of one pattern into spans.
 
     Splitting by the same pattern yields the text between the matches, so running lengths give
-    the offsets.
+    the offsets. Most texts have one match at most; where ``only`` knows its offset, no split or fold is needed.
     """
     span = _span(
         sqltext.text(recogniser.entity_type),
@@ -68,7 +75,14 @@ def _located(text: str, matches: str, recogniser: Recogniser, order: int) -> str
         f"'out', concat(run.out, array({span})))"
     )
     found = sqltext.gather("steps", "0", SPAN, step, "flatten(whole.parts)", BLOCK)
-    return f"CASE WHEN size({matches}) > 0 THEN {sqltext.let(steps, 'steps', found)} ELSE {NO_SPANS} END"
+    hit = f"get({matches}, 0)"
+    single = _span(
+        sqltext.text(recogniser.entity_type), only, f"{only} + length({hit})", f"{recogniser.score!r}D", order, hit
+    )
+    return (
+        f"CASE WHEN {only} IS NOT NULL THEN array({single}) "
+        f"WHEN size({matches}) > 0 THEN {sqltext.let(steps, 'steps', found)} ELSE {NO_SPANS} END"
+    )
 
 
 def _gated(text: str, recogniser: Recogniser) -> str:
@@ -92,12 +106,13 @@ def _adopted(found: str, rules: RuleSet, order: int) -> str:
     return f"coalesce(transform({passing}, d -> {span}), {NO_SPANS})"
 
 
-# Greedy choice: widest first, then higher score, then detection order. Only spans of one run of
-# touching spans are compared with each other; runs are cut where a span starts behind all ends.
+# Greedy choice: widest first, then higher score, then detection order. Above FEW spans only those of one run
+# of touching spans are compared with each other; runs are cut where a span starts behind all ends.
+FEW = 16
 _GREEDY = f"""
-aggregate(array_sort(r), {NO_SPANS},
+aggregate(array_sort({{spans}}), {NO_SPANS},
   (kept, c) -> CASE WHEN exists(kept, k -> k.start < c.end AND k.end > c.start) THEN kept
-    ELSE concat(kept, array(c)) END)"""
+    ELSE concat(kept, array(c)) END)""".format
 _NEXT_RUN = """
 CASE WHEN x.start < run.state.end
   THEN named_struct('state', named_struct(
@@ -112,10 +127,11 @@ _RUNS = sqltext.gather(
     "concat(flatten(whole.parts), array(whole.state.spans))",
     BLOCK,
 )
-ORDERED = "array_sort(_every, (a, b) -> a.start - b.start)"
+ORDERED = f"CASE WHEN size(_every) > {FEW} THEN array_sort(_every, (a, b) -> a.start - b.start) END"
 WITHOUT_OVERLAPS = f"""
 CASE WHEN size(_every) < 2 THEN _every
-  ELSE flatten(transform({_RUNS}, r -> CASE WHEN size(r) < 2 THEN r ELSE {_GREEDY} END)) END"""
+  WHEN size(_every) <= {FEW} THEN {_GREEDY(spans="_every")}
+  ELSE flatten(transform({_RUNS}, r -> CASE WHEN size(r) < 2 THEN r ELSE {_GREEDY(spans="r")} END)) END"""
 
 RIGHT_TO_LEFT = """
 reverse(array_sort(transform(_chosen, s -> named_struct(
@@ -148,7 +164,9 @@ def detect(
     staged = df.withColumns({"_digit": F.expr(f"{source} RLIKE r'(?U)\\d'"), **plugged})
     matches = {f"_m{i}": F.expr(_gated(source, r)) for i, r in active}
     staged = staged.withColumns(matches) if matches else staged
-    found = [_located(source, f"_m{i}", r, i) for i, r in active]
+    only = {f"_o{i}": F.expr(_start_of_only(source, f"_m{i}")) for i, _ in active}
+    staged = staged.withColumns(only) if only else staged
+    found = [_located(source, f"_m{i}", f"_o{i}", r, i) for i, r in active]
     found += [_adopted(d, rules, len(recognisers) + n) for n, d in enumerate(plugged)]
     every = f"concat({', '.join(found)})" if found else NO_SPANS
     ranked = staged.withColumn("_every", F.expr(every)).withColumn("_ordered", F.expr(ORDERED))
