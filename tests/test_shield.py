@@ -303,3 +303,47 @@ def test_few_and_many_spans_are_chosen_alike(spark):
     here = lambda row: [(d["entity_type"], d["start"], d["end"]) for d in row["detections"] if d["start"] < len(mixed)]
     assert len(here(few)) == 4 and here(few) == here(many)
     assert len(many["detections"]) == 4 + shield.FEW + 1
+
+
+def test_what_nobody_reads_is_not_made(spark):
+    """Violations need neither the safe text nor the token map; a text without eight digits meets no pattern of numbers."""
+    df = spark.createDataFrame([("t", "SSN 123-45-6789", "analyst")], "id string, text string, role string")
+    done = shield.shield(df, "text", RECOMMENDED_RULES, "role")
+    found = shield.violations(done, "id", "role")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" not in plan and "array_join" not in plan
+    assert [r.entity_types for r in found.collect()] == [["US_SSN"]]
+    assert "map_from_entries" in done._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_number_is_missed_by_the_test_before_the_patterns(spark):
+    texts = {
+        "123-45-6789": "US_SSN",
+        "a+1 (415)\u00a0555-1234": "PHONE_NUMBER",
+        "1234)-567-8901 or 415)-555-1234": "PHONE_NUMBER",
+        "1234\u20035678\u20039012\u20033456": "CREDIT_CARD",
+        "\u0661\u0662\u0663-\u0664\u0665-\u0666\u0667\u0668\u0669": "US_SSN",
+        "12345678": "US_BANK_NUMBER",
+        "AB-12345678": "ACCOUNT_NUMBER",
+        "ACCOUNT# :1234567890": "ACCOUNT_NUMBER",
+        "123-45-678 in 2024, 1234567": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    ungated = tuple(replace(r, needs=None, begins=None) for r in RECOGNISERS)
+    few, every = (
+        {r.text: [tuple(s) for s in r.spans] for r in shield.detect(df, "text", RULES, kinds, gate=False, resolve=False).collect()}
+        for kinds in (RECOGNISERS, ungated)
+    )
+    assert few == every
+    assert all((kind in [s[2] for s in few[t]]) if kind else few[t] == [] for t, kind in texts.items())
+
+
+def test_matches_are_placed_alike_whatever_their_number(spark):
+    """One to a few are placed by plain expressions, more by a fold."""
+    mails = [" \U0001f600 ".join(["x@y.com x@y.com"] + [f"m{i}@y.com" for i in range(n)]) for n in range(9)]
+    for row in run(spark, mails):
+        assert all(row.text[d.start : d.end] == d.original for d in row.detections)
+        assert row.safe_text == " \U0001f600 ".join(
+            ["[EMAIL_ADDRESS] [EMAIL_ADDRESS]"] + ["[EMAIL_ADDRESS]"] * (len(row.detections) - 2)
+        )
+    assert [len(r.detections) for r in run(spark, mails)] == [n + 2 for n in range(9)]

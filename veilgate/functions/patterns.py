@@ -53,17 +53,26 @@ REDACTED = "[REDACTED]"
 
 @dataclass(frozen=True)
 class Recogniser:
-    """One pattern-based detector. ``needs`` is a cheap test every match must pass."""
+    """One pattern-based detector. ``needs`` is a cheap test every match must pass (``digits``: EIGHT_DIGITS).
+
+    ``begins`` is a class of characters that holds the first of every match; looking at that first is cheaper than ``\\b``.
+    """
 
     entity_type: str
     pattern: str
     score: float
     ignore_case: bool = False
     needs: str | None = None
+    begins: str | None = None
 
     @property
     def regex(self) -> str:
-        return java_regex(self.pattern, self.ignore_case)
+        ahead = f"(?=[{self.begins}])" if self.begins else ""
+        return java_regex(ahead + self.pattern, self.ignore_case)
+
+
+# What every match of the patterns of numbers holds: eight digits, between two of them no more than `) `, `)-`, a blank or a dash.
+EIGHT_DIGITS = r"\d(?:[\s\-)]{0,2}+\d){7}"
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
@@ -74,11 +83,11 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
 # --- Fixed values: the score of each pattern must equal the published one ----------------------
 
 RECOGNISERS = (
-    Recogniser("US_SSN", SSN, 0.90, needs="digit"),
-    Recogniser("CREDIT_CARD", CARD, 0.85, needs="digit"),
+    Recogniser("US_SSN", SSN, 0.90, needs="digits", begins=r"\d"),
+    Recogniser("CREDIT_CARD", CARD, 0.85, needs="digits", begins=r"\d"),
     Recogniser("EMAIL_ADDRESS", EMAIL, 0.95, needs="at"),
-    Recogniser("PHONE_NUMBER", PHONE, 0.85, needs="digit"),
-    Recogniser("US_BANK_NUMBER", BANK, 0.60, needs="digit"),
-    Recogniser("ACCOUNT_NUMBER", ACCOUNT_PREFIXED, 0.92, needs="digit"),
-    Recogniser("ACCOUNT_NUMBER", ACCOUNT_LABELLED, 0.92, ignore_case=True, needs="digit"),
+    Recogniser("PHONE_NUMBER", PHONE, 0.85, needs="digits", begins=r"+(\d"),
+    Recogniser("US_BANK_NUMBER", BANK, 0.60, needs="digits", begins=r"\d"),
+    Recogniser("ACCOUNT_NUMBER", ACCOUNT_PREFIXED, 0.92, needs="digits", begins="A-Z"),
+    Recogniser("ACCOUNT_NUMBER", ACCOUNT_LABELLED, 0.92, ignore_case=True, needs="digits", begins="a"),
 )

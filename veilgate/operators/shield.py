@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilgate.functions import sqltext
 from veilgate.functions.ids import stable_id
-from veilgate.functions.patterns import RECOGNISERS, Recogniser
+from veilgate.functions.patterns import EIGHT_DIGITS, RECOGNISERS, Recogniser, java_regex
 from veilgate.functions.rules import RuleSet
 from veilgate.operators.keyed import is_small, salted_join
 from veilgate.session import settle
@@ -23,6 +23,10 @@ SPAN = (
 )
 NO_SPANS = sqltext.empty(SPAN)
 BLOCK = 128
+# Up to so many matches of a pattern are placed, and so many detections of a text replaced, by plain expressions: Spark
+# compiles these, but not folds and lambdas.
+PLACED = 3
+SLOTS = 6
 SURROGATE_REGEX = r"\[[A-Z_]+:[0-9A-F]{8}\]"
 RESULT_COLUMNS = (
     "detections",
@@ -51,44 +55,54 @@ def _start_of_only(text: str, matches: str) -> str:
     return f"CASE WHEN size({matches}) = 1 AND locate({hit}, {text}, {first} + 1) = 0 THEN {first} - 1 END"
 
 
-def _located(text: str, matches: str, only: str, recogniser: Recogniser, order: int) -> str:
+def _lengths(text: str, order: int, recogniser: Recogniser) -> str:
+    """SQL text of the lengths of a pattern's matches, each with what lies between it and the one before; they give the offsets.
+
+    Null where a pattern matches nothing at all, which the search for the next whole would not get past.
+    """
+    matches, pattern = f"_m{order}", sqltext.raw(rf"(?s)\G.*?(?:(?-s){recogniser.regex})")
+    wholes = f"transform(regexp_extract_all({text}, {pattern}, 0), whole -> length(whole))"
+    found = f"""CASE WHEN only IS NOT NULL THEN array(only + length(get({matches}, 0)))
+        WHEN NOT array_contains({matches}, '') THEN {wholes} END"""
+    return f"CASE WHEN size({matches}) > 0 THEN {sqltext.let(_start_of_only(text, matches), 'only', found)} END"
+
+
+def _located(text: str, recogniser: Recogniser, order: int) -> str:
     """SQL text turning the matches of one pattern into spans.
 
-    Splitting by the same pattern yields the text between the matches, so running lengths give
-    the offsets. Most texts have one match at most; where ``only`` knows its offset, no split or fold is needed.
+    A few are placed by the sums of their lengths (``_l``), more by running sums. Where these are not one per match, splitting
+    by the same pattern yields the text between the matches.
     """
-    span = _span(
-        sqltext.text(recogniser.entity_type),
-        "run.state + x.gap",
-        "run.state + x.gap + length(x.hit)",
-        f"{recogniser.score!r}D",
-        order,
-        "x.hit",
-    )
-    steps = f"""filter(
-        zip_with(
-          split({text}, {sqltext.raw(recogniser.regex)}, -1), {matches},
-          (gap, hit) -> named_struct('gap', length(gap), 'hit', hit)),
-        step -> step.hit IS NOT NULL)"""
+    matches, lengths = f"_m{order}", f"_l{order}"
+    entity, score = sqltext.text(recogniser.entity_type), f"{recogniser.score!r}D"
+    span = _span(entity, "run.state + x.gap", "run.state + x.gap + length(x.hit)", score, order, "x.hit")
+    steps = f"""CASE WHEN size({lengths}) = size({matches})
+        THEN zip_with({lengths}, {matches}, (whole, hit) -> named_struct('gap', whole - length(hit), 'hit', hit))
+        ELSE filter(
+          zip_with(
+            split({text}, {sqltext.raw(recogniser.regex)}, -1), {matches},
+            (gap, hit) -> named_struct('gap', length(gap), 'hit', hit)),
+          step -> step.hit IS NOT NULL) END"""
     step = (
         "named_struct('state', run.state + x.gap + length(x.hit), "
         f"'out', concat(run.out, array({span})))"
     )
     found = sqltext.gather("steps", "0", SPAN, step, "flatten(whole.parts)", BLOCK)
-    hit = f"get({matches}, 0)"
-    single = _span(
-        sqltext.text(recogniser.entity_type), only, f"{only} + length({hit})", f"{recogniser.score!r}D", order, hit
-    )
+    placed = []
+    for k in range(PLACED):
+        hit, stop = f"get({matches}, {k})", " + ".join(f"get({lengths}, {j})" for j in range(k + 1))
+        placed.append(f"CASE WHEN size({matches}) > {k} THEN {_span(entity, f'{stop} - length({hit})', stop, score, order, hit)} END")
     return (
-        f"CASE WHEN {only} IS NOT NULL THEN array({single}) "
-        f"WHEN size({matches}) > 0 THEN {sqltext.let(steps, 'steps', found)} ELSE {NO_SPANS} END"
+        f"CASE WHEN size({matches}) = 0 OR {matches} IS NULL THEN {NO_SPANS} "
+        f"WHEN size({matches}) <= {PLACED} AND size({lengths}) = size({matches}) THEN slice(array({', '.join(placed)}), 1, size({matches})) "
+        f"ELSE {sqltext.let(steps, 'steps', found)} END"
     )
 
 
 def _gated(text: str, recogniser: Recogniser) -> str:
     """SQL text of a pattern's matches, behind a cheap test that every match must pass."""
     found = f"regexp_extract_all({text}, {sqltext.raw(recogniser.regex)}, 0)"
-    needed = {"digit": "_digit", "at": f"contains({text}, '@')"}.get(recogniser.needs)
+    needed = {"digit": "_digit", "digits": "_digits", "at": f"contains({text}, '@')"}.get(recogniser.needs)
     return f"CASE WHEN {needed} THEN {found} END" if needed else found
 
 
@@ -110,7 +124,7 @@ def _adopted(found: str, rules: RuleSet, order: int) -> str:
 # of touching spans are compared with each other; runs are cut where a span starts behind all ends.
 FEW = 16
 _GREEDY = f"""
-aggregate(array_sort({{spans}}), {NO_SPANS},
+aggregate({{spans}}, {NO_SPANS},
   (kept, c) -> CASE WHEN exists(kept, k -> k.start < c.end AND k.end > c.start) THEN kept
     ELSE concat(kept, array(c)) END)""".format
 _NEXT_RUN = """
@@ -127,16 +141,17 @@ _RUNS = sqltext.gather(
     "concat(flatten(whole.parts), array(whole.state.spans))",
     BLOCK,
 )
+BEST = f"CASE WHEN size(_every) <= {FEW} THEN sort_array(_every) END"
 ORDERED = f"CASE WHEN size(_every) > {FEW} THEN array_sort(_every, (a, b) -> a.start - b.start) END"
 WITHOUT_OVERLAPS = f"""
 CASE WHEN size(_every) < 2 THEN _every
-  WHEN size(_every) <= {FEW} THEN {_GREEDY(spans="_every")}
-  ELSE flatten(transform({_RUNS}, r -> CASE WHEN size(r) < 2 THEN r ELSE {_GREEDY(spans="r")} END)) END"""
+  WHEN size(_every) <= {FEW} THEN {_GREEDY(spans="_best")}
+  ELSE flatten(transform({_RUNS}, r -> CASE WHEN size(r) < 2 THEN r ELSE {_GREEDY(spans="sort_array(r)")} END)) END"""
 
 RIGHT_TO_LEFT = """
-reverse(array_sort(transform(_chosen, s -> named_struct(
+sort_array(transform(_chosen, s -> named_struct(
   'start', s.start, 'end', s.end, 'entity_type', s.entity_type, 'score', s.score,
-  'original', s.original))))"""
+  'original', s.original)), false)"""
 
 
 def detect(
@@ -161,18 +176,19 @@ def detect(
         if not gate or r.score >= rules.threshold(r.entity_type)
     ]
     plugged = {f"_d{n}": detector(F.col(text)) for n, detector in enumerate(detectors)}
-    staged = df.withColumns({"_digit": F.expr(f"{source} RLIKE r'(?U)\\d'"), **plugged})
+    gates = {"_digit": r"\d", "_digits": EIGHT_DIGITS}
+    staged = df.withColumns({g: F.expr(f"{source} RLIKE {sqltext.raw(java_regex(p))}") for g, p in gates.items()} | plugged)
     matches = {f"_m{i}": F.expr(_gated(source, r)) for i, r in active}
     staged = staged.withColumns(matches) if matches else staged
-    only = {f"_o{i}": F.expr(_start_of_only(source, f"_m{i}")) for i, _ in active}
-    staged = staged.withColumns(only) if only else staged
-    found = [_located(source, f"_m{i}", f"_o{i}", r, i) for i, r in active]
+    lengths = {f"_l{i}": F.expr(_lengths(source, i, r)) for i, r in active}
+    staged = staged.withColumns(lengths) if lengths else staged
+    found = [_located(source, r, i) for i, r in active]
     found += [_adopted(d, rules, len(recognisers) + n) for n, d in enumerate(plugged)]
     every = f"concat({', '.join(found)})" if found else NO_SPANS
-    ranked = staged.withColumn("_every", F.expr(every)).withColumn("_ordered", F.expr(ORDERED))
-    ranked = ranked.withColumn("_chosen", F.expr(WITHOUT_OVERLAPS if resolve else "_every"))
+    ranked = staged.withColumn("_every", F.expr(every)).withColumn("_ordered", F.expr(ORDERED)).withColumn("_best", F.expr(BEST))
+    ranked = ranked.withColumn("_chosen", F.expr(WITHOUT_OVERLAPS if resolve else "_every")).withColumn("_found", F.expr(RIGHT_TO_LEFT))
     kept = [c for c in df.columns if c != out]
-    return ranked.select(*kept, evaluated_once(F.expr(RIGHT_TO_LEFT)).alias(out))
+    return ranked.select(*kept, evaluated_once(F.col("_found")).alias(out))
 
 
 def _rewritten(source: str) -> str:
@@ -198,6 +214,18 @@ def _rewritten(source: str) -> str:
     return f"concat(array_join({blocks}, ''), {tail})"
 
 
+def _rewritten_few(source: str) -> str:
+    """SQL text of the source with up to SLOTS detections replaced, without folds."""
+    pieces = [f"substring({source}, 1, element_at(detections, -1).start)"]
+    for i in reversed(range(SLOTS)):
+        this = f"get(detections, {i})"
+        rest = f", get(detections, {i - 1}).start - {this}.end" if i else ""
+        pieces.append(
+            f"CASE WHEN size(detections) > {i} THEN concat({this}.replacement, substring({source}, {this}.end + 1{rest})) ELSE '' END"
+        )
+    return f"concat({', '.join(pieces)})"
+
+
 def evaluated_once(value: Column) -> Column:
     """A generator of one row around a costly value.
 
@@ -226,20 +254,28 @@ def shield(
     if on_block not in ("quarantine", "drop", "fail"):
         raise ValueError(f"unknown on_block {on_block!r}")
     source = sqltext.name(text)
-    mode = rules.mode_of("d.entity_type")
-    exempt = "array_contains(_exempt, d.entity_type)"
-    hashed = "d.original"
-    if scope is not None:
-        hashed = f"concat_ws(':', {sqltext.name(scope)}, d.entity_type, d.original)"
-    detections = f"""transform(spans, d -> named_struct(
-      'entity_type', d.entity_type, 'start', d.start, 'end', d.end, 'score', d.score,
-      'original', d.original,
-      'replacement', CASE
-        WHEN {exempt} THEN d.original
-        WHEN {mode} = 'token' THEN
-          concat('[', d.entity_type, ':', upper(substring(sha2({hashed}, 256), 1, 8)), ']')
-        ELSE concat('[', d.entity_type, ']') END,
-      'mode', CASE WHEN {exempt} THEN 'mask' ELSE {mode} END))"""
+
+    def protection(d: str) -> str:
+        mode = rules.mode_of(f"{d}.entity_type")
+        exempt = f"array_contains(_exempt, {d}.entity_type)"
+        hashed = f"{d}.original"
+        if scope is not None:
+            hashed = f"concat_ws(':', {sqltext.name(scope)}, {d}.entity_type, {d}.original)"
+        return f"""named_struct(
+          'entity_type', {d}.entity_type, 'start', {d}.start, 'end', {d}.end, 'score', {d}.score,
+          'original', {d}.original,
+          'replacement', CASE
+            WHEN {exempt} THEN {d}.original
+            WHEN {mode} = 'token' THEN
+              concat('[', {d}.entity_type, ':', upper(substring(sha2({hashed}, 256), 1, 8)), ']')
+            ELSE concat('[', {d}.entity_type, ']') END,
+          'mode', CASE WHEN {exempt} THEN 'mask' ELSE {mode} END)"""
+
+    few = ", ".join(f"CASE WHEN size(spans) > {i} THEN {protection(f'get(spans, {i})')} END" for i in range(SLOTS))
+    detections = (
+        f"CASE WHEN size(spans) <= {SLOTS} THEN slice(array({few}), 1, size(spans)) "
+        f"ELSE transform(spans, d -> {protection('d')}) END"
+    )
     # Within a text where two originals share a token, the map keeps the left-most; the vault keeps both.
     token_map = """
     CASE WHEN status = 'blocked' OR size(_tokens) = 0
@@ -249,19 +285,24 @@ def shield(
         array_distinct(_tokens.replacement),
         transform(array_distinct(_tokens.replacement),
           t -> element_at(filter(_tokens, d -> d.replacement = t), -1).original)) END"""
-    protected = (
+    # Only the detections are held by a generator: what is derived from them is left out where nobody reads it.
+    found = (
         detect(df, text, rules, recognisers, detectors)
         .withColumn("_exempt", F.expr(rules.exempt_types(sqltext.name(role) if role else None)))
-        .withColumn("detections", F.expr(detections))
-        .withColumn("_blocked", F.expr("filter(detections, d -> d.mode = 'block')"))
+        .withColumn("_protected", F.expr(detections))
+    )
+    kept = [F.col(c) for c in df.columns if c not in RESULT_COLUMNS or c == text]
+    protected = (
+        found.select(*kept, evaluated_once(F.col("_protected")).alias("detections"))
+        .withColumn("_blocked", F.expr("CAST(array_position(detections.mode, 'block') AS INT)"))
         .withColumn("_rising", F.expr("reverse(detections)"))
         .withColumns(
             {
-                "status": F.expr("CASE WHEN size(_blocked) > 0 THEN 'blocked' ELSE 'ok' END"),
-                "blocked_type": F.expr("try_element_at(_blocked, 1).entity_type"),
+                "status": F.expr("CASE WHEN _blocked > 0 THEN 'blocked' ELSE 'ok' END"),
+                "blocked_type": F.expr("get(detections.entity_type, _blocked - 1)"),
                 "safe_text": F.expr(
-                    f"CASE WHEN size(_blocked) = 0 THEN "
-                    f"CASE WHEN size(detections) > 0 THEN {_rewritten(source)} ELSE {source} END END"
+                    f"CASE WHEN _blocked = 0 THEN CASE WHEN size(detections) = 0 THEN {source} "
+                    f"WHEN size(detections) <= {SLOTS} THEN {_rewritten_few(source)} ELSE {_rewritten(source)} END END"
                 ),
                 "_tokens": F.expr("filter(detections, d -> d.mode = 'token')"),
             }
@@ -279,12 +320,8 @@ def shield(
                 "token_map": F.expr(token_map),
             }
         )
-        .withColumn("_result", F.struct(*RESULT_COLUMNS))
-    )
-    kept = [F.col(c) for c in df.columns if c not in RESULT_COLUMNS]
-    protected = protected.select(*kept, evaluated_once(F.col("_result")).alias("_result")).select(
-        *kept, "_result.*"
     )
+    protected = protected.select(*[c for c in df.columns if c not in RESULT_COLUMNS], *RESULT_COLUMNS)
     if on_block == "drop":
         return protected.where("status = 'ok'")
     if on_block == "fail":
