@@ -58,18 +58,17 @@ def embed_store(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of full width from the store: documents first, then all texts, then all again, with what each run embedded."""
     folder, texts = scratch_path(spark, "vectors"), T.texts(spark, sf)
     width, counts = vectors.MODEL_DIMENSIONS[vectors.DEFAULT_MODEL], []
+    read = {
+        "dimension": F.size,
+        "first": lambda vector: F.element_at(vector, 1).cast("double"),
+        "last": lambda vector: F.element_at(vector, -1).cast("double"),
+    }
     for rows in (texts.where("text_id LIKE 'doc:%'"), texts, texts):
         found, new = vector_store.embed_stored(
-            rows, "text", lambda t: vectors.pseudo_components(embedding_key(t), width), folder, vectors.DEFAULT_MODEL, width
+            rows, "text", lambda t: vectors.pseudo_components(embedding_key(t), width), folder, vectors.DEFAULT_MODEL, width, read=read
         )
         counts.append(F.lit(new).cast("long"))
-    return found.select(
-        "text_id",
-        F.size("embedding").alias("dimension"),
-        F.element_at("embedding", 1).cast("double").alias("first"),
-        F.element_at("embedding", -1).cast("double").alias("last"),
-        *[count.alias(name) for count, name in zip(counts, ("new_documents", "new_others", "new_again"), strict=True)],
-    )
+    return found.select("text_id", *read, *[count.alias(name) for count, name in zip(counts, ("new_documents", "new_others", "new_again"), strict=True)])
 
 
 QUERIES = {query.__name__: query for query in (ann_exact, ann_index_topk, ann_recall, embed_store)}
